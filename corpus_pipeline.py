@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cueloom.llm.common import scratch, table
 from cueloom.llm.decontamination import drop_contaminated
+from cueloom.llm.jaccard_join import keep_one
 from cueloom.llm.language_id import keep_identified
 from cueloom.llm.mixing import mixed_documents
 from cueloom.llm.sharding import shard_rows
@@ -18,6 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near-duplicates, the one of the least doc_id."""
+    return keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -33,7 +39,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_rows(docs, "doc_id")
 
 
-STAGES = [("language_id", language), ("decontamination", decontaminate), ("mixing", mixture), ("sharding", shards)]
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mixture), ("sharding", shards)]
 
 ORACLE_SQL = None  # trained profiles and hash-based rounding have no SQL form; tests compare with brute force
 

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import contamination_report
+from .jaccard_join import near_duplicates
 from .language_id import language_report
 from .media import media_report
 from .mixing import mix
+from .quality import quality_report
+from .recurrent_lm import lm_report
 from .sharding import shard_documents
 from .token_counts import token_report
+from .url_filters import ORACLE, filter_captures, page_captures, page_entries
 
 
 def op1_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +23,32 @@ def op1_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "moved")
 
 
+def op2_jaccard_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op3_mix_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "rate", "copies")
 
 
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_report(table(spark, sf_dir, "documents"))
+
+
 def op5_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_url_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = page_captures(spark, sf_dir)
+    return filter_captures(captures, page_entries(captures), "page_id")
+
+
+def op7_quality_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"))
 
@@ -45,12 +66,17 @@ def op10_decontaminate_prefix_join(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shard_ring, op3_mix_entropy_balancing, op5_language_rank_order, op8_token_digest_cache, op9_media_png, op10_decontaminate_prefix_join)
+    f.__name__: f
+    for f in (
+        op1_shard_ring, op2_jaccard_chosen_path, op3_mix_entropy_balancing, op4_recurrent_lm, op5_language_rank_order,
+        op6_url_temporal_list, op7_quality_additive_model, op8_token_digest_cache, op9_media_png, op10_decontaminate_prefix_join,
+    )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_url_temporal_list": ORACLE,
     "op10_decontaminate_prefix_join": f"""
         WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
         wins AS (
