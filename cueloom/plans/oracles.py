@@ -103,3 +103,110 @@ SQL |= {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY score DESC, ord) AS n FROM kept)
         SELECT tid, 'r' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS seg_id, t_start, t_end, score FROM ranked""",
 }
+
+_FLAGGED = f"""{MARKS},
+    edged AS (
+        SELECT *, last_value(t0) OVER w AS last_t0, last_value(t1) OVER w AS speech_end,
+               first_value(CASE WHEN NOT hanging THEN t0 END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS clean_t0
+        FROM phrases WINDOW w AS (PARTITION BY tid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def starts(source: str) -> str:
+    return f"""
+    near_start AS (
+        SELECT c.tid, c.ord, any_value(c.t_start) AS t_start, any_value(c.t_end) AS t_end,
+               coalesce(arg_min({{'t0': t0, 'clean': clean_t0, 'last': last_t0}}, (abs(t0 - c.t_start), idx)) FILTER (WHERE phrase_start),
+                        arg_min({{'t0': t0, 'clean': clean_t0, 'last': last_t0}}, (abs(t0 - c.t_start), idx)) FILTER (WHERE idx IS NOT NULL)) AS x
+        FROM {source} c LEFT JOIN edged e ON e.tid = c.tid AND abs(t0 - c.t_start) <= 1.5::DOUBLE GROUP BY c.tid, c.ord),
+    aimed AS (SELECT *, CASE WHEN x.clean IS NOT NULL THEN x.clean WHEN x.last < t_end THEN x.t0 END AS aim FROM near_start),
+    started AS (SELECT tid, ord, CASE WHEN aim < t_end THEN aim ELSE t_start END AS t_start, t_end FROM aimed)"""
+
+
+ENDS = """
+    near_end AS (
+        SELECT c.tid, c.ord, any_value(c.t_start) AS s, any_value(c.t_end) AS e, any_value(c.t_start) + 59 AS lim,
+               min(t1) FILTER (WHERE phrase_end AND t1 >= c.t_end - 1.5::DOUBLE) AS fwd, max(t1) FILTER (WHERE phrase_end) AS wit,
+               min(t1) FILTER (WHERE soft_end AND t1 >= c.t_end - 1.5::DOUBLE) AS sfwd, max(t1) FILTER (WHERE soft_end) AS swit,
+               arg_max(t1, (gap, -idx)) FILTER (WHERE gap > -1 AND NOT midphrase AND NOT hanging) AS wide,
+               arg_min(t1, (abs(t1 - c.t_end), idx)) FILTER (WHERE NOT midphrase AND NOT hanging AND abs(t1 - c.t_end) <= 1.5::DOUBLE) AS cnear,
+               max(t1) FILTER (WHERE NOT midphrase AND NOT hanging) AS clast, arg_min(t1, (abs(t1 - c.t_end), idx)) FILTER (WHERE abs(t1 - c.t_end) <= 1.5::DOUBLE) AS near,
+               list(t1 ORDER BY t1) FILTER (WHERE sentence_end) AS stops
+        FROM started c LEFT JOIN edged p ON p.tid = c.tid AND t1 > c.t_start AND t1 <= c.t_start + 59 GROUP BY c.tid, c.ord),
+    once AS (SELECT *, CASE WHEN fwd + 0.3::DOUBLE - s < 0.7::DOUBLE * (lim - s) THEN coalesce(list_filter(stops, lambda t: t > fwd + 1e-6::DOUBLE)[1], fwd) ELSE fwd END AS f1 FROM near_end),
+    twice AS (SELECT *, CASE WHEN f1 + 0.3::DOUBLE - s < 0.7::DOUBLE * (lim - s) THEN coalesce(list_filter(stops, lambda t: t > f1 + 1e-6::DOUBLE)[1], f1) ELSE f1 END AS f2 FROM once),
+    snapped AS (
+        SELECT tid, ord, s AS t_start, CASE WHEN least(chosen + 0.3::DOUBLE, lim) > s THEN least(chosen + 0.3::DOUBLE, lim) ELSE e END AS t_end
+        FROM (SELECT *, coalesce(f2, wit, sfwd, swit, wide, cnear, clast, near) AS chosen FROM twice))"""
+
+
+def padding(source: str) -> str:
+    return f"""
+    inner_ AS (
+        SELECT c.tid, c.ord, any_value(c.t_start) AS s0, any_value(c.t_end) AS e0, list({{'t0': t0, 't1': t1, 'se': sentence_end, 'mid': midphrase, 'hang': hanging, 'p': last_t1, 'n': next_t0, 'end_': speech_end}} ORDER BY idx) FILTER (WHERE idx IS NOT NULL) AS a
+        FROM {source} c LEFT JOIN edged w ON w.tid = c.tid AND t0 >= c.t_start AND t0 < c.t_end GROUP BY c.tid, c.ord),
+    stop_ AS (SELECT *, list_max(list_filter(range(1, len(a) + 1), lambda k: a[k].se)) AS st FROM inner_),
+    spill_ AS (SELECT *, CASE WHEN st IS NOT NULL AND len(list_filter(range(st + 1, len(a) + 1), lambda k: a[k].t0 - a[st].t1 > 0.4::DOUBLE)) = 0 THEN st ELSE len(a) END AS kept FROM stop_),
+    tail_ AS (SELECT *, list_max(list_filter(range(1, kept + 1), lambda k: k = 1 OR NOT (NOT a[k].se AND (a[k - 1].se OR a[k].hang OR a[k].mid)))) AS n FROM spill_),
+    lead_ AS (SELECT *, least(greatest(0::DOUBLE, a[1].t0 - 0.3::DOUBLE, coalesce(a[1].p + 0.05::DOUBLE, 0::DOUBLE)), a[1].t0) AS s FROM tail_),
+    padded AS (
+        SELECT tid, ord, CASE WHEN a IS NULL THEN s0 ELSE s END AS t_start,
+               CASE WHEN a IS NULL THEN e0 ELSE least(greatest(least(a[n].t1 + 0.7::DOUBLE, coalesce(a[n].n - 0.05::DOUBLE, a[n].t1 + 0.7::DOUBLE)), a[n].t1), s + 59, a[n].end_) END AS t_end
+        FROM lead_)"""
+
+
+def trimming(source: str) -> str:
+    """source: with a column long, whether it was flagged."""
+    return f"""
+    window_ AS (
+        SELECT c.tid, c.ord, any_value(c.t_start) AS t_start, any_value(c.t_end) AS e0, any_value(c.long) AS long, list({{'t0': t0, 't1': t1}} ORDER BY idx) FILTER (WHERE idx IS NOT NULL) AS a
+        FROM {source} c LEFT JOIN words w ON w.tid = c.tid AND t0 >= c.t_start AND t1 <= c.t_start + 59 + 1 AND c.long GROUP BY c.tid, c.ord),
+    trimmed AS (
+        SELECT tid, ord, t_start, long, CASE WHEN NOT long THEN e0 ELSE coalesce(
+            list_max(list_filter(list_transform(range(1, len(a) + 1), lambda k: CASE WHEN k = len(a) OR a[k + 1].t0 - a[k].t1 > 0.35::DOUBLE THEN a[k].t1 END), lambda t: t <= t_start + 59)),
+            list_max(list_filter(list_transform(a, lambda x: x.t1), lambda t: t <= t_start + 59)), t_start + 59) END AS t_end
+        FROM window_)"""
+
+
+_CLASSES = """
+    lasts AS (
+        SELECT c.tid, c.ord, any_value(c.t_start) AS s, any_value(c.t_end) AS e,
+               list({'word': word, 't0': t0, 't1': t1, 'se': sentence_end, 'mid': midphrase, 'hang': hanging} ORDER BY idx) FILTER (WHERE t1 <= c.t_end + 0.05::DOUBLE) AS a,
+               max(t1) FILTER (WHERE phrase_end AND t1 <= c.t_end + 0.05::DOUBLE) AS pe
+        FROM candidates c LEFT JOIN edged w ON w.tid = c.tid GROUP BY c.tid, c.ord),
+    walked AS (SELECT *, a[list_max(list_filter(range(1, len(a) + 1), lambda k: k = 1 OR NOT (a[k].t0 < a[k - 1].t1 AND a[k - 1].se)))] AS w FROM lasts),
+    next_ AS (
+        SELECT k.tid, k.ord, arg_min(t0, idx) AS nt FROM walked k JOIN words n ON n.tid = k.tid AND n.t0 > k.w.t1 + 0.001::DOUBLE GROUP BY k.tid, k.ord),
+    gaps_ AS (SELECT k.*, CAST(printf('%.2f', nt - w.t1) AS DOUBLE) AS gap FROM walked k LEFT JOIN next_ n ON n.tid = k.tid AND n.ord = k.ord),
+    typed AS (
+        SELECT *, CASE WHEN w IS NULL THEN 'нет слов' WHEN w.se THEN 'фраза(.!?)' WHEN gap IS NULL THEN 'конец речи' WHEN w.mid THEN 'запятая' WHEN w.hang THEN 'висячее'
+                       WHEN gap >= 1.5::DOUBLE THEN 'пауза≥1.5' WHEN gap < 0.4::DOUBLE THEN 'мид-слово' ELSE 'пауза' END AS end_type FROM gaps_),
+    ends AS (
+        SELECT tid, ord, CAST(printf('%.1f', e - s) AS DOUBLE) AS duration, coalesce(array_to_string(list_transform(a[greatest(1, len(a) - 4):], lambda x: x.word), ' '), '') AS last_words,
+               end_type, gap AS pause_after,
+               CASE WHEN end_type IN ('нет слов', 'запятая', 'висячее', 'мид-слово') THEN 'HARD' WHEN end_type = 'пауза' THEN 'SOFT' ELSE 'CLEAN' END AS verdict,
+               CASE WHEN end_type NOT IN ('нет слов', 'запятая', 'висячее', 'мид-слово') THEN '' WHEN end_type = 'нет слов' THEN 'нет слов в клипе'
+                    WHEN e - pe > 0.05::DOUBLE AND e - pe <= 0.7::DOUBLE + 0.35::DOUBLE THEN 'PAD-хвост +' || printf('%.2f', e - pe) || 'с'
+                    WHEN end_type IN ('запятая', 'висячее') THEN end_type || ' (snap-fallback)' ELSE 'snap-fallback (нет чистой границы)' END AS cause
+        FROM typed)"""
+_LONG = "SELECT p.tid, p.ord, p.t_start, p.t_end, c.t_end - c.t_start > 59 AS long FROM padded p JOIN {0} c ON c.tid = p.tid AND c.ord = p.ord"
+_PICKED = SQL["h4_select_pipeline"].split("SELECT tid, 'r'")[0].rstrip()
+SQL |= {
+    "c1_words_in_segment": f"""WITH {VIEWS} SELECT c.tid, c.ord, count(word) AS n, coalesce(string_agg(word, ' ' ORDER BY idx), '') AS text
+        FROM candidates c LEFT JOIN words w ON w.tid = c.tid AND t0 >= t_start AND t0 < t_end GROUP BY c.tid, c.ord""",
+    "c3_snap_start": f"WITH {VIEWS}, {_FLAGGED}, {starts('candidates')} SELECT * FROM started",
+    "c4_snap_end": f"WITH {VIEWS}, {_FLAGGED}, {starts('candidates')}, {ENDS} SELECT * FROM snapped",
+    "c7_apply_padding": f"WITH {VIEWS}, {_FLAGGED}, {padding('candidates')} SELECT * FROM padded",
+    "c8_trim_too_long": f"""WITH {VIEWS}, longs AS (SELECT tid, ord, t_start, t_end, t_end - t_start > 59 AS long FROM candidates), {trimming('longs')}
+        SELECT t.tid, t.ord, t.t_start, t.t_end, CASE WHEN c.t_end - c.t_start < 15 THEN 'too_short' ELSE '' END AS flags FROM trimmed t JOIN candidates c ON c.tid = t.tid AND c.ord = t.ord""",
+    "h1_classify_end": f"WITH {VIEWS}, {_FLAGGED}, {_CLASSES} SELECT * FROM ends",
+    "d7_end_quality_summary": f"""WITH {VIEWS}, {_FLAGGED}, {_CLASSES}, short AS (SELECT tid, verdict, split_part(cause, ' +', 1) AS cause FROM ends)
+        SELECT tid, verdict, cause, count(*) AS n FROM short GROUP BY GROUPING SETS ((tid, verdict, cause), (verdict, cause))""",
+    "h5_segment_pipeline": f"""{_PICKED}, picked AS (SELECT * FROM ranked), {_FLAGGED}, {starts('picked')}, {ENDS}, {padding('snapped')}, longs AS ({_LONG.format('picked')}), {trimming('longs')}
+        SELECT p.tid, 'r' || CASE WHEN p.n < 10 THEN '0' ELSE '' END || p.n AS seg_id, p.t_start AS r0_start, p.t_end AS r0_end, t.t_start, t.t_end,
+               (SELECT count(*) FROM words w WHERE w.tid = t.tid AND w.t0 >= t.t_start AND w.t0 < t.t_end) AS n_words, '' AS flags
+        FROM trimmed t JOIN picked p ON p.tid = t.tid AND p.ord = t.ord""",
+    "h3_resnap": f"""WITH {VIEWS}, usable AS (SELECT * FROM candidates WHERE tid % 31 <> 2), {_FLAGGED}, {starts('usable')}, {ENDS}, {padding('snapped')}, longs AS ({_LONG.format('usable')}), {trimming('longs')},
+        moved AS (SELECT t.tid, count(*) FILTER (WHERE printf('%.3f', t.t_start) <> printf('%.3f', c.t_start) OR printf('%.3f', t.t_end) <> printf('%.3f', c.t_end)) AS changed
+            FROM trimmed t JOIN candidates c ON c.tid = t.tid AND c.ord = t.ord GROUP BY t.tid)
+        SELECT DISTINCT c.tid, CASE WHEN c.tid % 31 = 2 THEN 'skipped' ELSE 'resnapped' END AS status, coalesce(changed, 0) AS changed FROM candidates c LEFT JOIN moved m ON m.tid = c.tid""",
+}

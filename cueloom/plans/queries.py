@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.config import Config
+from ..operators import audit as A
+from ..operators import boundaries as B
 from ..operators import candidates as C
 from ..operators import words as O
 from . import views as V
@@ -132,3 +135,76 @@ def whole_text_tokens(lines: DataFrame) -> DataFrame:
 def h4_select_pipeline(spark, sf_dir):
     tokens = whole_text_tokens(O.compressed_lines(rows(spark, sf_dir)))
     return C.select_pipeline(V.answers(spark, sf_dir), tokens).select("tid", "seg_id", "t_start", "t_end", "score")
+
+
+CONFIG = Config(hanging=V.HANGING)
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.flagged(V.words(spark, sf_dir), CONFIG)
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.flag_durations(V.candidates(spark, sf_dir)).select("tid", "ord", "t_start", "t_end", "score", "flags")
+
+
+@query
+def c1_words_in_segment(spark, sf_dir):
+    found = B.words_in_segment(segments(spark, sf_dir), V.words(spark, sf_dir))
+    return found.select("tid", "ord", F.size("words").cast("long").alias("n"), F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"))
+
+
+@query
+def c3_snap_start(spark, sf_dir):
+    return B.snap_start(segments(spark, sf_dir), flags(spark, sf_dir), CONFIG).select("tid", "ord", "t_start", "t_end")
+
+
+@query
+def c4_snap_end(spark, sf_dir):
+    """With the relaxed rules (C5) and the longer end (C6), from the snapped start."""
+    words = flags(spark, sf_dir)
+    return B.snap_end(B.snap_start(segments(spark, sf_dir), words, CONFIG), words, CONFIG).select("tid", "ord", "t_start", "t_end")
+
+
+@query
+def c7_apply_padding(spark, sf_dir):
+    return B.apply_padding(segments(spark, sf_dir), flags(spark, sf_dir), CONFIG).select("tid", "ord", "t_start", "t_end")
+
+
+@query
+def c8_trim_too_long(spark, sf_dir):
+    trimmed = B.trim_too_long(segments(spark, sf_dir), V.words(spark, sf_dir), CONFIG)
+    return trimmed.select("tid", "ord", "t_start", "t_end", F.array_join("flags", ",").alias("flags"))
+
+
+@query
+def h1_classify_end(spark, sf_dir):
+    """With the cause of hard ends (H2)."""
+    return A.classify_end(segments(spark, sf_dir), flags(spark, sf_dir), CONFIG)
+
+
+@query
+def d7_end_quality_summary(spark, sf_dir):
+    return A.end_quality_summary(h1_classify_end(spark, sf_dir))
+
+
+@query
+def h5_segment_pipeline(spark, sf_dir):
+    """Answers to settled segments with their words."""
+    tokens = whole_text_tokens(O.compressed_lines(rows(spark, sf_dir)))
+    chosen = C.select_pipeline(V.answers(spark, sf_dir), tokens).withColumns({"r0_start": F.col("t_start"), "r0_end": F.col("t_end")})
+    settled = B.settle(chosen, flags(spark, sf_dir), CONFIG)
+    found = B.words_in_segment(settled, V.words(spark, sf_dir))
+    return found.select("tid", "seg_id", "r0_start", "r0_end", "t_start", "t_end", F.size("words").cast("long").alias("n_words"), F.array_join("flags", ",").alias("flags"))
+
+
+def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as a manifest holds them: bounds before and after an earlier run; some without the former."""
+    raw = segments(spark, sf_dir)
+    r0 = lambda c: F.when(F.col("tid") % 31 != 2, F.col(c))
+    return raw.withColumns({"r0_start": r0("t_start"), "r0_end": r0("t_end")})
+
+
+@query
+def h3_resnap(spark, sf_dir):
+    return B.resnap(stored_segments(spark, sf_dir), flags(spark, sf_dir), CONFIG)[1]
