@@ -210,3 +210,95 @@ SQL |= {
             FROM trimmed t JOIN candidates c ON c.tid = t.tid AND c.ord = t.ord GROUP BY t.tid)
         SELECT DISTINCT c.tid, CASE WHEN c.tid % 31 = 2 THEN 'skipped' ELSE 'resnapped' END AS status, coalesce(changed, 0) AS changed FROM candidates c LEFT JOIN moved m ON m.tid = c.tid""",
 }
+
+_MEDIA = """
+    media AS (SELECT tid, arg_max(t1, idx) AS duration, CAST(round_even(arg_max(t1, idx) * 8000, 0) AS BIGINT) AS size_bytes FROM words GROUP BY tid),
+    gaps AS (SELECT tid, idx, t1 AS s, lead(t0) OVER (PARTITION BY tid ORDER BY idx) AS e FROM words),
+    silences AS (SELECT tid, CAST(row_number() OVER (PARTITION BY tid ORDER BY idx) - 1 AS INTEGER) AS pos, s, e FROM gaps WHERE round_even((e - s) * 1000, 0) >= 300)"""
+_CHUNKS = """
+    placed_ AS (SELECT c.*, n FROM clocked c, unnest(range(greatest(0, ms - 10000) // 120000, ms // 120000 + 1)) AS t(n)),
+    cut_ AS (SELECT tid, CAST(n AS INTEGER) AS chunk_no, i, word, (ms - n * 120000) / 1000::DOUBLE AS r0, (ms + len_ms - n * 120000) / 1000::DOUBLE AS r1 FROM placed_ WHERE ms < (n + 1) * 120000 + 10000),
+    chunked AS (
+        SELECT tid, chunk_no, chunk_no * 120::DOUBLE AS start, CASE WHEN tid % 19 = 4 AND chunk_no = 1 THEN NULL ELSE list({'word': word, 't0': r0 + chunk_no * 120::DOUBLE, 't1': r1 + chunk_no * 120::DOUBLE} ORDER BY i) END AS w
+        FROM cut_ GROUP BY tid, chunk_no),
+    live AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY chunk_no) AS k FROM chunked WHERE w IS NOT NULL),
+    stitched AS (
+        SELECT tid, k, w AS kept, w[len(w)].t1 AS last FROM live WHERE k = 1
+        UNION ALL
+        SELECT s.tid, l.k, list_filter(l.w, lambda x, j: j >= f), coalesce(CASE WHEN f <= len(l.w) THEN l.w[len(l.w)].t1 END, last)
+        FROM stitched s JOIN live l ON l.tid = s.tid AND l.k = s.k + 1,
+             LATERAL (SELECT coalesce(list_min(list_filter(range(1, len(l.w) + 1), lambda j: l.w[j].t0 >= last)), len(l.w) + 1) AS f) y),
+    joined_ AS (SELECT tid, k, unnest(kept) AS x, unnest(range(len(kept))) AS j FROM stitched WHERE len(kept) > 0)"""
+_PACK = """
+    lined AS (SELECT tid, sent_no AS k, '[' || printf('%06.1f', t0) || '-' || printf('%06.1f', t1) || '] ' || text AS line FROM sentences),
+    tok AS (SELECT *, greatest(1, length(line) // 4) AS tokens, count(*) OVER (PARTITION BY tid) AS n, sum(length(line) + 1) OVER (PARTITION BY tid) - 1 AS chars FROM lined),
+    pre AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY tid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM tok),
+    lists AS (SELECT tid, any_value(n) AS n, any_value(greatest(1, chars // 4)) AS whole, list(p ORDER BY k) AS ps, list_append(list(p ORDER BY k), sum(tokens)) AS pe, list(line ORDER BY k) AS ls FROM pre GROUP BY tid),
+    packs AS (
+        SELECT tid, 0 AS chunk_no, CAST(0 AS BIGINT) AS a, CASE WHEN whole <= 500 THEN n ELSE greatest(1, list_max(list_filter(range(1, n + 1), lambda j: pe[j + 1] <= 500))) END AS b FROM lists
+        UNION ALL
+        SELECT q.tid, chunk_no + 1, x.a2, greatest(x.a2 + 1, coalesce(list_max(list_filter(range(x.a2 + 1, n + 1), lambda j: pe[j + 1] - pe[x.a2 + 1] <= 500)), 0))
+        FROM packs q JOIN lists l ON l.tid = q.tid, LATERAL (SELECT greatest(q.a + 1, coalesce(list_min(list_filter(range(q.a, q.b + 1), lambda j: pe[q.b + 1] - pe[j + 1] <= 60)), 0)) AS a2) x WHERE q.b < n)"""
+
+
+def captions(source: str, by: str) -> str:
+    """source: words with `by` columns and idx. Leaves capt: by, cap_no, t0, t1, text."""
+    keys = ", ".join(f"g.{c} = r.{c}" for c in by.split(", ")).replace(", ", " AND ")
+    return f"""
+    rows_ AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY idx) AS k FROM {source}),
+    runs_ AS (
+        SELECT *, lead(word, 1) OVER w AS w2, lead(word, 2) OVER w AS w3, lead(t0, 1) OVER w - t1 > 0.4::DOUBLE AS g2, lead(t0, 2) OVER w - lead(t1, 1) OVER w > 0.4::DOUBLE AS g3
+        FROM rows_ WINDOW w AS (PARTITION BY {by} ORDER BY k)),
+    sized_ AS (SELECT *, CASE WHEN w2 IS NULL OR g2 OR length(word || ' ' || w2) * 72::DOUBLE * 0.55::DOUBLE > 1000 THEN 1
+                              WHEN w3 IS NULL OR g3 OR length(word || ' ' || w2 || ' ' || w3) * 72::DOUBLE * 0.55::DOUBLE > 1000 THEN 2 ELSE 3 END AS size_ FROM runs_),
+    groups_ AS (
+        SELECT {by}, k, size_, 0 AS cap_no FROM sized_ WHERE k = 1
+        UNION ALL
+        SELECT {', '.join('r.' + c for c in by.split(', '))}, r.k, r.size_, cap_no + 1 FROM groups_ g JOIN sized_ r ON {keys} AND r.k = g.k + g.size_),
+    capt AS (
+        SELECT {', '.join('g.' + c for c in by.split(', '))}, cap_no, arg_min(r.t0, r.k) AS t0, arg_max(r.t1, r.k) AS t1, string_agg(r.word, ' ' ORDER BY r.k) AS text
+        FROM groups_ g JOIN rows_ r ON {keys} AND r.k >= g.k AND r.k < g.k + g.size_ GROUP BY {', '.join('g.' + c for c in by.split(', '))}, cap_no)"""
+
+
+def centi(expression: str) -> str:
+    cs = f"CAST(round_even(greatest(0::DOUBLE, {expression}) * 100, 0) AS BIGINT)"
+    return f"printf('%d:%02d:%02d.%02d', {cs} // 360000, {cs} // 6000 % 60, {cs} // 100 % 60, {cs} % 100)"
+
+
+SQL |= {
+    "a6_parse_silence_log": f"""WITH {VIEWS}, {_MEDIA}, l AS (SELECT *, max(pos) OVER (PARTITION BY tid) AS m FROM silences) SELECT tid, pos, s, e FROM l WHERE NOT (tid % 7 = 0 AND pos = m)""",
+    "b6_needs_chunking": f"WITH {VIEWS}, {_MEDIA} SELECT * FROM media WHERE duration > 900 OR size_bytes > 20971520",
+    "c2_nearest_split": f"""WITH {VIEWS}, {_MEDIA}, targets AS (SELECT tid, CAST(n AS INTEGER) AS n, n * 600::DOUBLE AS target FROM media, unnest(range(1, greatest(1, CAST(ceil(duration / 600) AS BIGINT)))) AS t(n))
+        SELECT t.tid, n, target, coalesce(arg_min((s + e) / 2::DOUBLE, (abs((s + e) / 2::DOUBLE - target), pos)) FILTER (WHERE pos IS NOT NULL), target) AS at
+        FROM targets t LEFT JOIN silences x ON x.tid = t.tid AND (s + e) / 2::DOUBLE BETWEEN target - 30 AND target + 30 GROUP BY t.tid, n, target""",
+    "e8_stitch_chunks": f"""WITH RECURSIVE {VIEWS}, {_CHUNKS}
+        SELECT tid, CASE WHEN tid % 3 = 0 THEN 'en' ELSE 'ru' END AS language, CAST(row_number() OVER (PARTITION BY tid ORDER BY k, j) - 1 AS INTEGER) AS idx, x.word AS word, x.t0 AS t0, x.t1 AS t1 FROM joined_""",
+    "d10_coverage_gaps": f"""WITH {VIEWS}, {_CHUNKS.split('live AS')[0].rstrip().rstrip(',')}, n AS (SELECT *, lead(start) OVER (PARTITION BY tid ORDER BY chunk_no) AS nx FROM chunked)
+        SELECT tid, chunk_no, start AS lost_from, coalesce(nx, start + 600) AS lost_to FROM n WHERE w IS NULL""",
+    "e5_split_oversize": f"""WITH RECURSIVE {VIEWS}, {SENTENCES},
+        whole AS (SELECT tid, sent_no, list({{'t0': t0, 't1': t1}} ORDER BY idx) AS a FROM numbered GROUP BY tid, sent_no),
+        parts AS (
+            SELECT tid, sent_no, a, 0 AS f FROM whole
+            UNION ALL
+            SELECT tid, sent_no, a[p.x:p.y], f + p.x - 1 FROM parts, LATERAL (
+                SELECT list_max(list_transform(range(2, len(a) + 1), lambda k: a[k].t0 - a[k - 1].t1)) AS g) m, LATERAL (
+                SELECT list_sort(list_transform(list_filter(range(2, len(a) + 1), lambda k: abs(a[k].t0 - a[k - 1].t1 - g) <= 1e-9::DOUBLE), lambda k: {{'d': abs((k - 1) - len(a) / 2::DOUBLE), 'k': k}}))[1].k AS c) b, LATERAL (
+                SELECT unnest([1, c]) AS x, unnest([c - 1, len(a)]) AS y) p
+            WHERE len(a) > 1 AND a[len(a)].t1 - a[1].t0 > 4::DOUBLE)
+        SELECT tid, CAST(row_number() OVER (PARTITION BY tid ORDER BY sent_no, f) - 1 AS INTEGER) AS sent_no, a[1].t0 AS t0, a[len(a)].t1 AS t1, CAST(len(a) AS INTEGER) AS n_words
+        FROM parts WHERE NOT (len(a) > 1 AND a[len(a)].t1 - a[1].t0 > 4::DOUBLE)""",
+    "e6_pack_chunks": f"""WITH RECURSIVE {VIEWS}, {SENTENCES}, {_PACK}
+        SELECT p.tid, chunk_no, CAST(a AS INTEGER) AS line_from, CAST(b AS INTEGER) AS line_to, md5(array_to_string(ls[a + 1:b], chr(10))) AS text_md5 FROM packs p JOIN lists l ON l.tid = p.tid""",
+    "b8_build_requests": f"""WITH RECURSIVE {VIEWS}, {SENTENCES}, {_PACK}
+        SELECT p.tid, chunk_no, CAST(4 AS BIGINT) AS n, 'Score 65 or more, 15 to 59 seconds.' AS system, md5(array_to_string(ls[a + 1:b], chr(10))) AS text_md5 FROM packs p JOIN lists l ON l.tid = p.tid""",
+    "e7_group_captions": f"WITH RECURSIVE {VIEWS}, {captions('words', 'tid')} SELECT tid, cap_no, t0, t1, text FROM capt",
+    "d5_caption_track": f"""WITH RECURSIVE {VIEWS}, held_ AS (SELECT c.tid, c.ord, c.t_start, w.idx, w.word, w.t0, w.t1 FROM candidates c JOIN words w ON w.tid = c.tid AND w.t0 >= c.t_start AND w.t0 < c.t_end),
+        {captions('held_', 'tid, ord, t_start')},
+        fades AS (SELECT *, (t1 - t0) * 1000 * 0.4::DOUBLE AS budget FROM capt),
+        lines_ AS (
+            SELECT tid, ord, cap_no, 'Dialogue: 0,' || {centi('t0 - t_start')} || ',' || {centi('t1 - t_start')} || ',Default,,0,0,0,,' ||
+                   CASE WHEN 250 > budget AND round_even(150::DOUBLE * (budget / 250::DOUBLE), 0) = 0 AND round_even(100::DOUBLE * (budget / 250::DOUBLE), 0) = 0 THEN ''
+                        ELSE '{{\\fad(' || CAST(CASE WHEN 250 > budget THEN round_even(150::DOUBLE * (budget / 250::DOUBLE), 0) ELSE 150 END AS INTEGER) || ',' ||
+                             CAST(CASE WHEN 250 > budget THEN round_even(100::DOUBLE * (budget / 250::DOUBLE), 0) ELSE 100 END AS INTEGER) || ')}}' END || upper(replace(text, 'ß', 'SS')) AS line FROM fades)
+        SELECT c.tid, c.ord, coalesce(string_agg(line, chr(10) ORDER BY cap_no) || chr(10), '') AS text FROM candidates c LEFT JOIN lines_ l ON l.tid = c.tid AND l.ord = c.ord GROUP BY c.tid, c.ord""",
+}

@@ -10,6 +10,8 @@ from ..functions.config import Config
 from ..operators import audit as A
 from ..operators import boundaries as B
 from ..operators import candidates as C
+from ..operators import media as M
+from ..operators import packing as P
 from ..operators import words as O
 from . import views as V
 
@@ -208,3 +210,69 @@ def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def h3_resnap(spark, sf_dir):
     return B.resnap(stored_segments(spark, sf_dir), flags(spark, sf_dir), CONFIG)[1]
+
+
+@query
+def a6_parse_silence_log(spark, sf_dir):
+    return M.parse_silence_log(V.silence_logs(spark, sf_dir))
+
+
+@query
+def b6_needs_chunking(spark, sf_dir):
+    return M.needs_chunking(V.media(spark, sf_dir))
+
+
+@query
+def c2_nearest_split(spark, sf_dir):
+    return M.nearest_split(M.split_targets(V.media(spark, sf_dir)), V.silences(spark, sf_dir))
+
+
+@query
+def e8_stitch_chunks(spark, sf_dir):
+    whole = M.stitch_chunks(V.chunk_words(spark, sf_dir))
+    return whole.select("tid", "language", F.posexplode_outer("words").alias("idx", "w")).select("tid", "language", "idx", "w.word", "w.t0", "w.t1")
+
+
+@query
+def d10_coverage_gaps(spark, sf_dir):
+    return M.coverage_gaps(V.chunk_words(spark, sf_dir))
+
+
+#: Below the longest sentence of the derived transcripts, so that there is something to split.
+SPLIT_LIMIT = 4.0
+
+
+@query
+def e5_split_oversize(spark, sf_dir):
+    return O.sentences(O.split_oversize(O.split_sentences(V.words(spark, sf_dir)), SPLIT_LIMIT)).select("tid", "sent_no", "t0", "t1", "n_words")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.compressed_lines(rows(spark, sf_dir)).select("tid", F.col("sent_no").alias("n"), "line")
+
+
+BUDGET, OVERLAP = 500, 60
+
+
+@query
+def e6_pack_chunks(spark, sf_dir):
+    return P.pack_chunks(lines(spark, sf_dir), BUDGET, OVERLAP).select("tid", "chunk_no", "line_from", "line_to", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+SYSTEM = "Pick moments.\n```\nScore {{min_score}} or more, {{min_duration}} to {{max_duration}} seconds.\n```\n"
+
+
+@query
+def b8_build_requests(spark, sf_dir):
+    made = P.build_requests(P.pack_chunks(lines(spark, sf_dir), BUDGET, OVERLAP), SYSTEM, [("[0000.0-0020.0] a", '{"segments": []}')])
+    return made.select("tid", "chunk_no", F.size("messages").cast("long").alias("n"), F.get("messages", F.lit(0))["content"].alias("system"), F.md5(F.element_at("messages", -1)["content"].cast("binary")).alias("text_md5"))
+
+
+@query
+def e7_group_captions(spark, sf_dir):
+    return P.group_captions(V.words(spark, sf_dir))
+
+
+@query
+def d5_caption_track(spark, sf_dir):
+    return P.caption_track(segments(spark, sf_dir), V.words(spark, sf_dir), head="")

@@ -1,10 +1,10 @@
 """Inputs of the operators derived from the given tables by whole-number arithmetic, for Spark; oracles.py has the same in SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import table
-from ..operators.words import before
+from ..operators.words import before, in_order
 
 #: Hanging words of the derived transcripts.
 HANGING = ("the", "and", "de", "la", "und", "que", "en", "le")
@@ -44,3 +44,38 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("tid")
     answer = F.when(d % 11 == 3, F.expr("substring(body, 1, length(body) - 3)")).when(d % 13 == 5, F.lit("")).when(d % 17 == 7, F.lit('{"segments": "none"}')).when(d % 29 == 9, F.lit(None)).otherwise(F.col("body"))
     return grouped.withColumn("body", body).select("tid", "chunk_no", answer.alias("answer"))
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and size of the recordings: the last word's end, and 8000 bytes a second."""
+    return words(spark, sf_dir).groupBy("tid").agg(F.max_by("t1", "idx").alias("duration")).withColumn("size_bytes", F.bround(F.col("duration") * 8000).cast("long"))
+
+
+def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of 0.3 seconds or more between words, numbered."""
+    ordered = in_order()
+    gaps = words(spark, sf_dir).select("tid", "idx", F.col("t1").alias("s"), F.lead("t0").over(ordered).alias("e"))
+    wide = gaps.where(F.bround((F.col("e") - F.col("s")) * 1000) >= 300)
+    return wide.select("tid", (F.row_number().over(Window.partitionBy("tid").orderBy("idx")) - 1).alias("pos"), "s", "e")
+
+
+def silence_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The silences as a detector's log lines; every seventh log lacks its last end."""
+    line = lambda name, c: F.concat(F.lit(f"[silence] silence_{name}: "), F.call_function("format_number", F.col(c), F.lit("0.000")), F.lit("\n"))
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("tid"))
+    lines = silences(spark, sf_dir).withColumn("line", F.concat(line("start", "s"), F.when(last & (F.col("tid") % 7 == 0), "").otherwise(line("end", "e"))))
+    return lines.groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("log"))
+
+
+def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts cut into chunks of 120 seconds that reach 10 seconds into the next, times from the chunk's start; of some the second one failed."""
+    w = words(spark, sf_dir)
+    ms = F.bround(F.col("t0") * 1000).cast("long")
+    first, last = F.floor(F.greatest(F.lit(0), ms - 10000) / 120000), F.floor(ms / 120000)
+    spread = w.withColumn("chunk_no", F.explode(F.sequence(first.cast("int"), last.cast("int")))).where(ms < (F.col("chunk_no") + 1) * 120000 + 10000)
+    start = F.col("chunk_no") * 120
+    word = F.struct("idx", "word", ((F.bround(F.col("t0") * 1000) - start * 1000) / F.lit(1000.0)).alias("t0"), ((F.bround(F.col("t1") * 1000) - start * 1000) / F.lit(1000.0)).alias("t1"))
+    rows = spread.groupBy("tid", "chunk_no").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    inner = F.transform("w", lambda x: x.dropFields("idx"))
+    failed = (F.col("tid") % 19 == 4) & (F.col("chunk_no") == 1)
+    return rows.select("tid", "chunk_no", start.cast("double").alias("start"), F.when(F.col("tid") % 3 == 0, "en").otherwise("").alias("language"), F.when(~failed, inner).alias("words"))
