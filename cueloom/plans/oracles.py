@@ -302,3 +302,60 @@ SQL |= {
                              CAST(CASE WHEN 250 > budget THEN round_even(100::DOUBLE * (budget / 250::DOUBLE), 0) ELSE 100 END AS INTEGER) || ')}}' END || upper(replace(text, 'ß', 'SS')) AS line FROM fades)
         SELECT c.tid, c.ord, coalesce(string_agg(line, chr(10) ORDER BY cap_no) || chr(10), '') AS text FROM candidates c LEFT JOIN lines_ l ON l.tid = c.tid AND l.ord = c.ord GROUP BY c.tid, c.ord""",
 }
+
+_SOURCES = """
+    sources AS (SELECT min(doc_id) AS d, sha256(text) AS sha FROM documents WHERE text IS NOT NULL GROUP BY text),
+    files AS (SELECT doc_id AS d, 'v' || doc_id || '.mp4' AS name, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL),
+    cal AS (
+        SELECT d, sha, CASE WHEN d % 37 = 5 THEN 'corrupt' WHEN d % 7 = 0 THEN 'auto' ELSE 'manual' END AS kind, CAST(CASE WHEN d % 23 = 0 THEN 3000 ELSE 37 * d % 2600 END AS INTEGER) AS x,
+               CASE WHEN d % 5 = 0 THEN 1.5::DOUBLE END AS rotation_deg, CASE WHEN d % 4 = 0 THEN 'warm' END AS palette, 'v' || d || '.mp4' AS source_name
+        FROM sources WHERE d % 11 <> 0),
+    man AS (
+        SELECT d, sha, 'v' || d || '.mp4' AS source, CAST((CASE WHEN d % 23 = 0 THEN 3000 ELSE 37 * d % 2600 END) + CASE WHEN d % 7 = 1 THEN 10 ELSE 0 END AS INTEGER) AS x,
+               substr(sha256(sha || ':shorts'), 1, 16) AS run_key, CASE WHEN d % 31 = 2 THEN 'unknown_key' WHEN d % 37 = 3 THEN 'invalid_json' WHEN d % 41 = 4 THEN 'out_of_range' END AS reason FROM sources),
+    good AS (SELECT * FROM man WHERE reason IS NULL)"""
+_REELS = """
+    picked AS (SELECT c.*, row_number() OVER (PARTITION BY c.tid ORDER BY ord) AS n FROM candidates c JOIN sources s ON s.d = c.tid WHERE score >= 65),
+    reels AS (SELECT tid, count(*) AS n_reels, sum(score) AS scores, string_agg('r' || lpad(CAST(n AS VARCHAR), 5, '0') || ':' || score, ',' ORDER BY n) AS ids FROM picked GROUP BY tid)"""
+_STALE = "SELECT m.d, m.source, m.sha AS source_sha256, 'stale' AS state FROM good m JOIN cal c ON c.sha = m.sha AND c.kind <> 'corrupt' WHERE m.x <> c.x"
+_EXPORTS = [("text", SQL["d2_paragraph_text"]), ("srt", SQL["d3_cue_track_srt"]), ("vtt", SQL["d3_cue_track_vtt"]), ("json", SQL["d4_word_json"])]
+SQL |= {
+    "a1_read_word_json": f"WITH {VIEWS} SELECT CAST(tid AS VARCHAR) AS tid, 'en' AS language, idx, word, t0, t1 FROM words",
+    "a2_read_segmented_word_json": f"WITH {VIEWS} SELECT CAST(tid AS VARCHAR) AS tid, '' AS language, idx, word, t0, t1 FROM words",
+    "a3_read_transcripts": f"WITH {VIEWS} SELECT md5(CAST(tid AS VARCHAR)) AS tid, 'en' AS language, idx, word, t0, t1 FROM words",
+    "a4_read_manifests": f"""WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT 'v' || d AS key, source, sha AS source_sha256, run_key, 'pending' AS status, x, CASE WHEN d % 5 = 0 THEN 1.5::DOUBLE ELSE 0::DOUBLE END AS rotation, coalesce(n_reels, 0) AS n_reels
+        FROM good LEFT JOIN reels ON tid = d""",
+    "a4_quarantined": f"WITH {_SOURCES} SELECT 'v' || d AS key, reason FROM man WHERE reason IS NOT NULL",
+    "a5_read_calibrations": f"""WITH {_SOURCES} SELECT sha AS source_sha256, kind, CASE WHEN kind <> 'corrupt' THEN source_name END AS source_name, CASE WHEN kind <> 'corrupt' THEN x END AS x,
+        CASE WHEN kind <> 'corrupt' THEN rotation_deg END AS rotation_deg, CASE WHEN kind <> 'corrupt' THEN palette END AS palette FROM cal""",
+    "a7_write_manifests": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT source, run_key, coalesce(n_reels, 0) AS n_reels, CAST(coalesce(scores, 0) AS BIGINT) AS scores FROM man LEFT JOIN reels ON tid = d",
+    "a8_write_transcript_export": " UNION ALL ".join(f"SELECT '{fmt}' AS fmt, tid, md5(text) AS text_md5 FROM ({sql})" for fmt, sql in _EXPORTS),
+    "a9_write_publication_text": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT tid || '/r' || lpad(CAST(n AS VARCHAR), 5, '0') AS name, title || chr(10) || chr(10) || description || chr(10) AS body FROM picked",
+    "b9_run_key": f"WITH {_SOURCES} SELECT name, substr(sha256(sha256 || ':shorts'), 1, 16) AS run_key FROM files",
+    "b10_calibration_rules": f"WITH {_SOURCES} SELECT sha AS source_sha256, 'outside_frame' AS rule, true AS hard FROM cal WHERE kind <> 'corrupt' AND x + 1215 > 3840",
+    "b11_estimate_output_size": f"""WITH {VIEWS}, p(profile, bps) AS (VALUES ('hevc', 5128000), ('h264', 7128000), ('tiny', 64900)), ms AS (SELECT tid, sum(CAST(round_even((t_end - t_start) * 1000, 0) AS BIGINT)) AS ms FROM candidates GROUP BY tid)
+        SELECT tid, profile, round_even(bps * (ms / 1000::DOUBLE) / 8 / 1048576, 6) AS mb FROM ms, p""",
+    "c9_calibration_desync": f"WITH {_SOURCES} SELECT source, source_sha256, state FROM ({_STALE})",
+    "c10_recrop": f"""WITH {_SOURCES}, j AS (SELECT m.*, c.kind, c.x AS cx, c.sha AS found FROM good m LEFT JOIN cal c ON c.sha = m.sha AND c.kind <> 'corrupt'),
+        k AS (SELECT *, CASE WHEN found IS NOT NULL THEN (CASE WHEN cx + 1215 > 3840 THEN 'skipped' WHEN cx = x THEN 'synced' ELSE 'updated' END) WHEN d % 3 <> 0 THEN 'updated' ELSE 'skipped' END AS recrop FROM j)
+        SELECT source, recrop, CAST(CASE WHEN recrop <> 'updated' THEN x WHEN found IS NOT NULL THEN cx ELSE 656 END AS INTEGER) AS x, CAST(CASE WHEN recrop = 'updated' AND found IS NULL THEN 608 ELSE 1215 END AS INTEGER) AS w FROM k""",
+    "c11_missing_outputs": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT source, 'r' || lpad(CAST(n AS VARCHAR), 5, '0') AS id FROM good JOIN picked ON tid = d WHERE n % 5 = 0",
+    "c12_orphan_manifests": f"WITH {_SOURCES} SELECT source FROM good WHERE NOT (d % 3 = 1 OR (d % 3 = 0 AND d % 2 = 0))",
+    "c13_resolve_source": f"""WITH {_SOURCES} SELECT source, sha AS source_sha256, arg_min(name, (CASE WHEN name = source THEN 0 ELSE 1 END, name)) AS name
+        FROM good g LEFT JOIN files f ON f.sha256 = g.sha AND f.d % 9 <> 4 GROUP BY source, sha""",
+    "c14_rekey_calibrations": f"WITH {_SOURCES} SELECT source_name, sha AS old_sha256, sha256(sha || 'x') AS source_sha256 FROM cal WHERE kind = 'manual' AND d % 6 = 1",
+    "c15_renamed_content_guard": f"""WITH {_SOURCES}, r AS (SELECT name, CASE WHEN d % 6 = 1 THEN sha256(sha256 || 'x') ELSE sha256 END AS sha256 FROM files)
+        SELECT name, sha256 FROM r WHERE sha256 NOT IN (SELECT sha FROM cal) AND name IN (SELECT source_name FROM cal WHERE kind = 'manual')""",
+    "c16_sync_status": f"""WITH {_SOURCES}, s AS ({_STALE})
+        SELECT name, coalesce(kind, 'none') AS calibration, CASE WHEN m.reason IS NOT NULL THEN 'corrupt' WHEN m.d IS NULL THEN 'none' WHEN s.d IS NOT NULL THEN 'stale' ELSE 'ok' END AS manifest
+        FROM files f LEFT JOIN cal c ON c.sha = f.sha256 LEFT JOIN man m ON m.d = f.d LEFT JOIN s ON s.d = f.d""",
+    "d6_assemble_manifest": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT source, sha AS source_sha256, run_key, 'pending' AS status, coalesce(ids, '') AS reels FROM man LEFT JOIN reels ON tid = d",
+    "d8_project_status": f"""WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT 'inputs' AS what, count(*) AS n FROM files WHERE d % 3 <> 0 UNION ALL SELECT 'manifests', count(*) FROM good
+        UNION ALL SELECT 'rendered', count(*) FROM good JOIN reels ON tid = d UNION ALL SELECT 'archive', count(*) FROM files WHERE d % 3 = 0""",
+    "d9_batch_outcome": f"""WITH {_SOURCES}, l AS (SELECT name, CASE WHEN d % 10 = 3 THEN 'skipped' WHEN d % 17 = 4 THEN 'failed' ELSE 'ok' END AS status FROM files)
+        SELECT status, count(*) AS n, md5(string_agg(name, ',' ORDER BY name)) AS names_md5 FROM l GROUP BY status""",
+    "f2_content_dedup": f"""WITH {_SOURCES}, a AS (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 0 AND d % 10 <> 0)
+        SELECT i.name, CASE WHEN a.name IS NULL THEN 'accept' WHEN a.sha256 = i.sha256 THEN 'skip' ELSE 'conflict' END AS action FROM (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 1) i LEFT JOIN a ON a.name = i.name""",
+    "g1_content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "s1_incremental_drain": "SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) >= 64",
+}

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.config import Config
+from ..functions.shared import scratch, table
 from ..operators import audit as A
 from ..operators import boundaries as B
 from ..operators import candidates as C
 from ..operators import media as M
 from ..operators import packing as P
+from ..operators import reconcile as R
 from ..operators import words as O
+from ..sources import readers as S
+from ..sources import sinks as K
+from ..streaming import drain as D
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,3 +281,200 @@ def e7_group_captions(spark, sf_dir):
 @query
 def d5_caption_track(spark, sf_dir):
     return P.caption_track(segments(spark, sf_dir), V.words(spark, sf_dir), head="")
+
+
+def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.parse_calibrations(V.calibration_documents(spark, sf_dir))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return S.parse_manifests(V.manifest_documents(spark, sf_dir))
+
+
+def speech_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.struct("idx", "word", F.col("t0").alias("start"), F.col("t1").alias("end"))
+    return V.words(spark, sf_dir).groupBy(F.col("tid").alias("id")).agg(F.array_sort(F.collect_list(word)).alias("w"))
+
+
+@query
+def a1_read_word_json(spark, sf_dir):
+    path = scratch(spark, "word-json")
+    speech_answers(spark, sf_dir).select("id", F.lit("en").alias("language"), F.transform("w", lambda x: x.dropFields("idx")).alias("words")).write.json(path)
+    return S.read_word_json(spark, path)
+
+
+@query
+def a2_read_segmented_word_json(spark, sf_dir):
+    path = scratch(spark, "segmented-json")
+    inner = F.transform("w", lambda x: x.dropFields("idx"))
+    part = lambda words: F.struct(words.alias("words"))
+    segments_ = F.array(part(F.slice(inner, 1, 5)), part(F.when(F.col("id") < 0, inner)), part(F.slice(inner, 6, 1_000_000)))
+    speech_answers(spark, sf_dir).select("id", segments_.alias("segments")).write.json(path)
+    return S.read_segmented_word_json(spark, path)
+
+
+@query
+def a3_read_transcripts(spark, sf_dir):
+    path = scratch(spark, "transcripts")
+    inner = F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("t0"), x["end"].alias("t1")))
+    speech_answers(spark, sf_dir).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"), F.lit("en").alias("language"), inner.alias("words")).write.json(path)
+    return S.read_transcripts(spark, path)
+
+
+@query
+def a4_read_manifests(spark, sf_dir):
+    return manifests(spark, sf_dir)[0].select("key", "source", "source_sha256", "run_key", "status", F.col("setup.crop.x").alias("x"), F.col("setup.rotation_deg").alias("rotation"), F.size("reels").cast("long").alias("n_reels"))
+
+
+@query
+def a4_quarantined(spark, sf_dir):
+    return manifests(spark, sf_dir)[1]
+
+
+@query
+def a5_read_calibrations(spark, sf_dir):
+    return calibrations(spark, sf_dir).select("source_sha256", "kind", "source_name", F.col("crop.x").alias("x"), "rotation_deg", "palette")
+
+
+@query
+def a7_write_manifests(spark, sf_dir):
+    """Written and read back."""
+    path = scratch(spark, "manifests")
+    K.write_manifests(R.assemble_manifest(V.manifest_segments(spark, sf_dir), V.manifest_sources(spark, sf_dir)), path)
+    good = S.read_manifests(spark, path)[0]
+    return good.select("source", "run_key", F.size("reels").cast("long").alias("n_reels"), F.coalesce(F.aggregate("reels", F.lit(0), lambda a, r: a + r["score"]), F.lit(0)).cast("long").alias("scores"))
+
+
+@query
+def a8_write_transcript_export(spark, sf_dir):
+    """Written and read back; MD5 of each document."""
+    path = scratch(spark, "export")
+    K.write_transcript_export(V.words(spark, sf_dir), path)
+    line = F.split("value", "\t", 2)
+    return spark.read.text(path).select("fmt", F.get(line, F.lit(0)).cast("long").alias("tid"), F.md5(K.from_line(F.get(line, F.lit(1))).cast("binary")).alias("text_md5"))
+
+
+@query
+def a9_write_publication_text(spark, sf_dir):
+    """Written and read back."""
+    path = scratch(spark, "publication")
+    K.write_publication_text(V.manifest_segments(spark, sf_dir), path)
+    line = F.split("value", "\t", 2)
+    return spark.read.text(path).select(F.get(line, F.lit(0)).alias("name"), K.from_line(F.get(line, F.lit(1))).alias("body"))
+
+
+@query
+def b9_run_key(spark, sf_dir):
+    return V.files(spark, sf_dir).select("name", X.run_key(F.col("sha256"), F.lit("shorts")).alias("run_key"))
+
+
+@query
+def b10_calibration_rules(spark, sf_dir):
+    return R.calibration_rules(calibrations(spark, sf_dir))
+
+
+@query
+def b11_estimate_output_size(spark, sf_dir):
+    profiles = spark.createDataFrame([("hevc", "5M", "128k"), ("h264", "7M", "128k"), ("tiny", "900", "64k")], "profile string, video string, audio string")
+    return R.estimate_output_size(V.candidates(spark, sf_dir), profiles).select("tid", "profile", F.bround("mb", 6).alias("mb"))
+
+
+@query
+def c9_calibration_desync(spark, sf_dir):
+    return R.calibration_desync(manifests(spark, sf_dir)[0], calibrations(spark, sf_dir))
+
+
+@query
+def c10_recrop(spark, sf_dir):
+    frames = V.files(spark, sf_dir).where("d % 3 <> 0").select(F.col("name").alias("source"), F.array(F.lit(1920), F.lit(1080)).alias("frame"))
+    return R.recrop(manifests(spark, sf_dir)[0], calibrations(spark, sf_dir), frames).select("source", "recrop", F.col("setup.crop.x").alias("x"), F.col("setup.crop.w").alias("w"))
+
+
+@query
+def c11_missing_outputs(spark, sf_dir):
+    good = manifests(spark, sf_dir)[0]
+    outputs = good.select("source", F.explode("reels.id").alias("id")).where(F.substring("id", 2, 5).cast("int") % 5 != 0)
+    return R.missing_outputs(good, outputs)
+
+
+@query
+def c12_orphan_manifests(spark, sf_dir):
+    every = V.files(spark, sf_dir)
+    return R.orphan_manifests(manifests(spark, sf_dir)[0], every.where("d % 3 = 1"), every.where("d % 3 = 0 and d % 2 = 0")).select("source")
+
+
+@query
+def c13_resolve_source(spark, sf_dir):
+    return R.resolve_source(manifests(spark, sf_dir)[0], V.files(spark, sf_dir).where("d % 9 <> 4").drop("d"))
+
+
+def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which every sixth has changed since it was calibrated."""
+    return V.files(spark, sf_dir).withColumn("sha256", F.when(F.col("d") % 6 == 1, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256")))
+
+
+@query
+def c14_rekey_calibrations(spark, sf_dir):
+    return R.rekey_calibrations(calibrations(spark, sf_dir), renamed_files(spark, sf_dir))
+
+
+@query
+def c15_renamed_content_guard(spark, sf_dir):
+    return R.renamed_content_guard(renamed_files(spark, sf_dir), calibrations(spark, sf_dir)).select("name", "sha256")
+
+
+@query
+def c16_sync_status(spark, sf_dir):
+    good, bad = manifests(spark, sf_dir)
+    return R.sync_status(V.files(spark, sf_dir), good, bad.select(F.col("key").alias("stem")), calibrations(spark, sf_dir))
+
+
+@query
+def d6_assemble_manifest(spark, sf_dir):
+    whole = R.assemble_manifest(V.manifest_segments(spark, sf_dir), V.manifest_sources(spark, sf_dir))
+    ids = F.array_join(F.transform("reels", lambda r: F.concat(r["id"], F.lit(":"), r["score"].cast("string"))), ",")
+    return whole.select("source", "source_sha256", "run_key", "status", ids.alias("reels"))
+
+
+@query
+def d8_project_status(spark, sf_dir):
+    every, good = V.files(spark, sf_dir), manifests(spark, sf_dir)[0]
+    return R.project_status(every.where("d % 3 <> 0"), good, good.where(F.size("reels") > 0), every.where("d % 3 = 0"))
+
+
+@query
+def d9_batch_outcome(spark, sf_dir):
+    log = V.files(spark, sf_dir).select("name", F.when(F.col("d") % 10 == 3, "skipped").when(F.col("d") % 17 == 4, "failed").otherwise("ok").alias("status"))
+    return R.batch_outcome(log).select("status", "n", F.md5(F.array_join("names", ",").cast("binary")).alias("names_md5"))
+
+
+@query
+def f2_content_dedup(spark, sf_dir):
+    half = V.files(spark, sf_dir).select("d", F.concat(F.lit("n"), F.floor(F.col("d") / 2).cast("string")).alias("name"), "sha256")
+    return R.content_dedup(half.where("d % 2 = 1").drop("d"), half.where("d % 2 = 0 and d % 10 <> 0").drop("d"))
+
+
+@query
+def g1_content_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.content_sha256(F.col("text")).alias("sha256"))
+
+
+#: Parts of the fingerprint small enough for documents.
+PARTS = (512, 64, 512)
+
+
+@query
+def g2_partial_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.partial_fingerprint(F.col("text"), *PARTS).alias("fingerprint"))
+
+
+@query
+def s1_incremental_drain(spark, sf_dir):
+    """All documents arrive in two loads, the second with the first one again; the drain runs after each and once more."""
+    top = scratch(spark, "drain")
+    every = table(spark, sf_dir, "documents").select(F.format_string("v%012d", "doc_id").alias("name"), F.col("text").alias("content"))
+    for load in range(2):
+        every.where(F.pmod(F.xxhash64("name"), F.lit(2)) <= load).write.mode("append").parquet(f"{top}/in")
+        for _ in range(1 + load):
+            D.incremental_drain(spark, f"{top}/in", f"{top}/archive", f"{top}/log", f"{top}/checkpoint", least=64)
+    return spark.read.parquet(f"{top}/archive").select("sha256", "size")

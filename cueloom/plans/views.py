@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import table
+from ..operators.reconcile import assemble_manifest
 from ..operators.words import before, in_order
 
 #: Hanging words of the derived transcripts.
@@ -79,3 +80,62 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.transform("w", lambda x: x.dropFields("idx"))
     failed = (F.col("tid") % 19 == 4) & (F.col("chunk_no") == 1)
     return rows.select("tid", "chunk_no", start.cast("double").alias("start"), F.when(F.col("tid") % 3 == 0, "en").otherwise("").alias("language"), F.when(~failed, inner).alias("words"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d, sha): each distinct text by its hash, with its least document id."""
+    known = table(spark, sf_dir, "documents").where("text is not null")
+    return known.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min("doc_id").alias("d"))
+
+
+def file_name(d):
+    return F.concat(F.lit("v"), d.cast("string"), F.lit(".mp4"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files: name, sha256, scheme."""
+    return table(spark, sf_dir, "documents").where("text is not null").select(
+        F.col("doc_id").alias("d"), file_name(F.col("doc_id")).alias("name"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.lit("full").alias("scheme"))
+
+
+def crop_of(d, shift=0):
+    x = F.when(d % 23 == 0, F.lit(3000)).otherwise(37 * d % 2600) + shift
+    return F.struct(x.cast("int").alias("x"), F.lit(0).alias("y"), F.lit(1215).alias("w"), F.lit(2160).alias("h"))
+
+
+def calibration_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibration as JSON for most sources: some automatic, some with the crop out of the frame, some broken."""
+    d = F.col("d")
+    body = F.to_json(F.struct(
+        file_name(d).alias("source_name"), F.when(d % 7 == 0, "auto").otherwise("setup").alias("setup_label"), crop_of(d).alias("crop"), F.array(F.lit(1080), F.lit(1920)).alias("scale"),
+        F.array(F.lit(3840), F.lit(2160)).alias("frame"), F.when(d % 5 == 0, 1.5).alias("rotation_deg"), F.when(d % 4 == 0, "warm").alias("palette"), F.when(d % 7 == 0, True).alias("auto")))
+    return sources(spark, sf_dir).where(d % 11 != 0).withColumn("body", body).select("d", F.col("sha").alias("source_sha256"), F.when(d % 37 == 5, F.expr("substring(body, 1, length(body) - 2)")).otherwise(F.col("body")).alias("text"))
+
+
+def manifest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of 65 or more of the sources, numbered in input order."""
+    good = candidates(spark, sf_dir).where("score >= 65").join(sources(spark, sf_dir).select(F.col("d").alias("tid"), F.col("sha").alias("source_sha256")), ["tid"])
+    number = F.row_number().over(Window.partitionBy("tid").orderBy("ord"))
+    return good.select(
+        "tid", "source_sha256", F.concat(F.lit("r"), F.lpad(number.cast("string"), 5, "0")).alias("seg_id"), "t_start", "t_end", "score", "hook", "title", "description", F.lit("").alias("reason"), F.lit("").alias("topic"),
+        F.col("t_start").alias("r0_start"), F.col("t_end").alias("r0_end"), F.array().cast("array<string>").alias("flags"), F.array().cast("array<struct<word:string,t0:double,t1:double>>").alias("words"))
+
+
+def manifest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    setup = F.struct(
+        F.when(d % 7 == 0, "auto").otherwise("setup").alias("setup_id"), crop_of(d, F.when(d % 7 == 1, 10).otherwise(0)).alias("crop"), F.array(F.lit(1080), F.lit(1920)).alias("scale"), F.array(F.lit(3840), F.lit(2160)).alias("frame"),
+        F.when(d % 5 == 0, 1.5).otherwise(0.0).alias("rotation_deg"), F.when(d % 4 == 0, "warm").alias("palette"))
+    return sources(spark, sf_dir).select(file_name(d).alias("source"), F.col("sha").alias("source_sha256"), F.lit("full").alias("source_hash_scheme"), F.lit("shorts").alias("duration_preset"), setup.alias("setup"))
+
+
+def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests as JSON, some with an unknown key, some cut short, some with a rotation out of range."""
+    whole = assemble_manifest(manifest_segments(spark, sf_dir), manifest_sources(spark, sf_dir))
+    body = whole.select("source", F.to_json(F.struct(*whole.columns)).alias("body"), F.regexp_extract("source", r"\d+", 0).cast("long").alias("d"))
+    d = F.col("d")
+    text = (
+        F.when(d % 31 == 2, F.concat(F.lit('{"extra":1,'), F.expr("substring(body, 2)"))).when(d % 37 == 3, F.expr("substring(body, 1, length(body) - 5)"))
+        .when(d % 41 == 4, F.regexp_replace("body", '"rotation_deg":[0-9.]+', '"rotation_deg":90.0')).otherwise(F.col("body"))
+    )
+    return body.select(F.regexp_replace("source", r"\..*$", "").alias("key"), text.alias("text"))
