@@ -135,7 +135,7 @@ ENDS = """
     once AS (SELECT *, CASE WHEN fwd + 0.3::DOUBLE - s < 0.7::DOUBLE * (lim - s) THEN coalesce(list_filter(stops, lambda t: t > fwd + 1e-6::DOUBLE)[1], fwd) ELSE fwd END AS f1 FROM near_end),
     twice AS (SELECT *, CASE WHEN f1 + 0.3::DOUBLE - s < 0.7::DOUBLE * (lim - s) THEN coalesce(list_filter(stops, lambda t: t > f1 + 1e-6::DOUBLE)[1], f1) ELSE f1 END AS f2 FROM once),
     snapped AS (
-        SELECT tid, ord, s AS t_start, CASE WHEN least(chosen + 0.3::DOUBLE, lim) > s THEN least(chosen + 0.3::DOUBLE, lim) ELSE e END AS t_end
+        SELECT tid, ord, s AS t_start, CASE WHEN chosen IS NOT NULL AND least(chosen + 0.3::DOUBLE, lim) > s THEN least(chosen + 0.3::DOUBLE, lim) ELSE e END AS t_end
         FROM (SELECT *, coalesce(f2, wit, sfwd, swit, wide, cnear, clast, near) AS chosen FROM twice))"""
 
 
