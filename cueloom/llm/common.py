@@ -1,43 +1,23 @@
-"""What the operators of this subpackage share: tables, the shared scratch folder, and checkpoints."""
+"""What the operators of this subpackage share."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII letters, for lower-casing that leaves every other letter alone.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from cueloom.functions.shared import cut, scratch, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "bounded", "cut", "key_crc", "scratch", "shared_dir", "table"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Where the cluster names none (a local test session), a temporary folder is
-    set as the checkpoint folder of this Spark context and used from then on.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cueloom-"))
-        current = context.getCheckpointDir()
-    return (named or current).rstrip("/")
+#: ASCII letters, for lower-casing that leaves every other letter alone.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for a table that one run writes and reads."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: A side of a join is broadcast up to so many rows of some 50 bytes, else shuffled.
+BROADCAST_ROWS = 200_000
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and go on from there."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def bounded(side: DataFrame, rows: int) -> DataFrame:
+    """The side, to be broadcast if it has few enough rows."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,8 +10,9 @@ of more than SMALL members is split again on tokens that its path samples, on av
 1 / SIMILARITY of them, so that a pair at the threshold stays together on some path with a
 probability that falls only slowly with depth. Small buckets, and those that are still large at
 depth DEPTH (in blocks of BLOCK members, each pair of blocks a task of its own), are compared
-member by member on their tokens. A pair at the threshold meets in none of the runs with
-probability (1 - 0.47) ** (ROOTS * 0.8) < 1e-4 even where all of its buckets are split twice.
+member by member on their tokens. Of two splits a pair at the threshold survives 0.47 in the mean, so it
+meets in none of the runs with probability (1 - 0.8 * 0.47) ** ROOTS < 1e-4 even where all of its buckets
+are split twice.
 
 Pairs whose tokens agree well enough make candidate groups, passed on as one link per member to
 the first of its group, never as pairs. Within a candidate group all sets are then compared
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -35,13 +36,12 @@ SIGNATURE, ROOTS, DEPTH, SMALL, BLOCK = 64, 20, 3, 48, 1024
 #: Tokens that must agree, of SIGNATURE: nearly five standard deviations below what a pair at the threshold has.
 AGREE = 36
 VERIFY_BLOCK = 512
-#: A side of a join is broadcast up to so many rows of some 50 bytes, else shuffled.
-BROADCAST_ROWS = 200_000
 MEMO = 1_000_000
 
 _random = np.random.default_rng(20240229)
 _MULTIPLIERS = _random.integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_STEPS = _STEP * np.arange(9, dtype=np.uint64)
 
 
 class WordHashes(dict):
@@ -117,7 +117,7 @@ def branches(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     rows, children, term, reached = [], [], np.exp(-mean), np.exp(-mean)
     for k in range(1, 9):
         has = np.flatnonzero(share > reached)
-        place = mixed(spread[has] + _STEP * np.uint64(k))
+        place = mixed(spread[has] + _STEPS[k])
         token = tokens[has, (place % np.uint64(SIGNATURE)).astype(np.int64)].astype(np.uint64)
         children.append(mixed((place ^ (token * _MIX)) + np.uint64(k)).view(np.int64))
         rows.append(has)
@@ -233,10 +233,6 @@ def in_blocks(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
     return spread.withColumns({"part": F.least("own", "__with"), "other": F.greatest("own", "__with")}).drop("__with")
 
 
-def bounded(side: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
-
-
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """nodes (digest, tokens, roots) to links (a, b) between nodes whose tokens agree, along the paths."""
     level = nodes.select("digest", F.explode("roots").alias("path"))
