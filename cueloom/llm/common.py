@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.shared import cut, scratch, shared_dir, table
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "bounded", "cut", "key_crc", "scratch", "shared_dir", "table"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "bounded", "cut", "key_crc", "lean_batches", "scratch", "shared_dir", "table"]
 
 #: ASCII letters, for lower-casing that leaves every other letter alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +20,19 @@ def bounded(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+#: Rows that go to a Python worker at once. Spark's own default of 10,000 long texts would be held several times over, on either side.
+BATCH_ROWS = 1000
+
+
+def lean_batches(frame: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches have BATCH_ROWS rows at most."""
+    conf = frame.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return frame
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

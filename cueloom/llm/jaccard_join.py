@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, lean_batches
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -36,7 +36,7 @@ SIGNATURE, ROOTS, DEPTH, SMALL, BLOCK = 64, 20, 3, 48, 1024
 #: Tokens that must agree, of SIGNATURE: nearly five standard deviations below what a pair at the threshold has.
 AGREE = 36
 VERIFY_BLOCK = 512
-MEMO = 1_000_000
+MEMO = 200_000
 
 _random = np.random.default_rng(20240229)
 _MULTIPLIERS = _random.integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,22 +134,25 @@ def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"digest": batch["digest"].to_numpy()[rows], "path": paths})
 
 
-def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key, from batches in which equal keys follow each other."""
-    held: list[pd.DataFrame] = []
+def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], list[int]]]:
+    """Columns, and the bounds of the runs of equal keys in them, from batches in which equal keys follow each other. Every run is whole: the last one of a batch waits for the next batch."""
+    held: dict[str, np.ndarray] | None = None
     for batch in batches:
-        if not len(batch):
+        rows = {name: batch[name].to_numpy() for name in batch.columns}
+        if held is not None:
+            rows = {name: np.concatenate([held[name], rows[name]]) for name in rows}
+        n = len(rows[keys[0]])
+        if not n:
             continue
-        codes = batch[keys].to_numpy()
-        edges = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
-        for first, last in zip(edges, edges[1:], strict=False):
-            part = batch.iloc[first:last]
-            if held and tuple(held[-1][keys].iloc[-1]) != tuple(part[keys].iloc[0]):
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        new = np.zeros(n - 1, bool)
+        for key in keys:
+            new |= rows[key][1:] != rows[key][:-1]
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist()]
+        if bounds[-1]:
+            yield {name: values[: bounds[-1]] for name, values in rows.items()}, bounds
+        held = {name: values[bounds[-1] :] for name, values in rows.items()}
+    if held is not None:
+        yield held, [0, len(held[keys[0]])]
 
 
 def first_linked(linked: np.ndarray) -> np.ndarray:
@@ -166,24 +169,22 @@ def first_linked(linked: np.ndarray) -> np.ndarray:
 
 def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (path, part, other, digest, tokens) of buckets to links (a, b) of members to the first member of their candidate group."""
-    found: list[tuple[bytes, bytes]] = []
-    for bucket in runs_of(batches, ["path", "part", "other"]):
-        digests = [bytes(x) for x in bucket["digest"]]
-        tokens = np.stack([np.frombuffer(x, np.uint16) for x in bucket["tokens"]])
-        if len(tokens) == 2:
-            if (tokens[0] == tokens[1]).sum() >= AGREE:
-                found.append((digests[0], digests[1]))
-        elif len(tokens) > 2:
-            linked = np.empty((len(tokens), len(tokens)), bool)
-            for first in range(0, len(tokens), 64):
-                linked[first : first + 64] = (tokens[first : first + 64, None, :] == tokens[None, :, :]).sum(axis=2) >= AGREE
-            for k, root in enumerate(first_linked(linked)):
-                if k != root:
-                    found.append((digests[k], digests[root]))
-        if len(found) > 20_000:
-            yield pd.DataFrame(found, columns=["a", "b"])
-            found = []
-    yield pd.DataFrame(found, columns=["a", "b"])
+    for rows, bounds in runs_of(batches, ["path", "part", "other"]):
+        tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint16).reshape(-1, SIGNATURE)
+        firsts, sizes = np.array(bounds[:-1]), np.diff(bounds)
+        pairs = firsts[sizes == 2]
+        pairs = pairs[(tokens[pairs] == tokens[pairs + 1]).sum(axis=1) >= AGREE]
+        a, b = [pairs], [pairs + 1]
+        for first, size in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            own = tokens[first : first + size]
+            linked = np.empty((size, size), bool)
+            for k in range(0, size, 64):
+                linked[k : k + 64] = (own[k : k + 64, None, :] == own[None, :, :]).sum(axis=2) >= AGREE
+            root = first_linked(linked)
+            moved = np.flatnonzero(root != np.arange(size))
+            a.append(first + moved)
+            b.append(first + root[moved])
+        yield pd.DataFrame({"a": rows["digest"][np.concatenate(a)], "b": rows["digest"][np.concatenate(b)]})
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -209,18 +210,21 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def verify(similarity: float):
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (root, part, other, own, digest, text) of candidate groups to (digest, links, first)."""
-        for group in runs_of(batches, ["root", "part", "other"]):
-            group = group.assign(digest=[bytes(x) for x in group["digest"]]).drop_duplicates("digest")
-            sets = [np.unique(shingles(text)) for text in group["text"]]
-            size = np.array([len(s) for s in sets])
-            both = intersections(sets)
-            linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
-            np.fill_diagonal(linked, False)
-            if group["part"].iloc[0] != group["other"].iloc[0]:
-                own = group["own"].to_numpy()
-                linked &= own[:, None] != own[None, :]
-            digests = group["digest"].to_numpy()
-            yield pd.DataFrame({"digest": digests, "links": linked.sum(axis=1).astype(np.int64), "first": digests[first_linked(linked)]})
+        for rows, bounds in runs_of(batches, ["root", "part", "other"]):
+            found: list[tuple[np.ndarray, ...]] = []
+            for first, last in zip(bounds, bounds[1:], strict=False):
+                digests, own = rows["digest"][first:last], rows["own"][first:last]
+                keep = np.array(sorted({bytes(d): k for k, d in enumerate(digests)}.values()))
+                digests, own = digests[keep], own[keep]
+                sets = [np.unique(shingles(text)) for text in rows["text"][first:last][keep]]
+                size = np.array([len(s) for s in sets])
+                both = intersections(sets)
+                linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+                np.fill_diagonal(linked, False)
+                if rows["part"][first] != rows["other"][first]:
+                    linked &= own[:, None] != own[None, :]
+                found.append((digests, linked.sum(axis=1).astype(np.int64), digests[first_linked(linked)]))
+            yield pd.DataFrame(dict(zip(("digest", "links", "first"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return verified
 
@@ -262,7 +266,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     if similarity < SIMILARITY:
         raise ValueError(f"paths are laid out for similarities of {SIMILARITY} or more")
-    keyed = documents.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+    keyed = lean_batches(documents).select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
     kind = dict(keyed.dtypes)["doc_id"]
     sketched = cut(keyed.mapInPandas(sketch, f"doc_id {kind}, digest binary, tokens binary, roots array<long>"))
     nodes = cut(sketched.where("tokens is not null").groupBy("digest").agg(

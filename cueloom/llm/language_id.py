@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_crc
+from .common import key_crc, lean_batches
 
 PROFILE, ORDERS = 300, 3
 #: Documents are counted together up to about so many characters; a task passes on what it has counted when it has so many n-grams.
@@ -133,7 +133,7 @@ def identify(documents: DataFrame, training: Column | None = None, text: str = "
     if nothing could be learned, get "und" and 0. Equal texts get equal results.
     """
     taught = training if training is not None else F.pmod(key_crc(F.col(key)), F.lit(5)) != 0
-    known = documents.where(taught & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = lean_batches(documents).where(taught & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     profiles = language_profiles(known)
 
     @F.pandas_udf("lang_pred string, score double")
