@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_crc
+from .common import cut, key_crc, lean_batches
 
 TRAINING_ROWS = 40_000
 BINS, COARSE, LEAVES, ROUNDS, PAIRS, PAIR_ROUNDS, STEP, SMOOTH = 48, 8, 3, 300, 6, 80, 0.08, 4.0
@@ -58,7 +58,7 @@ def features_of(text: str | None) -> list[float]:
 def featured(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, features array<double>) of every row."""
     extract = F.pandas_udf(lambda texts: texts.map(features_of), "array<double>")
-    return documents.select(F.col(key).alias("key"), extract(F.coalesce(F.col(text), F.lit(""))).alias("features"))
+    return lean_batches(documents).select(F.col(key).alias("key"), extract(F.coalesce(F.col(text), F.lit(""))).alias("features"))
 
 
 def leaf_values(gradient: np.ndarray, weight: np.ndarray, leaves: int) -> np.ndarray:
