@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, lean_batches
@@ -255,9 +255,10 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document row: doc_id, digest (of the text), class_id, n_links, n_copies.
+    """One row per document row: doc_id, digest (of the text), root, class_id, n_links, n_copies.
 
-    class_id: the least doc_id of all documents that are linked, directly or over others, or copies of each other.
+    root: the class itself, named by the least digest of its linked texts (the text's own digest without links); null for null
+    and wordless texts. class_id, which several classes may share where keys are null or repeated: the least doc_id of all documents that are linked, directly or over others, or copies of each other.
     n_links: with how many different texts a document's text is linked. n_copies: rows with the very same text.
     Null texts and texts without words are linked with nothing: each is its own class (class_id its doc_id)
     with no links and one copy. Texts of fewer than WORDS words are one shingle. Null keys take part; a
@@ -281,13 +282,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     links = compared.groupBy("digest").agg(F.sum("links").alias("links")).where("links > 0")
     classes = components(compared.select(F.col("digest").alias("a"), F.col("first").alias("b")))
     joined = classes.withColumnRenamed("node", "digest").join(nodes.select("digest", "doc"), ["digest"])
-    named = joined.join(joined.groupBy("root").agg(F.min("doc").alias("class")), ["root"]).join(links, ["digest"], "left").select("digest", "class", "links")
+    named = joined.join(joined.groupBy("root").agg(F.min("doc").alias("class")), ["root"]).join(links, ["digest"], "left").select("digest", "root", "class", "links")
     linked = nodes.select("digest", "doc", "copies").join(named, ["digest"], "left").select(
-        "digest", F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("doc")).alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+        "digest", F.when(F.col("links").isNotNull(), F.col("root")).otherwise(F.col("digest")).alias("root"),
+        F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("doc")).alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
     rows = sketched.select("doc_id", "digest", F.col("tokens").isNull().alias("__none"))
     result = rows.join(linked, ["digest"], "left")
     return result.select(
-        "doc_id", "digest", F.when(F.col("__none"), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
+        "doc_id", "digest", "root", F.when(F.col("__none"), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
         F.when(F.col("__none"), F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
         F.when(F.col("__none"), F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
     )
@@ -300,14 +302,16 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", simi
     """
     found = cut(near_duplicates(documents, key, text, similarity))
     inside = found.where("n_links > 0 or n_copies > 1")
-    order = Window.partitionBy("class_id").orderBy(F.col("doc_id").asc_nulls_last(), "digest")
-    ranked = inside.groupBy("class_id", "doc_id", "digest").agg(F.count("*").alias("rows")).withColumn("place", F.row_number().over(order))
-    gone = cut(ranked.where("place > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
+    best = inside.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unkeyed"), "doc_id", "digest")).alias("b")).select(
+        F.col("b.doc_id").alias("__doc"), F.col("b.digest").alias("__best"))
+    grouped = inside.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count("*").alias("rows"))
+    ranked = cut(grouped.join(best, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__digest") == F.col("__best")), "left"))
+    gone = ranked.where("__best is null").select("__id", "__digest")
     marked = documents.withColumn("__print", F.unhex(F.md5(F.col(text).cast("binary"))))
     same = marked[key].eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__digest"))
     kept = marked.join(bounded(gone, gone.count()), same, "left_anti")
-    if ranked.where("place = 1 and rows > 1").limit(1).count():
-        repeated = cut(ranked.where("place = 1 and rows > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
+    repeated = ranked.where("__best is not null and rows > 1").select("__id", "__digest")
+    if repeated.limit(1).count():
         once = kept.join(repeated, same, "left_semi").dropDuplicates([key, "__print"])
         kept = kept.join(repeated, same, "left_anti").unionByName(once)
     return kept.drop("__print")

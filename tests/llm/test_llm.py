@@ -121,6 +121,15 @@ def test_one_of_each_group_stays(spark, odd):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 1, 2, 3, 4, 6, None, None])
 
 
+def test_one_of_each_class_stays_under_null_and_repeated_keys(spark):
+    base = [f"w{k}" for k in range(300)]
+    near = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in (0, 10)]
+    rows = [(None, "text a"), (None, "text a"), (None, "text b"), (None, "text b"), (None, near[0]), (None, near[1]), (1, "text c"), (2, "text c"), (1, "text d"), (3, "text d"), (4, "text e"), (None, "text e")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs(spark, *rows)).collect()]
+    assert Counter("near" if t in near else t for _, t in kept) == Counter(["text a", "text b", "text c", "text d", "text e", "near"])
+    assert {k for k, t in kept if t in ("text c", "text d")} == {1} and (4, "text e") in kept
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (3, 3), (5, None), *[(k, k + 1) for k in range(20, 60)]], "a long, b long")
     found = {r["node"]: r["root"] for r in components(edges).collect()}
