@@ -9,9 +9,9 @@ is a proper log-probability.
 
 Training is truncated backpropagation in numpy over lanes of whole texts laid end to end,
 the state passed from window to window. Each trainer (a task) starts from the shared weights, works
-through its texts, and returns its weights; Spark averages them block by block, ROUNDS times. Trainers take
-the training texts of SHARE of the key hashes, so their work grows with the corpus; biases start at
-the logarithms of the shares that were counted over all training texts.
+through its texts, and returns its weights; Spark averages them block by block, ROUNDS times. All training
+texts are dealt to the rounds by hash, so each is worked through once and the work grows with the corpus; biases
+start at the logarithms of the shares that were counted over all training texts.
 
 Scoring carries the state over a text's windows to its end. Words outside the HEAD most
 frequent (a bound on what is broadcast) get their counts by a join.
@@ -32,7 +32,7 @@ SMOOTH = 0.1
 WINDOW, LANES, PIECE = 24, 128, 480
 #: Texts are scored side by side, so many tokens of them at a time.
 SCORE_WINDOW, SCORE_LANES, SCORE_TOKENS = 48, 512, 5_000_000
-SHARE, ROUNDS, TRAINER_BYTES, RATE = 0.25, 3, 12_000_000, 0.02
+ROUNDS, TRAINER_BYTES, RATE = 3, 12_000_000, 0.02
 COUNT_FLUSH = 500_000
 
 
@@ -240,15 +240,20 @@ def log_likelihoods(p: dict, lexicon: Lexicon, texts: list[np.ndarray], lanes: i
     return total
 
 
-def gradients(p: dict, lexicon: Lexicon, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of minus ln P summed over a window (time by lane), the state after it, and the sum itself."""
+def gradients(p: dict, lexicon: Lexicon, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, taken: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+    """Gradients of minus ln P summed over a window (time by lane), the state after it, and the sum itself. taken: the places that count, if not all; those after them in a lane must not count either."""
     kept, states = [], []
     for row, old in zip(inputs, fresh, strict=True):
         h, keep = step(p, row, h * old[:, None])
         kept.append(keep)
         states.append(h)
     back: dict[str, np.ndarray] = {}
-    out, ds = outputs(p, lexicon, np.concatenate(states), targets.ravel(), back)
+    states_, wanted = np.concatenate(states), targets.ravel()
+    if taken is None or taken.all():
+        out, ds = outputs(p, lexicon, states_, wanted, back)
+    else:
+        rows, ds = np.flatnonzero(taken), np.zeros_like(states_)
+        out, ds[rows] = outputs(p, lexicon, states_[rows], wanted[rows], back)
     ds = ds.reshape(len(inputs), *h.shape)
     d = np.zeros_like(h)
     dx, du = np.empty((len(inputs), len(h), p["x"].shape[1]), h.dtype), np.zeros_like(p["u"])
@@ -277,13 +282,12 @@ def train(p: dict, lexicon: Lexicon, texts: list[np.ndarray], rate: float = RATE
     h, n = np.zeros((s.inputs.shape[1], p["u"].shape[0]), np.float32), 0
     for first in range(0, len(s.inputs), WINDOW):
         last = min(first + WINDOW, len(s.inputs))
-        live = int((s.sizes >= last).sum())  # lanes that fill the window; the last few places of a lane that ends inside it are passed over
-        if not live:
-            break
+        live = int((s.sizes > first).sum())
+        taken = np.arange(first, last)[:, None] < s.sizes[None, :live]  # a lane that ends inside the window counts up to its end
         at = slice(first, last), slice(0, live)
-        grads, h, _ = gradients(p, lexicon, s.inputs[at], s.targets[at], s.fresh[at], h[:live])
+        grads, h, _ = gradients(p, lexicon, s.inputs[at], s.targets[at], s.fresh[at], h[:live], taken)
         n += 1
-        count = (last - first) * live
+        count = int(taken.sum())
         for k, g in grads.items():
             g = g / np.float32(count)
             mean[k] += np.float32(0.1) * (g - mean[k])
@@ -348,12 +352,12 @@ def corpus(training: DataFrame) -> tuple[DataFrame, list[tuple[bytes, int]], dic
     return counts, head, {"ends": texts, "total": sums["n"] + texts, "distinct": sums["v"] + (texts > 0)}
 
 
-def score_texts(documents: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(documents: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document row: doc_id, n_tokens, n_known, train_tokens, base_score, score; all logarithms to base 10.
 
     training: the rows to learn from; those whose key's CRC-32 isn't a multiple of 10 if not given. Null texts
     count as empty ones: one end token. Equal texts get equal counts and base scores, and scores equal but for
-    rounding. Without training rows every word is unknown. share: of the training rows' hashes, for the recurrent weights.
+    rounding. Without training rows every word is unknown. rounds: into so many parts the training rows are dealt.
     """
     spark = documents.sparkSession
     keyed = lean_batches(documents).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -369,13 +373,12 @@ def score_texts(documents: DataFrame, training: Column | None = None, key: str =
         return made[0]
 
     weights = initial(lexicon_of())
-    spread = F.pmod(F.xxhash64(F.lit("lm"), F.col("doc_id"), "text"), F.lit(1_000_000))
+    spread = F.pmod(F.xxhash64(F.lit("lm"), F.col("doc_id"), "text"), F.lit(rounds))
     for number in range(rounds):
-        mine = spread.between(int(share * 1e6 * number / rounds), int(share * 1e6 * (number + 1) / rounds) - 1)
-        sample = taught.where(mine).withColumn("key", F.xxhash64("text"))
-        size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        part = taught.where(spread == number).withColumn("key", F.xxhash64("text"))
+        size = part.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         trainers = max(1, -(-size * rounds // TRAINER_BYTES))
-        weights = trained(weights, lexicon_of, sample.select(F.pmod(F.xxhash64("key", "doc_id"), F.lit(trainers)).cast("int").alias("trainer"), "key", "text"), trainers)
+        weights = trained(weights, lexicon_of, part.select(F.pmod(F.xxhash64("key", "doc_id"), F.lit(trainers)).cast("int").alias("trainer"), "key", "text"), trainers)
     model = spark.sparkContext.broadcast(weights)
     made.clear()
 

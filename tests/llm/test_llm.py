@@ -232,6 +232,29 @@ def test_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
     assert rows[0] > rows[1]
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    taught, train_ = [], recurrent_lm.trained
+    monkeypatch.setattr(recurrent_lm, "trained", lambda p, lexicon_of, texts, trainers: taught.extend(r["text"] for r in texts.collect()) or train_(p, lexicon_of, texts, trainers))
+    recurrent_lm.lm_report(corpus_of(spark)).count()
+    rows = corpus_of(spark).collect()
+    assert Counter(taught) == Counter(r["text"] or "" for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 10)
+
+
+def test_lm_learns_from_the_ends_of_lanes():
+    lex = lexicon()
+    p, texts = recurrent_lm.initial(lex), [lex.encode(t)[0] for t in ("a b c", "b d", "")]
+    moved = recurrent_lm.train(p, lex, texts)
+    assert all((moved[k] != p[k]).any() for k in ("wc", "bc"))
+    s = recurrent_lm.Streams(recurrent_lm.pieces_of(texts, lex), 3)
+    q = {k: v.astype(np.float64) for k, v in moved.items()}
+    taken = np.arange(len(s.inputs))[:, None] < s.sizes[None, :]
+    grads, _, loss = recurrent_lm.gradients(q, lex, s.inputs, s.targets, s.fresh.astype(float), np.zeros((3, recurrent_lm.HIDDEN)), taken)
+    assert loss == pytest.approx(-recurrent_lm.log_likelihoods(q, lex, texts).sum(), rel=1e-4)
+    alone = [recurrent_lm.gradients(q, lex, i[:, None], t[:, None], np.array([[0.0]] + [[1.0]] * (len(i) - 1)), np.zeros((1, recurrent_lm.HIDDEN)))[0] for i, t in recurrent_lm.pieces_of(texts, lex)]
+    for k in q:
+        assert grads[k] == pytest.approx(sum(g[k] for g in alone), abs=1e-9)
+
+
 def test_lm_of_odd_rows(spark, odd, none):
     assert recurrent_lm.lm_report(odd).count() == odd.count()
     assert recurrent_lm.lm_report(none).count() == 0
