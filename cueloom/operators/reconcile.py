@@ -5,6 +5,10 @@ as read_calibrations gives them; manifests(source, source_sha256, source_hash_sc
 as read_manifests gives them; files(name, sha256, ...), one row per file and hash.
 """
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,8 +164,34 @@ def project_status(inputs: DataFrame, manifests: DataFrame, rendered: DataFrame,
 
 
 def batch_outcome(log: DataFrame) -> DataFrame:
-    """log (name, status of ok, skipped or failed) to (status, n, names): counts and sorted names."""
-    return log.groupBy("status").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+    """log (name, status of ok, skipped or failed) to (status, n), counted in part before the shuffle."""
+    return log.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def batch_names(log: DataFrame) -> DataFrame:
+    """log to (status, name): the names as ordinary rows, sorted by ranges of both, so that no row or task holds all names of a status."""
+    return log.where("name is not null").select("status", "name").orderBy("status", "name")
+
+
+def names_digest(log: DataFrame) -> DataFrame:
+    """(status, names_md5): MD5 of each status's sorted names with commas between them. A digest is made in order, so a task reads a status's rows as a stream; sorts spill, and only the digest is held."""
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        status, digest = None, None
+        for batch in batches:
+            for key, names in batch.groupby("status", sort=False, dropna=False)["name"]:
+                key = None if pd.isna(key) else key
+                data = ",".join(names).encode()
+                if digest is not None and key == status:
+                    digest.update(b"," + data)
+                    continue
+                if digest is not None:
+                    yield pd.DataFrame({"status": [status], "names_md5": [digest.hexdigest()]}, dtype=object)
+                status, digest = key, hashlib.md5(data)
+        if digest is not None:
+            yield pd.DataFrame({"status": [status], "names_md5": [digest.hexdigest()]}, dtype=object)
+
+    named = log.where("name is not null").select("status", "name")
+    return named.repartition("status").sortWithinPartitions("status", "name").mapInPandas(digests, "status string, names_md5 string")
 
 
 def content_dedup(incoming: DataFrame, archive: DataFrame) -> DataFrame:

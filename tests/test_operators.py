@@ -1,5 +1,6 @@
 """Hand-made cases of the operators."""
 
+import hashlib
 import json
 
 import pytest
@@ -228,3 +229,15 @@ def test_drain_is_idempotent(spark, tmp_path):
     run()
     assert sorted(r["name"] for r in spark.read.parquet(at["archive"]).collect()) == ["a", "f"]
     assert {(r["name"], r["status"]) for r in D.ledger(spark, at["log"]).collect()} == {("a", "drained"), ("b", "drained"), ("c", "skipped"), ("d", "skipped"), ("e", "drained"), ("f", "drained")}
+
+
+def test_batch_outcome_gathers_no_names(spark):
+    names = [f"n{k:04}" for k in range(3000)]
+    log = spark.createDataFrame([(n, "ok" if k % 3 else "failed") for k, n in enumerate(names)] + [("x", None), (None, "ok")], "name string, status string").repartition(7)
+    assert {tuple(r) for r in R.batch_outcome(log).collect()} == {("ok", 2001), ("failed", 1000), (None, 1)}
+    kinds = {"ok": [n for k, n in enumerate(names) if k % 3], "failed": names[::3], None: ["x"]}
+    assert [tuple(r) for r in R.batch_names(log).collect()] == [(None, "x"), *[(s, n) for s in ("failed", "ok") for n in kinds[s]]]
+    found = R.names_digest(log)
+    assert {r["status"]: r["names_md5"] for r in found.collect()} == {s: hashlib.md5(",".join(n).encode()).hexdigest() for s, n in kinds.items()}
+    for frame in (R.batch_outcome(log), R.batch_names(log), found):
+        assert "collect_list" not in frame._jdf.queryExecution().toString()
