@@ -4,13 +4,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULT, Config
+from ..functions.shared import cut
 from .boundaries import near, seg, word
 
 #: End types and causes. Fixed values.
 SENTENCE, SPEECH_END, NO_WORDS, COMMA, HANGING, MID_WORD, PAUSE = "фраза(.!?)", "конец речи", "нет слов", "запятая", "висячее", "мид-слово", "пауза"
 NO_WORDS_CAUSE, PADDED, FALLBACK, NO_BOUNDARY = "нет слов в клипе", "PAD-хвост", " (snap-fallback)", "snap-fallback (нет чистой границы)"
 SLACK = 0.05
-#: Words looked back on from the last one before the end.
+#: Words looked back on at first from the last one before the end; where these don't settle the end, all words before it are.
 BACK = 16
 
 
@@ -19,6 +20,18 @@ def decimals(value, pattern: str):
     return F.call_function("format_number", value, F.lit(pattern)).cast("double")
 
 
+def with_next_start(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds after_t0 to rows (tid, w): the start of the first word in order that starts after w's end. As-of, on the latest start up to each word: the words for which it isn't after that end come first."""
+    order = Window.partitionBy("tid").orderBy("idx")
+    latest = words.select("tid", F.max("t0").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__at"), F.struct("idx", "next_t0").alias("__word"))
+    ends = rows.select("tid", (F.col("w.t1") + 0.001).alias("__at"), F.struct(*rows.columns).alias("__row"))
+    both = ends.unionByName(latest, allowMissingColumns=True)
+    upto = Window.partitionBy("tid").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = both.withColumns({"__passed": F.max("__word").over(upto), "__first": F.min(F.when(F.col("__word").isNotNull(), F.col("__at"))).over(Window.partitionBy("tid"))})
+    after = F.when(F.col("__passed").isNull(), F.when(F.col("__at").isNotNull(), F.col("__first"))).otherwise(F.col("__passed.next_t0"))
+    return passed.where(F.col("__row").isNotNull()).select("__row.*", after.alias("after_t0"))
+
+
 def classify_end(segments: DataFrame, words: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row per segment: tid, ord, duration, last_words, end_type, pause_after, verdict (CLEAN, SOFT or HARD), cause. words: flagged.
 
@@ -31,14 +44,20 @@ def classify_end(segments: DataFrame, words: DataFrame, config: Config = DEFAULT
     times = words.select("tid", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("double").alias("t_start"), F.lit(None).cast("double").alias("t_end"), F.col("t1").alias("at"), "idx")
     upto = Window.partitionBy("tid").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = ends.unionByName(times).withColumn("k", F.max("idx").over(upto)).where("t_end is not null")
-    back = found.select("tid", "ord", "t_start", "t_end", "at", F.explode_outer(F.when(F.col("k").isNotNull(), F.sequence(F.greatest(F.lit(0), F.col("k") - BACK), F.col("k")))).alias("i"))
-    w = words.select(F.col("tid").alias("wt"), F.col("idx").alias("i"), F.struct("idx", "word", "t0", "t1", "sentence_end", "midphrase", "hanging", "after_t0").alias("w"))
-    joined = back.join(w, (F.col("tid") == F.col("wt")) & (back["i"] == w["i"]) & (F.col("w.t1") <= F.col("at")), "left")
-    rows = joined.groupBy("tid", "ord", "t_start", "t_end").agg(F.array_sort(F.collect_list("w")).alias("a"))
+    columns = ("tid", "ord", "t_start", "t_end", "at", "k")
+    w = words.select(F.col("tid").alias("wt"), F.col("idx").alias("i"), F.struct("idx", "word", "t0", "t1", "sentence_end", "midphrase", "hanging").alias("w"))
     at = lambda k: F.get(F.col("a"), k - 1)
     places = F.when(F.size("a") > 0, F.sequence(F.lit(1), F.size("a"))).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("n", F.array_max(F.filter(places, lambda k: (k == 1) | ~((at(k)["t0"] < at(k - 1)["t1"]) & at(k - 1)["sentence_end"]))))
-    rows = rows.withColumn("w", at(F.col("n"))).withColumn("pause_after", decimals(F.col("w.after_t0") - F.col("w.t1"), "0.00"))
+    walked = F.array_max(F.filter(places, lambda k: (k == 1) | ~((at(k)["t0"] < at(k - 1)["t1"]) & at(k - 1)["sentence_end"])))
+    gathered = lambda joined: joined.groupBy(*columns).agg(F.array_sort(F.collect_list("w")).alias("a")).withColumn("n", walked)
+    back = found.select(*columns, F.explode_outer(F.when(F.col("k").isNotNull(), F.sequence(F.greatest(F.lit(0), F.col("k") - BACK), F.col("k")))).alias("i"))
+    looked = cut(gathered(back.join(w, (F.col("tid") == F.col("wt")) & (back["i"] == w["i"]) & (F.col("w.t1") <= F.col("at")), "left")))
+    # Open: the walk came to the first of the words looked at, or fewer than the last five are among them, and there are words before.
+    more = F.coalesce((F.col("k") > BACK) & ((F.col("n") == 1) | (F.size("a") < 5)), F.lit(False))
+    far = looked.where(more).select(*columns)
+    rest = gathered(far.join(w, (F.col("tid") == F.col("wt")) & (F.col("i") <= F.col("k")) & (F.col("w.t1") <= F.col("at"))))
+    rows = looked.where(~more).unionByName(rest).withColumn("w", at(F.col("n")))
+    rows = with_next_start(rows, words).withColumn("pause_after", decimals(F.col("after_t0") - F.col("w.t1"), "0.00"))
     gap = F.col("pause_after")
     kind = (
         F.when(F.col("w").isNull(), NO_WORDS).when(F.col("w.sentence_end"), SENTENCE).when(gap.isNull(), SPEECH_END).when(F.col("w.midphrase"), COMMA).when(F.col("w.hanging"), HANGING)

@@ -105,6 +105,22 @@ def test_end_classes(spark):
     assert {(r["verdict"], r["n"]) for r in A.end_quality_summary(A.classify_end(segments(spark, (0, 1, 1)), w)).collect()} == {("CLEAN", 1)}
 
 
+def test_end_classes_with_many_overlapping_words(spark):
+    # Forty words of no length start within "и": the next start is the forty-first.
+    loop = B.flagged(words(spark, ("и", 0, 5), *[("раз", 1, 6)] * 40, ("потом", 5.9, 7)))
+    row = A.classify_end(segments(spark, (0, 5, 1)), loop).first()
+    assert (row["end_type"], row["pause_after"], row["verdict"], row["last_words"]) == (A.HANGING, 0.9, "HARD", "и")
+    # Each of forty sentence ends starts within the one before: the walk goes back to the first.
+    ends = B.flagged(words(spark, ("тут", 0, 1), *[(f"да{k}.", 2 - k * 0.01, 3) for k in range(40)], ("и", 2.9, 3), ("всё", 9, 10)))
+    row = A.classify_end(segments(spark, (0, 3, 1)), ends).first()
+    assert (row["end_type"], row["pause_after"], row["last_words"]) == (A.SENTENCE, 6.0, "да36. да37. да38. да39. и")
+    early = B.flagged(words(spark, ("и.", 0, 40), *[("да.", 1, 50)] * 30, ("конец", 60, 61)))
+    assert A.classify_end(segments(spark, (0, 50, 1)), early).first()["pause_after"] == 20.0
+    # The last words before the end lie more than sixteen places apart.
+    apart = B.flagged(words(spark, ("один", 0, 1), ("два", 1, 2), *[("долго", 2, 60)] * 30, ("да", 3, 4), ("конец", 70, 71)))
+    assert A.classify_end(segments(spark, (0, 4, 1)), apart).first()["last_words"] == "один два да"
+
+
 def test_dedup_keeps_overlap_at_the_threshold(spark):
     at = segments(spark, (0, 100, 70), (50, 150, 90))
     assert C.dedup_by_start(at).count() == 2
