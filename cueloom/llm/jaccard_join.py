@@ -5,22 +5,25 @@ Jaccard similarity is SIMILARITY or more. Equal texts are one node from the star
 
 Each set is embedded as SIGNATURE min-hash tokens, which two sets share in proportion to
 their similarity. Chosen paths split the nodes: a bucket is a path of sampled tokens that
-all its members share. ROOTS first tokens start the runs (repeated runs side by side); a bucket
+all its members share. First tokens start the runs, as many runs side by side (ROOTS) as the target recall needs; a bucket
 of more than SMALL members is split again on tokens that its path samples, on average
 1 / SIMILARITY of them, so that a pair at the threshold stays together on some path with a
 probability that falls only slowly with depth. Small buckets, and those that are still large at
 depth DEPTH (in blocks of BLOCK members, each pair of blocks a task of its own), are compared
-member by member on their tokens. Of two splits a pair at the threshold survives 0.47 in the mean, so it
-meets in none of the runs with probability (1 - 0.8 * 0.47) ** ROOTS < 1e-4 even where all of its buckets
-are split twice.
+member by member on their tokens. Of two splits a pair at the threshold survives SURVIVES in the mean, so it
+meets in none of the runs with probability (1 - SIMILARITY * SURVIVES) ** ROOTS even where all of its buckets
+are split twice; ROOTS is the least number that keeps this below 1 - RECALL.
 
 Pairs whose tokens agree well enough make candidate groups, passed on as one link per member to
 the first of its group, never as pairs. Within a candidate group all sets are then compared
 exactly, in blocks; a task gives each member's number of links and one link to its group's
-first, so rows stay in proportion to members although every pair was counted. Texts travel
-once per block pair, and only texts of candidate groups do.
+first, so rows stay in proportion to members although every pair was counted. Texts become sets of hashed
+shingles once, in the task that reads them; only sets of candidate groups travel, once per pair of blocks. Blocks
+are bounded in members and in shingles, so that long texts don't fill a task.
 """
 
+import math
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +31,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, lean_batches
+from .common import bounded, cut, join_weighed, lean_batches
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
-SIGNATURE, ROOTS, DEPTH, SMALL, BLOCK = 64, 20, 3, 48, 1024
+SIGNATURE, DEPTH, SMALL, BLOCK = 64, 3, 48, 1024
+#: Share of the pairs at the threshold that are to meet in some run; how many of them two splits leave together.
+RECALL, SURVIVES = 0.9999, 0.47
+ROOTS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY * SURVIVES))
 #: Tokens that must agree, of SIGNATURE: nearly five standard deviations below what a pair at the threshold has.
 AGREE = 36
-VERIFY_BLOCK = 512
+VERIFY_BLOCK, VERIFY_SHINGLES = 512, 2_000_000
 MEMO = 200_000
 
 _random = np.random.default_rng(20240229)
@@ -94,7 +100,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, digest, text) to (doc_id, digest, n words' runs, tokens, roots)."""
+    """(doc_id, digest, text) to (doc_id, digest, runs (of words), tokens, roots)."""
     for batch in batches:
         sets = [shingles(text) for text in batch["text"]]
         some = [k for k, s in enumerate(sets) if len(s)]
@@ -106,7 +112,7 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first = mixed(full[:, :ROOTS] + _STEP * np.arange(1, ROOTS + 1, dtype=np.uint64)).view(np.int64)
             for k, row, root in zip(some, short, first, strict=True):
                 tokens[k], roots[k] = row.tobytes(), root
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "tokens": tokens, "roots": roots})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "runs": [len(s) for s in sets], "tokens": tokens, "roots": roots})
 
 
 def branches(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,16 +213,25 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(root, size, digest, text) to (root, size, digest, shingles: the sorted set); copies of a text in one task give one row."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        new = [k for k, d in enumerate(batch["digest"]) if not (bytes(d) in seen or seen.add(bytes(d)))]
+        rows = batch.iloc[new]
+        yield pd.DataFrame({"root": rows["root"], "blocks": rows["blocks"], "digest": rows["digest"], "shingles": [np.unique(shingles(text)).tobytes() for text in rows["text"]]})
+
+
 def verify(similarity: float):
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows (root, part, other, own, digest, text) of candidate groups to (digest, links, first)."""
+        """Rows (root, part, other, own, digest, shingles) of candidate groups to (digest, links, first)."""
         for rows, bounds in runs_of(batches, ["root", "part", "other"]):
             found: list[tuple[np.ndarray, ...]] = []
             for first, last in zip(bounds, bounds[1:], strict=False):
                 digests, own = rows["digest"][first:last], rows["own"][first:last]
                 keep = np.array(sorted({bytes(d): k for k, d in enumerate(digests)}.values()))
                 digests, own = digests[keep], own[keep]
-                sets = [np.unique(shingles(text)) for text in rows["text"][first:last][keep]]
+                sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"][first:last][keep]]
                 size = np.array([len(s) for s in sets])
                 both = intersections(sets)
                 linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
@@ -229,11 +244,10 @@ def verify(similarity: float):
     return verified
 
 
-def in_blocks(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Adds own, part and other: groups over `block` members are dealt into blocks, and each member goes once to each pair of blocks with its own."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    own = members.withColumn("own", F.pmod(F.xxhash64(key, "digest"), blocks).cast("int"))
-    spread = own.withColumn("__with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def in_blocks(members: DataFrame, key: str, blocks: str) -> DataFrame:
+    """Adds own, part and other: groups of several blocks are dealt into them, and each member goes once to each pair of blocks with its own."""
+    own = members.withColumn("own", F.pmod(F.xxhash64(key, "digest"), F.col(blocks)).cast("int"))
+    spread = own.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
     return spread.withColumns({"part": F.least("own", "__with"), "other": F.greatest("own", "__with")}).drop("__with")
 
 
@@ -242,14 +256,15 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     level = nodes.select("digest", F.explode("roots").alias("path"))
     finals = None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        shared = cut(level.join(sizes, ["path"]))
+        sizes = cut(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        shared = cut(join_weighed(level, sizes, ["path"], "size"))
         done = shared if depth == DEPTH else shared.where(F.col("size") <= SMALL)
         finals = done if finals is None else finals.unionByName(done)
         if depth < DEPTH:
             large = shared.where(F.col("size") > SMALL).select("digest", "path").join(nodes.select("digest", "tokens"), ["digest"])
             level = cut(large.mapInPandas(deeper, "digest binary, path long").distinct())
-    buckets = in_blocks(finals, "path", "size", BLOCK).join(nodes.select("digest", "tokens"), ["digest"])
+    dealt = in_blocks(finals.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "path", "blocks")
+    buckets = dealt.join(nodes.select("digest", "tokens"), ["digest"])
     sorted_ = buckets.select("path", "part", "other", "digest", "tokens").repartition("path", "part", "other").sortWithinPartitions("path", "part", "other", "digest")
     return sorted_.mapInPandas(agreeing, "a binary, b binary")
 
@@ -267,32 +282,36 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     if similarity < SIMILARITY:
         raise ValueError(f"paths are laid out for similarities of {SIMILARITY} or more")
-    keyed = lean_batches(documents).select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+    spark = documents.sparkSession
+    keyed = documents.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
     kind = dict(keyed.dtypes)["doc_id"]
-    sketched = cut(keyed.mapInPandas(sketch, f"doc_id {kind}, digest binary, tokens binary, roots array<long>"))
-    nodes = cut(sketched.where("tokens is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("roots").alias("roots")))
-    groups = components(candidate_links(nodes))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = cut(groups.withColumnRenamed("node", "digest").join(sizes, ["root"]).join(nodes.select("digest", "doc"), ["digest"]))
-    texts = keyed.join(bounded(members, members.count()), ["digest"]).where(F.col("doc_id").eqNullSafe(F.col("doc")))
-    tasks = in_blocks(texts.select("root", "size", "digest", "text"), "root", "size", VERIFY_BLOCK)
-    ordered = tasks.select("root", "part", "other", "own", "digest", "text").repartition("root", "part", "other").sortWithinPartitions("root", "part", "other", "digest")
-    compared = cut(ordered.mapInPandas(verify(similarity), "digest binary, links long, first binary"))
+    with lean_batches(spark):
+        sketched = cut(keyed.mapInPandas(sketch, f"doc_id {kind}, digest binary, runs long, tokens binary, roots array<long>"))
+        nodes = cut(sketched.where("tokens is not null").groupBy("digest").agg(
+            F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("runs").alias("runs"), F.min("tokens").alias("tokens"), F.min("roots").alias("roots")))
+        groups = components(candidate_links(nodes))
+        grouped = cut(groups.withColumnRenamed("node", "digest").join(nodes.select("digest", "doc", "runs"), ["digest"]))
+        sizes = cut(grouped.groupBy("root").agg(F.count("*").alias("size"), F.sum("runs").alias("runs")).select(
+            "root", "size", F.ceil(F.greatest(F.col("size") / VERIFY_BLOCK, F.col("runs") / VERIFY_SHINGLES)).cast("int").alias("blocks")))
+        members = cut(join_weighed(grouped.drop("runs"), sizes, ["root"], "size"))
+        # By key and text: the copies of one text under many keys are spread, and only the one that stands for the text is kept.
+        wanted = bounded(members.select("root", "blocks", F.col("digest").alias("__digest"), "doc"), members.count())
+        texts = keyed.join(wanted, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("root", "blocks", "digest", "text")
+        sets = texts.mapInPandas(shingle_sets, "root binary, blocks int, digest binary, shingles binary")
+        tasks = in_blocks(sets, "root", "blocks").select("root", "part", "other", "own", "digest", "shingles")
+        ordered = tasks.repartition("root", "part", "other").sortWithinPartitions("root", "part", "other", "digest")
+        compared = cut(ordered.mapInPandas(verify(similarity), "digest binary, links long, first binary"))
     links = compared.groupBy("digest").agg(F.sum("links").alias("links")).where("links > 0")
     classes = components(compared.select(F.col("digest").alias("a"), F.col("first").alias("b")))
-    joined = classes.withColumnRenamed("node", "digest").join(nodes.select("digest", "doc"), ["digest"])
-    named = joined.join(joined.groupBy("root").agg(F.min("doc").alias("class")), ["root"]).join(links, ["digest"], "left").select("digest", "root", "class", "links")
-    linked = nodes.select("digest", "doc", "copies").join(named, ["digest"], "left").select(
+    joined = cut(classes.withColumnRenamed("node", "digest").join(nodes.select("digest", "doc"), ["digest"]))
+    least = cut(joined.groupBy("root").agg(F.min("doc").alias("class"), F.count("*").alias("size")))
+    named = join_weighed(joined, least, ["root"], "size").join(links, ["digest"], "left").select("digest", "root", "class", "links")
+    linked = cut(nodes.select("digest", "doc", "copies").join(named, ["digest"], "left").select(
         "digest", F.when(F.col("links").isNotNull(), F.col("root")).otherwise(F.col("digest")).alias("root"),
-        F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("doc")).alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    rows = sketched.select("doc_id", "digest", F.col("tokens").isNull().alias("__none"))
-    result = rows.join(linked, ["digest"], "left")
-    return result.select(
-        "doc_id", "digest", "root", F.when(F.col("__none"), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
-        F.when(F.col("__none"), F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
-        F.when(F.col("__none"), F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
-    )
+        F.when(F.col("links").isNotNull(), F.col("class")).otherwise(F.col("doc")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies")))
+    rows = sketched.where("tokens is not null").select("doc_id", "digest")
+    alone = sketched.where("tokens is null").select("doc_id", "digest", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return join_weighed(rows, linked, ["digest"], "n_copies").select(*alone.columns).unionByName(alone)
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -26,6 +26,7 @@ CHUNK, FLUSH = 60_000, 2_000_000
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
+_matchers: dict[tuple, "Matcher"] = {}
 
 
 def letter_table() -> np.ndarray:
@@ -125,24 +126,39 @@ class Matcher:
         return self.languages[best], float(1 - out_of_place[best] / (self.size * len(own)))
 
 
-def identify(documents: DataFrame, training: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """The rows of documents with lang_pred and score appended (columns of these names are replaced).
+def matcher_of(profiles: list[tuple[str, list[int]]]) -> Matcher:
+    """The table of the profiles, made once in a worker (which keeps the last one)."""
+    key = tuple((lang, tuple(grams)) for lang, grams in profiles)
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(profiles)
+    return _matchers[key]
 
-    training: which rows to learn from; those whose key's CRC-32 isn't a multiple of 5 if not given. Of
-    these, rows without text or language teach nothing. Texts that are null or have no letter, and all texts
-    if nothing could be learned, get "und" and 0. Equal texts get equal results.
-    """
+
+def matched(documents: DataFrame, training: Column | None, text: str, lang: str, key: str) -> Column:
+    """struct<lang_pred, score> of a row of documents, learned from the rows for which `training` holds."""
     taught = training if training is not None else F.pmod(key_crc(F.col(key)), F.lit(5)) != 0
-    known = lean_batches(documents).where(taught & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    profiles = language_profiles(known)
+    known = documents.where(taught & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    with lean_batches(documents.sparkSession):
+        profiles = language_profiles(known)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        matcher = Matcher(profiles)
+        matcher = matcher_of(profiles)
         return pd.DataFrame([matcher.predict(x) for x in texts], columns=["lang_pred", "score"])
 
+    return predicted(F.col(text))
+
+
+def identify(documents: DataFrame, training: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The rows of documents with lang_pred and score appended (columns of these names are replaced).
+
+    training: which rows to learn from; those whose key's CRC-32 isn't a multiple of 5 if not given. Of
+    these, rows without text or language teach nothing. Texts that are null or have no letter, and all texts
+    if nothing could be learned, get "und" and 0. Equal texts get equal results.
+    """
     kept = [F.col(f"`{name}`") for name in documents.columns if name not in ("lang_pred", "score")]
-    return documents.select(*kept, predicted(F.col(text)).alias("__found")).select(*kept, "__found.lang_pred", "__found.score")
+    return documents.select(*kept, matched(documents, training, text, lang, key).alias("__found")).select(*kept, "__found.lang_pred", "__found.score")
 
 
 def language_report(documents: DataFrame) -> DataFrame:
@@ -151,7 +167,7 @@ def language_report(documents: DataFrame) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, least: float = 0.0) -> DataFrame:
-    """Drop the documents that the identifier rejects: no letters to go by, or a score below `least`."""
-    found = identify(documents)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"`{name}`") for name in documents.columns])
+    """Drop the documents that the identifier rejects: without a letter, or with a score not above `least` (0: the nearest profile shares none of the text's n-grams). Columns stay as they are, whatever their names."""
+    marked = documents.select(F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("__row"), matched(documents, None, "text", "lang", "doc_id").alias("__found"))
+    kept = marked.where((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") > least))
+    return kept.select(*[F.col(f"__row.`{name}`") for name in documents.columns])

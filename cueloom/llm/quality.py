@@ -58,7 +58,7 @@ def features_of(text: str | None) -> list[float]:
 def featured(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, features array<double>) of every row."""
     extract = F.pandas_udf(lambda texts: texts.map(features_of), "array<double>")
-    return lean_batches(documents).select(F.col(key).alias("key"), extract(F.coalesce(F.col(text), F.lit(""))).alias("features"))
+    return documents.select(F.col(key).alias("key"), extract(F.coalesce(F.col(text), F.lit(""))).alias("features"))
 
 
 def leaf_values(gradient: np.ndarray, weight: np.ndarray, leaves: int) -> np.ndarray:
@@ -177,7 +177,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     scored by their features, all 0. With no usable label every score is a half.
     Equal texts get equal scores; repeated labels count repeatedly.
     """
-    keyed = cut(featured(documents, key, text))
+    with lean_batches(documents.sparkSession):
+        keyed = cut(featured(documents, key, text))
     model = fit_quality(keyed, labels, F.pmod(key_crc(F.col("key")), F.lit(5)) != 0)
     scored = F.pandas_udf(lambda features: pd.Series(model.score(np.array(features.tolist(), float).reshape(len(features), len(FEATURES)))), "double")
     return keyed.withColumn("score", scored("features"))

@@ -7,10 +7,13 @@ factored: first a class, then, for the model's words, the word within its class,
 recurrent state. All of it sums to one over every word and an unknown one, so the score
 is a proper log-probability.
 
-Training is truncated backpropagation in numpy over lanes of whole texts laid end to end,
-the state passed from window to window. Each trainer (a task) starts from the shared weights, works
-through its texts, and returns its weights; Spark averages them block by block, ROUNDS times. All training
-texts are dealt to the rounds by hash, so each is worked through once and the work grows with the corpus; biases
+Texts are coded once, into two bytes a token, and stored; training and scoring read the codes.
+
+Training is truncated backpropagation in numpy. A trainer (a task) lays its texts end to end and cuts the
+whole into LANES lanes of equal length, so a text's state is carried over all of its windows (but for the
+few texts that a lane's start cuts). Each trainer starts from the shared weights, works through its texts, and
+returns its weights; Spark averages them block by block, ROUNDS times, MERGE trainers at a time, level by level.
+All training texts are dealt to the rounds, so each is worked through once and the work grows with the corpus; biases
 start at the logarithms of the shares that were counted over all training texts.
 
 Scoring carries the state over a text's windows to its end. Words outside the HEAD most
@@ -19,6 +22,7 @@ frequent (a bound on what is broadcast) get their counts by a join.
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,10 +33,10 @@ from .common import cut, key_crc, lean_batches
 
 HEAD, VOCABULARY, CLASSES, BANDS, HIDDEN = 131_072, 1_500, 32, 7, 24
 SMOOTH = 0.1
-WINDOW, LANES, PIECE = 24, 128, 480
+WINDOW, LANES = 24, 384
 #: Texts are scored side by side, so many tokens of them at a time.
 SCORE_WINDOW, SCORE_LANES, SCORE_TOKENS = 48, 512, 5_000_000
-ROUNDS, TRAINER_BYTES, RATE = 3, 12_000_000, 0.02
+ROUNDS, TRAINER_TOKENS, RATE, MERGE = 3, 2_000_000, 0.02, 64
 COUNT_FLUSH = 500_000
 
 
@@ -92,16 +96,19 @@ class Lexicon:
         self.first = np.searchsorted(of_word, np.arange(self.n_word_classes + 1)).astype(np.int64) if m else np.zeros(1, np.int64)
         mass = np.concatenate([self.counts[:m] + SMOOTH, self.band_mass, [ends + SMOOTH]])
         class_mass = np.bincount(self.class_of, mass, self.n_classes)
-        self.class_bias = np.log(class_mass / class_mass.sum())
+        self.class_bias = np.log(np.maximum(class_mass, 1e-30) / class_mass.sum())
         self.word_bias = np.log((self.counts[:m] + SMOOTH) / class_mass[self.class_of[:m]]) if m else np.zeros(0)
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, int, float, float, int]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, int, float, float, list[bytes]]:
         """Token ids with the end; head words; sums of their base log10 and in-band log10 (with the end's base); words out of the head."""
-        place = self.place
-        found = np.fromiter((place.get(w, -1) for w in tokens_of(text)), np.int64)
+        words = tokens_of(text)
+        found = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         known = found[found >= 0]
-        ids = np.append(np.where(found >= 0, self.ids[np.maximum(found, 0)] if len(self.ids) else self.tail, self.tail), self.end)
-        return ids.astype(np.int32), len(known), float(self.base_log[known].sum()) + self.base_end, float(self.in_band[known].sum()), len(found) - len(known)
+        ids = np.full(len(words) + 1, self.tail, np.uint16)
+        ids[:-1][found >= 0] = self.ids[known]
+        ids[-1] = self.end
+        rare = [words[k] for k in np.flatnonzero(found < 0).tolist()]
+        return ids, len(known), float(self.base_log[known].sum()) + self.base_end, float(self.in_band[known].sum()), rare
 
 
 def initial(lexicon: Lexicon, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
@@ -116,44 +123,49 @@ def initial(lexicon: Lexicon, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     }
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def step(p: dict, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step of the gated unit: update and reset gates, candidate, new state; and what the way back needs."""
-    k = p["u"].shape[0]
-    x, a = p["x"][inputs], h @ p["u"]
-    gates = sigmoid(x[:, : 2 * k] + a[:, : 2 * k])
-    z, r, u = gates[:, :k], gates[:, k:], a[:, 2 * k :]
-    n = np.tanh(x[:, 2 * k :] + r * u)
-    return n + z * (h - n), (h, z, r, u, n)
-
-
-def step_back(p: dict, kept: tuple, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of a step, from that of its new state: of the old state, of the input row, and of h @ u."""
-    h, z, r, u, n = kept
-    dn = d * (1 - z) * (1 - n * n)
-    dz, dr = d * (h - n) * z * (1 - z), dn * u * r * (1 - r)
-    da = np.concatenate([dz, dr, dn * r], axis=1)
-    return d * z + da @ p["u"].T, np.concatenate([dz, dr, dn], axis=1), da
+def forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """States of the gated unit (update and reset gates, candidate, new state) at all places, time by lane; and what the way back needs."""
+    k, shape = p["u"].shape[0], inputs.shape
+    x = p["x"].take(inputs, axis=0)
+    old, u, n, states = (np.empty((*shape, k), h.dtype) for _ in range(4))
+    gates = np.empty((*shape, 2 * k), h.dtype)
+    for t in range(len(inputs)):
+        np.multiply(h, fresh[t][:, None], out=old[t])
+        a, gate, candidate, h = old[t] @ p["u"], gates[t], n[t], states[t]
+        np.add(x[t, :, : 2 * k], a[:, : 2 * k], out=gate)
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        u[t] = a[:, 2 * k :]
+        np.multiply(gate[:, k:], u[t], out=candidate)
+        candidate += x[t, :, 2 * k :]
+        np.tanh(candidate, out=candidate)
+        np.subtract(old[t], candidate, out=h)
+        h *= gate[:, :k]
+        h += candidate
+    return states, (old, gates, u, n)
+
+
+def softmax(scores: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of columns of scores: ln of the wanted entry's probability, and the probabilities (in the place of the scores)."""
+    scores -= scores.max(axis=0)
+    out = scores[wanted, np.arange(len(wanted))]
+    np.exp(scores, out=scores)
+    total = scores.sum(axis=0)
+    scores /= total
+    return out - np.log(total), scores
 
 
 def outputs(p: dict, lexicon: Lexicon, states: np.ndarray, targets: np.ndarray, back: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """ln P(target | state) for each row; with `back`, also fills the output gradients and gives that of the states (of minus the sum)."""
-    logits = states @ p["wc"] + p["bc"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1)
-    cls, rows = lexicon.class_of[targets], np.arange(len(targets))
-    out = logits[rows, cls] - np.log(total)
-    ds = None
+    cls, ds = lexicon.class_of[targets], None
+    out, e = softmax(p["wc"].T @ states.T + p["bc"][:, None], cls)
     if back is not None:
-        e /= total[:, None]
-        e[rows, cls] -= 1
-        back["wc"], back["bc"] = states.T @ e, e.sum(axis=0)
+        e[cls, np.arange(len(cls))] -= 1
+        back["wc"], back["bc"] = (e @ states).T, e.sum(axis=1)
         back["ww"], back["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-        ds = e @ p["wc"].T
+        ds = e.T @ p["wc"].T
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(lexicon.n_word_classes + 1))
     for c in range(lexicon.n_word_classes):
@@ -161,31 +173,22 @@ def outputs(p: dict, lexicon: Lexicon, states: np.ndarray, targets: np.ndarray,
         a, b = lexicon.first[c], lexicon.first[c + 1]
         if not len(at) or b - a == 1:
             continue
-        s = states[at]
-        logits = s @ p["ww"][:, a:b] + p["bw"][a:b]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows, word = np.arange(len(at)), targets[at] - a
-        out[at] += logits[rows, word] - np.log(total)
+        s, w, word = states[at], p["ww"][:, a:b], targets[at] - a
+        likely, e = softmax(w.T @ s.T + p["bw"][a:b, None], word)
+        out[at] += likely
         if back is not None:
-            e /= total[:, None]
-            e[rows, word] -= 1
-            back["ww"][:, a:b], back["bw"][a:b] = s.T @ e, e.sum(axis=0)
-            ds[at] += e @ p["ww"][:, a:b].T
+            e[word, np.arange(len(word))] -= 1
+            back["ww"][:, a:b], back["bw"][a:b] = (e @ s).T, e.sum(axis=1)
+            ds[at] += e.T @ w.T
     return out, ds
 
 
 Piece = tuple[np.ndarray, np.ndarray]
 
 
-def pieces_of(texts: list[np.ndarray], lexicon: Lexicon, size: int | None = None) -> list[Piece]:
-    """(inputs, targets) of each text: the tokens after the start, and the tokens to the end; cut into pieces of `size` places, if given."""
-    pieces = []
-    for text in texts:
-        inputs = np.concatenate(([lexicon.end], text[:-1])).astype(np.int32)
-        pieces += [(inputs[k : k + (size or len(text))], text[k : k + (size or len(text))]) for k in range(0, len(text), size or len(text))]
-    return pieces
+def pieces_of(texts: list[np.ndarray], lexicon: Lexicon) -> list[Piece]:
+    """(inputs, targets) of each text: the tokens after the start, and the tokens to the end."""
+    return [(np.concatenate(([lexicon.end], text[:-1])).astype(np.int32), text.astype(np.int32)) for text in texts]
 
 
 def lanes_of(pieces: list[Piece], most: int) -> list[list[int]]:
@@ -225,67 +228,82 @@ def log_likelihoods(p: dict, lexicon: Lexicon, texts: list[np.ndarray], lanes: i
     if not texts:
         return np.zeros(0)
     s = Streams(pieces_of(texts, lexicon), lanes)
-    h = np.zeros((s.inputs.shape[1], p["u"].shape[0]), np.float32)
+    h = np.zeros((s.inputs.shape[1], p["u"].shape[0]), p["u"].dtype)
     total = np.zeros(len(texts))
     for first in range(0, len(s.inputs), window):
-        states, wanted, whose = [], [], []
-        for t in range(first, min(first + window, len(s.inputs))):
-            live = int(np.searchsorted(-s.sizes, -t, "left"))
-            h, _ = step(p, s.inputs[t, :live], h[:live] * s.fresh[t, :live, None])
-            states.append(h)
-            wanted.append(s.targets[t, :live])
-            whose.append(s.owner[t, :live])
-        out, _ = outputs(p, lexicon, np.concatenate(states), np.concatenate(wanted))
-        total += np.bincount(np.concatenate(whose), out, len(texts))
+        last = min(first + window, len(s.inputs))
+        live = int((s.sizes > first).sum())  # lanes are sorted by length
+        at = slice(first, last), slice(0, live)
+        states, _ = forward(p, s.inputs[at], s.fresh[at], h[:live])
+        h, taken = states[-1], np.arange(first, last)[:, None] < s.sizes[None, :live]
+        out, _ = outputs(p, lexicon, states[taken], s.targets[at][taken])
+        total += np.bincount(s.owner[at][taken], out, len(texts))
     return total
 
 
 def gradients(p: dict, lexicon: Lexicon, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, taken: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
     """Gradients of minus ln P summed over a window (time by lane), the state after it, and the sum itself. taken: the places that count, if not all; those after them in a lane must not count either."""
-    kept, states = [], []
-    for row, old in zip(inputs, fresh, strict=True):
-        h, keep = step(p, row, h * old[:, None])
-        kept.append(keep)
-        states.append(h)
+    k = p["u"].shape[0]
+    states, (old, gates, u, n) = forward(p, inputs, fresh, h)
     back: dict[str, np.ndarray] = {}
-    states_, wanted = np.concatenate(states), targets.ravel()
+    rows, wanted = states.reshape(-1, k), targets.ravel()
     if taken is None or taken.all():
-        out, ds = outputs(p, lexicon, states_, wanted, back)
+        out, ds = outputs(p, lexicon, rows, wanted, back)
     else:
-        rows, ds = np.flatnonzero(taken), np.zeros_like(states_)
-        out, ds[rows] = outputs(p, lexicon, states_[rows], wanted[rows], back)
-    ds = ds.reshape(len(inputs), *h.shape)
-    d = np.zeros_like(h)
-    dx, du = np.empty((len(inputs), len(h), p["x"].shape[1]), h.dtype), np.zeros_like(p["u"])
+        some, ds = np.flatnonzero(taken), np.zeros_like(rows)
+        out, ds[some] = outputs(p, lexicon, rows[some], wanted[some], back)
+    ds = ds.reshape(states.shape)
+    # What a gradient of the state is multiplied by to give those before the candidate's tanh and the gates' sigmoids.
+    z, r = gates[..., :k], gates[..., k:]
+    by_n, by_z, by_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), u * r * (1 - r)
+    dx, da = (np.empty((*inputs.shape, 3 * k), h.dtype) for _ in range(2))
+    d, turned = np.zeros_like(states[0]), p["u"].T
     for t in range(len(inputs) - 1, -1, -1):
-        d, dx[t], da = step_back(p, kept[t], d + ds[t])
-        du += kept[t][0].T @ da
-        d = d * fresh[t][:, None]
-    flat, rows = inputs.ravel(), dx.reshape(-1, dx.shape[2])
-    order = np.argsort(flat, kind="stable")
-    used, starts = np.unique(flat[order], return_index=True)
-    back["x"], back["u"] = np.zeros_like(p["x"]), du
-    back["x"][used] = np.add.reduceat(rows[order], starts, axis=0)
-    return back, h, -float(out.sum())
+        d += ds[t]
+        dn = np.multiply(d, by_n[t], out=dx[t, :, 2 * k :])
+        np.multiply(d, by_z[t], out=dx[t, :, :k])
+        np.multiply(dn, by_r[t], out=dx[t, :, k : 2 * k])
+        da[t, :, : 2 * k] = dx[t, :, : 2 * k]
+        np.multiply(dn, r[t], out=da[t, :, 2 * k :])
+        d *= z[t]
+        d += da[t] @ turned
+        d *= fresh[t][:, None]
+    back["u"] = old.reshape(-1, k).T @ da.reshape(-1, 3 * k)
+    order = np.argsort(inputs.ravel(), kind="stable")
+    used, starts = np.unique(inputs.ravel()[order], return_index=True)
+    back["x"] = np.zeros_like(p["x"])
+    back["x"][used] = np.add.reduceat(dx.reshape(-1, 3 * k).take(order, axis=0), starts, axis=0)
+    return back, states[-1], -float(out.sum())
+
+
+def even_lanes(texts: list[np.ndarray], lexicon: Lexicon, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts laid end to end and cut into lanes that differ by one place at most: inputs, targets, fresh (0 where a text or lane starts), time by lane, and the lanes' lengths, the longer ones first."""
+    pieces = pieces_of(texts, lexicon)
+    inputs, targets = (np.concatenate([piece[k] for piece in pieces]) for k in range(2))
+    fresh = np.ones(len(inputs), np.float32)
+    fresh[np.concatenate(([0], np.cumsum([len(t) for t in texts[:-1]], dtype=np.int64))).astype(np.int64)] = 0
+    lanes = max(1, min(most, len(inputs)))
+    sizes = np.full(lanes, len(inputs) // lanes)
+    sizes[: len(inputs) % lanes] += 1
+    first = np.concatenate(([0], np.cumsum(sizes[:-1])))
+    place = np.minimum(first[None, :] + np.arange(sizes[0])[:, None], len(inputs) - 1)
+    starts = fresh[place]
+    starts[0] = 0
+    return inputs[place], targets[place], starts, sizes
 
 
 def train(p: dict, lexicon: Lexicon, texts: list[np.ndarray], rate: float = RATE) -> dict:
-    """Weights after one pass over the texts: windows of all lanes, gradients cut at the windows' ends, steps scaled by running squares.
-
-    Long texts are laid out in pieces of PIECE places, each from a fresh state, so that all lanes are about equally long.
-    """
+    """Weights after one pass over the texts: windows of all lanes, gradients cut at the windows' ends, steps scaled by running squares."""
     p = {k: v.copy() for k, v in p.items()}
     if not texts:
         return p
-    s = Streams(pieces_of(texts, lexicon, PIECE), LANES)
+    inputs, targets, fresh, sizes = even_lanes(texts, lexicon, LANES)
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    h, n = np.zeros((s.inputs.shape[1], p["u"].shape[0]), np.float32), 0
-    for first in range(0, len(s.inputs), WINDOW):
-        last = min(first + WINDOW, len(s.inputs))
-        live = int((s.sizes > first).sum())
-        taken = np.arange(first, last)[:, None] < s.sizes[None, :live]  # a lane that ends inside the window counts up to its end
-        at = slice(first, last), slice(0, live)
-        grads, h, _ = gradients(p, lexicon, s.inputs[at], s.targets[at], s.fresh[at], h[:live], taken)
+    h, n = np.zeros((len(sizes), p["u"].shape[0]), np.float32), 0
+    for first in range(0, len(inputs), WINDOW):
+        at = slice(first, first + WINDOW)
+        taken = np.arange(first, min(first + WINDOW, len(inputs)))[:, None] < sizes[None, :]
+        grads, h, _ = gradients(p, lexicon, inputs[at], targets[at], fresh[at], h, taken)
         n += 1
         count = int(taken.sum())
         for k, g in grads.items():
@@ -312,24 +330,33 @@ def shaped(values: np.ndarray, like: dict) -> dict:
 BLOCK = 8192
 
 
+def merged(parts: DataFrame, trainers: int) -> DataFrame:
+    """parts (trainer, block, weight, values) to one weighted mean a block; no group holds more than MERGE rows."""
+
+    def average(group: pd.DataFrame) -> pd.DataFrame:
+        w = group["weight"].to_numpy()
+        mean = (np.stack([np.frombuffer(v, np.float32) for v in group["values"]]) * (w / w.sum())[:, None]).sum(axis=0)
+        return pd.DataFrame({"trainer": group["trainer"].iloc[:1], "block": group["block"].iloc[:1], "weight": [w.sum()], "values": [mean.astype(np.float32).tobytes()]})
+
+    while True:
+        trainers = -(-trainers // MERGE)
+        parts = parts.withColumn("trainer", F.col("trainer") % trainers).groupBy("trainer", "block").applyInPandas(average, "trainer int, block int, weight double, values binary")
+        if trainers == 1:
+            return parts
+
+
 def trained(p: dict, lexicon_of, texts: DataFrame, trainers: int) -> dict:
-    """One round: texts (trainer int, text) are worked through by trainers, whose weights are averaged by Spark, weighted by their tokens."""
+    """One round: texts (trainer int, key long, ids binary) are worked through by trainers, whose weights are averaged by Spark, weighted by their tokens."""
     start = flat(p)
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        lexicon = lexicon_of()
-        coded = [lexicon.encode(text)[0] for text in group.sort_values("key")["text"]]
-        values = flat(train(shaped(start, p), lexicon, coded))
+        coded = [np.frombuffer(ids, np.uint16) for ids in group.sort_values("key")["ids"]]
+        values = flat(train(shaped(start, p), lexicon_of(), coded))
         blocks = [values[k : k + BLOCK] for k in range(0, len(values), BLOCK)]
-        return pd.DataFrame({"block": range(len(blocks)), "weight": float(sum(map(len, coded))), "values": [b.tobytes() for b in blocks]})
-
-    def average(group: pd.DataFrame) -> pd.DataFrame:
-        w = group["weight"].to_numpy()
-        mean = (np.stack([np.frombuffer(v, np.float32) for v in group["values"]]) * (w / w.sum())[:, None]).sum(axis=0)
-        return pd.DataFrame({"block": group["block"].iloc[:1], "values": [mean.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"trainer": group["trainer"].iloc[0], "block": range(len(blocks)), "weight": float(sum(map(len, coded))), "values": [b.tobytes() for b in blocks]})
 
-    parts = texts.repartition(trainers, "trainer").groupBy("trainer").applyInPandas(work, "block int, weight double, values binary")
-    rows = parts.groupBy("block").applyInPandas(average, "block int, values binary").collect()
+    parts = texts.repartition(trainers, "trainer").groupBy("trainer").applyInPandas(work, "trainer int, block int, weight double, values binary")
+    rows = merged(parts, trainers).select("block", "values").collect()
     if not rows:
         return p
     return shaped(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]), p)
@@ -337,7 +364,8 @@ def trained(p: dict, lexicon_of, texts: DataFrame, trainers: int) -> dict:
 
 def corpus(training: DataFrame) -> tuple[DataFrame, list[tuple[bytes, int]], dict]:
     """Counts of all words of the training texts (word, n), the head of HEAD rows at most, and ends, total and distinct."""
-    counts = cut(training.mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    with lean_batches(training.sparkSession):
+        counts = cut(training.mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     texts = training.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # The head holds all words of a count or none, as many counts as fit. There are few distinct counts (their sum is at most that of all tokens).
@@ -352,18 +380,36 @@ def corpus(training: DataFrame) -> tuple[DataFrame, list[tuple[bytes, int]], dic
     return counts, head, {"ends": texts, "total": sums["n"] + texts, "distinct": sums["v"] + (texts > 0)}
 
 
+def coded(documents: DataFrame, lexicon_of) -> DataFrame:
+    """(doc_id, taught, text) to doc_id, taught, digest, ids (two bytes a token), known, base and band (the lexicon's sums), rare (words out of the head) and times, stored."""
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = lexicon_of()
+        for batch in batches:
+            found = [lexicon.encode(text) for text in batch["text"]]
+            rare = [Counter(f[4]) for f in found]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "taught": batch["taught"], "digest": batch["digest"], "ids": [f[0].tobytes() for f in found], "known": [f[1] for f in found], "base": [f[2] for f in found],
+                "band": [f[3] for f in found], "rare": [list(r) for r in rare], "times": [list(r.values()) for r in rare]})
+
+    kind = dict(documents.dtypes)["doc_id"]
+    digested = documents.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    with lean_batches(documents.sparkSession):
+        return cut(digested.mapInPandas(code, f"doc_id {kind}, taught boolean, digest binary, ids binary, known long, base double, band double, rare array<binary>, times array<long>"))
+
+
 def score_texts(documents: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document row: doc_id, n_tokens, n_known, train_tokens, base_score, score; all logarithms to base 10.
 
     training: the rows to learn from; those whose key's CRC-32 isn't a multiple of 10 if not given. Null texts
     count as empty ones: one end token. Equal texts get equal counts and base scores, and scores equal but for
-    rounding. Without training rows every word is unknown. rounds: into so many parts the training rows are dealt.
+    rounding. Without training rows every word is unknown. rounds: into so many parts the training rows are dealt,
+    by key, text and place in the stored table, so that repeated rows are dealt like any others.
     """
     spark = documents.sparkSession
-    keyed = lean_batches(documents).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chosen = training if training is not None else F.pmod(key_crc(F.col(key)), F.lit(10)) != 0
-    taught = documents.where(chosen).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts, head, sums = corpus(taught.select("text"))
+    keyed = documents.select(F.col(key).alias("doc_id"), F.coalesce(chosen, F.lit(False)).alias("taught"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counts, head, sums = corpus(keyed.where("taught").select("text"))
     held = spark.sparkContext.broadcast((head, sums))
     made: list[Lexicon] = []
 
@@ -373,67 +419,48 @@ def score_texts(documents: DataFrame, training: Column | None = None, key: str =
         return made[0]
 
     weights = initial(lexicon_of())
-    spread = F.pmod(F.xxhash64(F.lit("lm"), F.col("doc_id"), "text"), F.lit(rounds))
-    for number in range(rounds):
-        part = taught.where(spread == number).withColumn("key", F.xxhash64("text"))
-        size = part.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        trainers = max(1, -(-size * rounds // TRAINER_BYTES))
-        weights = trained(weights, lexicon_of, part.select(F.pmod(F.xxhash64("key", "doc_id"), F.lit(trainers)).cast("int").alias("trainer"), "key", "text"), trainers)
+    lexicon = lexicon_of()
+    made.clear()  # what is shipped to the workers holds no lexicon
+    whole = coded(keyed, lexicon_of)
+    taught = whole.where("taught").select(F.xxhash64(F.lit("lm"), "doc_id", "digest", F.monotonically_increasing_id()).alias("key"), "ids")
+    dealt = taught.withColumn("round", F.pmod("key", F.lit(rounds)).cast("int"))
+    sizes = dict(dealt.groupBy("round").agg(F.sum(F.length("ids") / 2)).collect())
+    for number in sorted(sizes):
+        trainers = max(1, -(-int(sizes[number]) // TRAINER_TOKENS))
+        part = dealt.where(F.col("round") == number).select(F.pmod(F.xxhash64("key"), F.lit(trainers)).cast("int").alias("trainer"), "key", "ids")
+        weights = trained(weights, lexicon_of, part, trainers)
     model = spark.sparkContext.broadcast(weights)
-    made.clear()
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = lexicon_of()
-        rows: list[tuple] = []
-        waiting = 0
+        lexicon, rows, waiting = lexicon_of(), [], 0
 
         def done() -> pd.DataFrame:
-            likely = log_likelihoods(model.value, lexicon, [r[2] for r in rows]) / np.log(10)
-            return pd.DataFrame({
-                "doc_id": [r[0] for r in rows], "digest": [r[1] for r in rows], "n_tokens": [len(r[2]) for r in rows], "known": [r[3] + (lexicon.ends > 0) for r in rows],
-                "base": [r[4] for r in rows], "model": likely + np.array([r[5] for r in rows], float), "rare": [r[6] for r in rows],
-            })
+            frame = pd.concat(rows, ignore_index=True)
+            texts = [np.frombuffer(ids, np.uint16) for ids in frame.pop("ids")]
+            return frame.assign(n_tokens=[len(t) for t in texts], model=log_likelihoods(model.value, lexicon, texts) / np.log(10) + frame["band"])[names]
 
         for batch in batches:
-            for row_key, digest, content in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["digest"], batch["text"], strict=True):
-                rows.append((row_key, digest, *lexicon.encode(content)))
-                waiting += len(rows[-1][2])
-                if waiting >= SCORE_TOKENS:
-                    yield done()
-                    rows, waiting = [], 0
+            rows.append(batch)
+            waiting += int(batch["ids"].map(len).sum()) // 2
+            if waiting >= SCORE_TOKENS:
+                yield done()
+                rows, waiting = [], 0
         if rows:
             yield done()
 
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(digest, word, times, sent) of words out of the head; sent is 1 on one row of each text that this task sends, so that copies sent by several tasks can be told."""
-        place, seen = lexicon_of().place, set()
-        for batch in batches:
-            digests, words, times, sent = [], [], [], []
-            for digest, content in zip(batch["digest"], batch["text"], strict=True):
-                found = Counter(w for w in tokens_of(content) if w not in place)
-                if found and digest not in seen:
-                    seen.add(digest)
-                    digests += [digest] * len(found)
-                    words += found.keys()
-                    times += found.values()
-                    sent += [1] + [0] * (len(found) - 1)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pd.DataFrame({"digest": digests, "word": words, "times": np.array(times, np.int64), "sent": np.array(sent, np.int64)})
-
-    digested = keyed.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     kind = dict(keyed.dtypes)["doc_id"]
-    whole = digested.mapInPandas(scored, f"doc_id {kind}, digest binary, n_tokens long, known long, base double, model double, rare long")
-    tails = digested.select("digest", "text").mapInPandas(rare, "digest binary, word binary, times long, sent long")
+    shape = f"doc_id {kind}, digest binary, n_tokens long, known long, base double, model double, rare long"
+    names = ["doc_id", "digest", "n_tokens", "known", "base", "model", "rare"]
+    few = whole.select("doc_id", "digest", "ids", "known", "base", "band", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x).alias("rare"))
+    likely = few.mapInPandas(scored, shape)
+    tails = whole.where(F.size("rare") > 0).groupBy("digest").agg(F.first(F.arrays_zip("rare", "times")).alias("r")).select("digest", F.explode("r").alias("r")).select("digest", F.col("r.rare").alias("word"), "r.times")
     n = F.coalesce("n", F.lit(0))
-    logs = tails.join(counts, ["word"], "left").groupBy("digest").agg(
-        F.sum("sent").alias("sent"), F.sum(F.col("times") * F.log10(n + SMOOTH)).alias("logs"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"))
-    lexicon = lexicon_of()
+    logs = tails.join(counts, ["word"], "left").groupBy("digest").agg(F.sum(F.col("times") * F.log10(n + SMOOTH)).alias("logs"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"))
     tail_log = float(np.log10(lexicon.band_mass[-1]))
-    joined = whole.join(logs, ["digest"], "left")
-    logs_, seen_ = (F.coalesce(F.col(c) / F.col("sent"), F.lit(0.0)) for c in ("logs", "seen"))
+    joined = likely.join(logs, ["digest"], "left")
+    logs_ = F.coalesce("logs", F.lit(0.0))
     return joined.select(
-        "doc_id", "n_tokens", (F.col("known") + F.round(seen_).cast("long")).alias("n_known"), F.lit(sums["total"]).cast("long").alias("train_tokens"),
+        "doc_id", "n_tokens", (F.col("known") + int(lexicon.ends > 0) + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(sums["total"]).cast("long").alias("train_tokens"),
         (F.col("base") + logs_ - F.col("rare") * lexicon.log_divisor).alias("base_score"), (F.col("model") + logs_ - F.col("rare") * tail_log).alias("score"),
     )
 

@@ -222,7 +222,9 @@ def test_lm_gradients_and_state_across_windows():
             q[k][at] += e
             moved.append(recurrent_lm.gradients(q, lex, *window)[2])
         assert grads[k][at] == pytest.approx((moved[0] - moved[1]) / 2e-5, rel=1e-4, abs=1e-7)
-    assert [len(t) for _, t in recurrent_lm.pieces_of(texts, lex, 4)] == [4, 4, 1, 3, 1, 4]
+    inputs, targets, fresh, sizes = recurrent_lm.even_lanes(texts, lex, 2)
+    assert sizes.tolist() == [9, 8] and [*targets[:, 0], *targets[:8, 1]] == [t for text in texts for t in text]
+    assert fresh[:, 0].tolist() == [0, *[1] * 8] and fresh[:8, 1].tolist() == [0, 1, 1, 0, 0, 1, 1, 1]  # the cut falls on a text's start
     whole = recurrent_lm.log_likelihoods(p, lex, texts, lanes=3, window=100)
     assert recurrent_lm.log_likelihoods(p, lex, texts, lanes=1, window=2) == pytest.approx(whole)
 
@@ -234,10 +236,11 @@ def test_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
 
 def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     taught, train_ = [], recurrent_lm.trained
-    monkeypatch.setattr(recurrent_lm, "trained", lambda p, lexicon_of, texts, trainers: taught.extend(r["text"] for r in texts.collect()) or train_(p, lexicon_of, texts, trainers))
+    monkeypatch.setattr(recurrent_lm, "trained", lambda p, lexicon_of, texts, trainers: taught.extend(r["ids"] for r in texts.collect()) or train_(p, lexicon_of, texts, trainers))
     recurrent_lm.lm_report(corpus_of(spark)).count()
     rows = corpus_of(spark).collect()
-    assert Counter(taught) == Counter(r["text"] or "" for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 10)
+    want = Counter(len(recurrent_lm.tokens_of(r["text"])) + 1 for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 10)
+    assert Counter(len(ids) // 2 for ids in taught) == want
 
 
 def test_lm_learns_from_the_ends_of_lanes():
@@ -416,7 +419,7 @@ def test_contamination_of_odd_rows(spark, odd, none):
     report = decontamination.contamination_report(odd.withColumns({"items": F.lit(1), "n_hit": F.lit(2)}), items).collect()
     assert len(report) == odd.count()
     by = {(r["doc_id"], r["n_words"]): (r["n_hit"], list(r["items"])) for r in report}
-    assert by[(1, 6)] == by[(5, 6)] == (3, ["1", "5"]) and by[(4, 24000)] == (23999, ["4"]) and by[(2, 0)] == by[(3, 0)] == (0, []) and by[(None, 2)] == (2, [])
+    assert by[(1, 6)] == by[(5, 6)] == (3, ["1", "5"]) and by[(4, 24000)] == (23999, ["4"]) and by[(2, 0)] == by[(3, 0)] == (0, []) and by[(None, 2)] == (2, [None])  # an item without an id is an item
     assert decontamination.drop_contaminated(odd, items).where("doc_id in (4, 5)").count() == 0
     assert decontamination.drop_contaminated(odd, items.limit(0)).count() == odd.count()
     assert decontamination.contamination_report(none, items).count() == 0
