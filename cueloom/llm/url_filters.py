@@ -5,18 +5,19 @@ subdomains) or a host with a path prefix (of whole segments). Entries become val
 from one entry of a list and rule to its next one; an as-of join then evaluates every capture
 against the intervals that hold on the day it was fetched. A capture is looked up by each suffix
 of its host and each prefix of its path. Before the join, equal lookups of one day are
-reduced to one row, which bounds the rows of a host that a third of all captures come from.
+reduced to one row, which bounds the rows of a host that a third of all captures come from; the answers then go back to
+the captures by a join that spreads the lookups of very many captures.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, join_weighed, table
 
 
 def host_of(url: Column) -> Column:
-    """Host of the URL in lower case, without user, port and a last dot; empty if there is none."""
-    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"\.$", "")
+    """Host of the URL in lower case, without user, port and a last dot; an address in brackets keeps them; empty if there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1)), r"\.$", "")
 
 
 def path_of(url: Column) -> Column:
@@ -24,8 +25,9 @@ def path_of(url: Column) -> Column:
 
 
 def lookups(url: Column) -> Column:
-    """The rules that would cover the URL: its host's suffixes of two labels or more (or the host, if it has one label), and the host with each prefix of the path."""
-    host, labels = host_of(url), F.split(host_of(url), r"\.")
+    """The rules that would cover the URL: its host's suffixes of two labels or more (the host alone, if it has one label or is an address in brackets), and the host with each prefix of the path."""
+    host = host_of(url)
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     count = F.greatest(F.lit(1), F.size(labels) - 1)
     hosts = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -53,10 +55,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame, key: str, url: str
     """
     seen = captures.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(day).alias("fetched"))
     looked = seen.select("key", "url", "fetched", F.explode(lookups(F.col("url"))).alias("rule"))
-    asked = looked.select("rule", "fetched").distinct()
+    asked = looked.groupBy("rule", "fetched").agg(F.count("*").alias("asked"))
     holds = (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    answers = asked.join(validity(entries), ["rule"]).where(holds).groupBy("rule", "fetched").agg(F.collect_set("list").alias("lists"), F.count("*").alias("n"))
-    hits = looked.distinct().join(answers, ["rule", "fetched"]).groupBy("key", "url", "fetched").agg(
+    answers = cut(asked.join(validity(entries), ["rule"]).where(holds).groupBy("rule", "fetched").agg(F.collect_set("list").alias("lists"), F.count("*").alias("n"), F.first("asked").alias("asked")))
+    hits = join_weighed(looked.distinct(), answers, ["rule", "fetched"], "asked").groupBy("key", "url", "fetched").agg(
         F.sum("n").alias("n_entries"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lists")))), ",").alias("lists"),
         F.min(F.struct((-F.length("rule")).alias("size"), "rule"))["rule"].alias("rule"),
     ).withColumnsRenamed({"key": "__key", "url": "__url", "fetched": "__day"})
@@ -89,11 +91,11 @@ def page_entries(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
     WITH caps AS (
         SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS day,
-               regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', '') AS host,
+               regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '\.$', '') AS host,
                list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs
         FROM pages),
     looked AS (
-        SELECT page_id, url, day, array_to_string(string_split(host, '.')[i:], '.') AS rule FROM caps, unnest(range(1, greatest(2, len(string_split(host, '.'))))) AS t(i) WHERE host <> ''
+        SELECT page_id, url, day, array_to_string(string_split(host, '.')[i:], '.') AS rule FROM caps, unnest(range(1, CASE WHEN host[1] = '[' THEN 2 ELSE greatest(2, len(string_split(host, '.'))) END)) AS t(i) WHERE host <> ''
         UNION
         SELECT page_id, url, day, host || '/' || array_to_string(segs[1:i], '/') FROM caps, unnest(range(1, len(segs) + 1)) AS t(i) WHERE host <> ''),
     rules AS (
