@@ -1,18 +1,15 @@
 """How well segments end: the class of each end, the cause of a bad one, and counts."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULT, Config
-from ..functions.shared import cut
-from .boundaries import near, seg, word
+from .boundaries import paged, that, touching
 
 #: End types and causes. Fixed values.
 SENTENCE, SPEECH_END, NO_WORDS, COMMA, HANGING, MID_WORD, PAUSE = "фраза(.!?)", "конец речи", "нет слов", "запятая", "висячее", "мид-слово", "пауза"
 NO_WORDS_CAUSE, PADDED, FALLBACK, NO_BOUNDARY = "нет слов в клипе", "PAD-хвост", " (snap-fallback)", "snap-fallback (нет чистой границы)"
 SLACK = 0.05
-#: Words looked back on at first from the last one before the end; where these don't settle the end, all words before it are.
-BACK = 16
 
 
 def decimals(value, pattern: str):
@@ -20,67 +17,66 @@ def decimals(value, pattern: str):
     return F.call_function("format_number", value, F.lit(pattern)).cast("double")
 
 
-def with_next_start(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds after_t0 to rows (tid, w): the start of the first word in order that starts after w's end. As-of, on the latest start up to each word: the words for which it isn't after that end come first."""
-    order = Window.partitionBy("tid").orderBy("idx")
-    latest = words.select("tid", F.max("t0").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__at"), F.struct("idx", "next_t0").alias("__word"))
-    ends = rows.select("tid", (F.col("w.t1") + 0.001).alias("__at"), F.struct(*rows.columns).alias("__row"))
-    both = ends.unionByName(latest, allowMissingColumns=True)
-    upto = Window.partitionBy("tid").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = both.withColumns({"__passed": F.max("__word").over(upto), "__first": F.min(F.when(F.col("__word").isNotNull(), F.col("__at"))).over(Window.partitionBy("tid"))})
-    after = F.when(F.col("__passed").isNull(), F.when(F.col("__at").isNotNull(), F.col("__first"))).otherwise(F.col("__passed.next_t0"))
-    return passed.where(F.col("__row").isNotNull()).select("__row.*", after.alias("after_t0"))
+def ended_by(pages: Column, bound: Column) -> Column:
+    """The words of the pages, in order, that end by the bound."""
+    return F.filter(F.flatten(F.transform(pages, lambda p: p["words"])), lambda x: x["t1"] <= bound)
 
 
 def classify_end(segments: DataFrame, words: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row per segment: tid, ord, duration, last_words, end_type, pause_after, verdict (CLEAN, SOFT or HARD), cause. words: flagged.
 
-    The last word is the last in order that ends by t_end (as-of, by a window over words and ends); a word
+    The last word is the last in order that ends by t_end; a word
     that starts inside a preceding sentence's last word gives way to that one. The cause of a
-    HARD end is the padding's overshoot past the last phrase end, else what the end is.
+    HARD end is the padding's overshoot past the last phrase end, else what the end is. The words that end by t_end are first sought in the last two
+    pages that hold any; where these leave the walk back or the last five words open, in all pages.
+    Segments with a null t_end have no words.
     """
     bound = F.col("t_end") + SLACK
-    ends = segments.select("tid", "ord", "t_start", "t_end", bound.alias("at"), F.lit(None).cast("int").alias("idx"))
-    times = words.select("tid", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("double").alias("t_start"), F.lit(None).cast("double").alias("t_end"), F.col("t1").alias("at"), "idx")
-    upto = Window.partitionBy("tid").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    found = ends.unionByName(times).withColumn("k", F.max("idx").over(upto)).where("t_end is not null")
-    columns = ("tid", "ord", "t_start", "t_end", "at", "k")
-    w = words.select(F.col("tid").alias("wt"), F.col("idx").alias("i"), F.struct("idx", "word", "t0", "t1", "sentence_end", "midphrase", "hanging").alias("w"))
-    at = lambda k: F.get(F.col("a"), k - 1)
-    places = F.when(F.size("a") > 0, F.sequence(F.lit(1), F.size("a"))).otherwise(F.array().cast("array<int>"))
-    walked = F.array_max(F.filter(places, lambda k: (k == 1) | ~((at(k)["t0"] < at(k - 1)["t1"]) & at(k - 1)["sentence_end"])))
-    gathered = lambda joined: joined.groupBy(*columns).agg(F.array_sort(F.collect_list("w")).alias("a")).withColumn("n", walked)
-    back = found.select(*columns, F.explode_outer(F.when(F.col("k").isNotNull(), F.sequence(F.greatest(F.lit(0), F.col("k") - BACK), F.col("k")))).alias("i"))
-    looked = cut(gathered(back.join(w, (F.col("tid") == F.col("wt")) & (back["i"] == w["i"]) & (F.col("w.t1") <= F.col("at")), "left")))
-    # Open: the walk came to the first of the words looked at, or fewer than the last five are among them, and there are words before.
-    more = F.coalesce((F.col("k") > BACK) & ((F.col("n") == 1) | (F.size("a") < 5)), F.lit(False))
-    far = looked.where(more).select(*columns)
-    rest = gathered(far.join(w, (F.col("tid") == F.col("wt")) & (F.col("i") <= F.col("k")) & (F.col("w.t1") <= F.col("at"))))
-    rows = looked.where(~more).unionByName(rest).withColumn("w", at(F.col("n")))
-    rows = with_next_start(rows, words).withColumn("pause_after", decimals(F.col("after_t0") - F.col("w.t1"), "0.00"))
+    rows = paged(segments.select("tid", "ord", "t_start", "t_end"), words, "word", "sentence_end", "midphrase", "hanging", "phrase_end")
+    rows = rows.withColumn("__held", F.filter("__pages", lambda p: p["ends"] <= bound))
+
+    def walked(a: str) -> Column:
+        at = lambda k: F.get(F.col(a), k - 1)
+        places = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
+        return F.array_max(F.filter(places, lambda k: (k == 1) | ~((at(k)["t0"] < at(k - 1)["t1"]) & at(k - 1)["sentence_end"])))
+
+    near = rows.withColumn("__near", ended_by(F.slice("__held", F.greatest(F.lit(1), F.size("__held") - 1), 2), bound)).withColumn("__n", walked("__near"))
+    open_ = (F.size("__held") > 2) & ((F.col("__n") == 1) | (F.size("__near") < 5))
+    looked = near.withColumn("__a", F.when(open_, ended_by(F.col("__held"), bound)).otherwise(F.col("__near")))
+    looked = looked.withColumn("__k", F.when(open_, walked("__a")).otherwise(F.col("__n"))).withColumn("w", F.get(F.col("__a"), F.col("__k") - 1))
+    # The next start: the first word in order that starts after the last one's end; it lies in the first page with a start after that.
+    passed = F.col("w.t1") + 0.001
+    page = F.get(F.filter("__pages", lambda p: p["starts"] > passed), F.lit(0))
+    found = looked.withColumn("__page", page).withColumn("after_t0", F.get(that(F.col("__page.words"), lambda x: x["t0"] > passed, "t0"), F.lit(0)))
+    found = found.withColumn("pause_after", decimals(F.col("after_t0") - F.col("w.t1"), "0.00"))
     gap = F.col("pause_after")
     kind = (
         F.when(F.col("w").isNull(), NO_WORDS).when(F.col("w.sentence_end"), SENTENCE).when(gap.isNull(), SPEECH_END).when(F.col("w.midphrase"), COMMA).when(F.col("w.hanging"), HANGING)
         .when(gap >= config.phrase_pause, f"{PAUSE}≥{config.phrase_pause:.1f}").when(gap < config.micro_pause, MID_WORD).otherwise(PAUSE)
     )
     verdict = F.when(F.col("end_type").isin(NO_WORDS, COMMA, HANGING, MID_WORD), "HARD").when(F.col("end_type") == PAUSE, "SOFT").otherwise("CLEAN")
-    last = F.array_join(F.transform(F.slice("a", F.greatest(F.lit(1), F.size("a") - 4), 5), lambda x: x["word"]), " ")
-    judged = rows.select("tid", "ord", "t_start", "t_end", decimals(F.col("t_end") - F.col("t_start"), "0.0").alias("duration"), last.alias("last_words"), kind.alias("end_type"), "pause_after").withColumn("verdict", verdict)
-    return hard_cause(judged, words, config).drop("t_start", "t_end")
+    last = F.coalesce(F.array_join(F.transform(F.slice("__a", F.greatest(F.lit(1), F.size("__a") - 4), 5), lambda x: x["word"]), " "), F.lit(""))
+    judged = found.select("tid", "ord", "t_end", "__pages", decimals(F.col("t_end") - F.col("t_start"), "0.0").alias("duration"), last.alias("last_words"), kind.alias("end_type"), "pause_after").withColumn("verdict", verdict)
+    return with_cause(judged, config).drop("t_end", "__pages")
 
 
-def hard_cause(ends: DataFrame, words: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Adds cause to classified ends: empty unless HARD."""
-    reach = config.tail_pad + 0.35
-    joined = near(ends, words, "t1", F.col("t_end") - reach - 1, F.col("t_end") + SLACK, word("phrase_end") & (word("t1") >= seg("t_end") - reach - 1) & (word("t1") <= seg("t_end") + SLACK))
-    rows = joined.groupBy("tid", "ord").agg(F.first("__seg").alias("e"), F.max(word("t1")).alias("pe")).select("e.*", (F.col("e.t_end") - F.col("pe")).alias("over"))
-    padded = (F.col("over") > 0.05) & (F.col("over") <= reach)
-    named = F.concat(F.lit(f"{PADDED} +"), F.call_function("format_number", F.col("over"), F.lit("0.00")), F.lit("с"))
+def with_cause(ends: DataFrame, config: Config) -> DataFrame:
+    """Adds cause to classified ends with their pages: empty unless HARD."""
+    reach, end = config.tail_pad + 0.35, F.col("t_end")
+    stops = that(touching(end - reach - 1, end + SLACK), lambda x: x["phrase_end"] & (x["t1"] <= end + SLACK), "t1")
+    rows = ends.withColumn("__over", F.when(F.col("verdict") == "HARD", end - F.array_max(stops)))
+    padded = (F.col("__over") > 0.05) & (F.col("__over") <= reach)
+    named = F.concat(F.lit(f"{PADDED} +"), F.call_function("format_number", F.col("__over"), F.lit("0.00")), F.lit("с"))
     cause = (
         F.when(F.col("verdict") != "HARD", "").when(F.col("end_type") == NO_WORDS, NO_WORDS_CAUSE).when(padded, named)
         .when(F.col("end_type").isin(COMMA, HANGING), F.concat("end_type", F.lit(FALLBACK))).otherwise(NO_BOUNDARY)
     )
-    return rows.withColumn("cause", cause).drop("over")
+    return rows.withColumn("cause", cause).drop("__over")
+
+
+def hard_cause(ends: DataFrame, words: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Adds cause to classified ends (tid, t_end, end_type, verdict, ...): empty unless HARD. words: flagged."""
+    return with_cause(paged(ends, words, "phrase_end"), config).drop("__pages")
 
 
 def end_quality_summary(ends: DataFrame) -> DataFrame:

@@ -100,5 +100,5 @@ def select_pipeline(responses: DataFrame, tokens: DataFrame, budget: int = DEFAU
     """Answers to ranked segments. tokens (tid, tokens): the estimate of each whole compressed text; over the budget, overlaps go by start, else by score."""
     pooled = union_chunk_candidates(parse_candidates(responses)[0])
     sized = pooled.join(tokens.select("tid", (F.col("tokens") > budget).alias("__chunked")), ["tid"], "left")
-    one, several = sized.where(~F.coalesce("__chunked", F.lit(False))).drop("__chunked"), sized.where("__chunked").drop("__chunked")
-    return rank_and_number(dedup_by_score(one).unionByName(dedup_by_start(several)), order="ord")
+    first = F.when(F.coalesce("__chunked", F.lit(False)), F.col("t_start")).otherwise(-F.col("score").cast("double"))
+    return rank_and_number(greedy_keep(sized, [first, F.col("ord")], DEFAULT.overlap).drop("__chunked"), order="ord")

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULT, Config
-from .boundaries import MINUTE
+
+MINUTE = 60.0
 
 
 def needs_chunking(media: DataFrame, enabled: bool = True, config: Config = DEFAULT) -> DataFrame:
