@@ -1,5 +1,6 @@
 """The shared scratch folder, checkpoints, and tables of a data folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Where the cluster names none (a local test session), a temporary folder is
-    set as the checkpoint folder of this Spark context and used from then on.
+    Where it is unset in a local session (one process, as in tests), a temporary folder is
+    set as the checkpoint folder of this Spark context and used from then on; on a cluster this raises RuntimeError.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if current is None:
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cueloom-"))
         current = context.getCheckpointDir()
     return (named or current).rstrip("/")

@@ -17,11 +17,8 @@ from ..functions import text as X
 ASPECT = 9 / 16
 RATIO_SLACK, NEARLY_ALL, NEARLY_WIDE, NARROW = 0.02, 0.97, 0.9, 0.30
 MIB = 1024 * 1024
-
-
-def stem(name: Column) -> Column:
-    """The last part of a path without its last suffix."""
-    return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+#: Settings that each length meets; more are an error.
+PROFILES = 1000
 
 
 def outside(crop: Column, frame: Column) -> Column:
@@ -56,12 +53,18 @@ def centred_crop(frame: Column) -> Column:
 
 
 def estimate_output_size(segments: DataFrame, profiles: DataFrame) -> DataFrame:
-    """segments (tid, t_start, t_end), profiles (profile, video, audio bit rates such as 7M or 128k) to (tid, profile, mb), summed by source; whole milliseconds are summed, so that the order makes no difference."""
+    """segments (tid, t_start, t_end), profiles (profile, video, audio bit rates such as 7M or 128k) to (tid, profile, mb), summed by source; whole milliseconds are summed, so that the order makes no difference.
+
+    Profiles are settings, not data: more than PROFILES of them raise ValueError.
+    """
     rate = profiles.select("profile", F.floor(X.bits_per_second(F.col("video"))).alias("v"), F.floor(X.bits_per_second(F.col("audio"))).alias("a"))
+    rates = rate.select("profile", (F.col("v") + F.col("a")).alias("bps")).limit(PROFILES + 1).collect()
+    if len(rates) > PROFILES:
+        raise ValueError(f"more than {PROFILES} profiles")
     length = segments.groupBy("tid").agg(F.sum(F.bround((F.col("t_end") - F.col("t_start")) * 1000).cast("long")).alias("ms"))
-    # Profiles are a handful of settings, not data; each length meets each of them.
-    each = length.crossJoin(F.broadcast(rate.limit(1000)))
-    return each.select("tid", "profile", ((F.col("v") + F.col("a")) * (F.col("ms") / F.lit(1000.0)) / 8 / MIB).alias("mb"))
+    kind = dict(rate.dtypes)["profile"]
+    each = F.array(*[F.struct(F.lit(r["profile"]).cast(kind).alias("profile"), F.lit(r["bps"]).cast("long").alias("bps")) for r in rates]).cast(f"array<struct<profile:{kind},bps:bigint>>")
+    return length.select("tid", "ms", F.inline(each)).select("tid", "profile", (F.col("bps") * (F.col("ms") / F.lit(1000.0)) / 8 / MIB).alias("mb"))
 
 
 def same_setup(setup: Column, crop: Column, rotation: Column, palette: Column) -> Column:
@@ -109,8 +112,8 @@ def missing_outputs(manifests: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def orphan_manifests(manifests: DataFrame, inputs: DataFrame, archive: DataFrame) -> DataFrame:
     """Manifests whose source's stem is neither among the inputs nor in the archive (each with a name)."""
-    known = inputs.select(stem(F.col("name")).alias("__stem")).unionByName(archive.select(stem(F.col("name")).alias("__stem"))).distinct()
-    return manifests.join(known, stem(manifests["source"]) == F.col("__stem"), "left_anti")
+    known = inputs.select(X.stem(F.col("name")).alias("__stem")).unionByName(archive.select(X.stem(F.col("name")).alias("__stem"))).distinct()
+    return manifests.join(known, X.stem(manifests["source"]) == F.col("__stem"), "left_anti")
 
 
 def resolve_source(manifests: DataFrame, files: DataFrame) -> DataFrame:
@@ -136,10 +139,10 @@ def renamed_content_guard(files: DataFrame, calibrations: DataFrame) -> DataFram
 
 def sync_status(files: DataFrame, manifests: DataFrame, corrupt: DataFrame, calibrations: DataFrame) -> DataFrame:
     """(name, calibration, manifest) per file: kind of its calibration, and none, corrupt, stale or ok. corrupt (stem): manifests that can't be read."""
-    desync = calibration_desync(manifests, calibrations).select(stem(F.col("source")).alias("ds")).distinct()
-    there, broken = manifests.select(stem(F.col("source")).alias("ms")).distinct(), corrupt.select(F.col("stem").alias("bs")).distinct()
+    desync = calibration_desync(manifests, calibrations).select(X.stem(F.col("source")).alias("ds")).distinct()
+    there, broken = manifests.select(X.stem(F.col("source")).alias("ms")).distinct(), corrupt.select(F.col("stem").alias("bs")).distinct()
     kinds = calibrations.groupBy(F.col("source_sha256").alias("h")).agg(F.min("kind").alias("kind"))
-    named = files.withColumn("stem", stem(F.col("name")))
+    named = files.withColumn("stem", X.stem(F.col("name")))
     joined = named.join(kinds, named["sha256"] == F.col("h"), "left").join(there, F.col("stem") == F.col("ms"), "left").join(broken, F.col("stem") == F.col("bs"), "left").join(desync, F.col("stem") == F.col("ds"), "left")
     state = F.when(F.col("bs").isNotNull(), "corrupt").when(F.col("ms").isNull(), "none").when(F.col("ds").isNotNull(), "stale").otherwise("ok")
     return joined.select("name", F.coalesce("kind", F.lit("none")).alias("calibration"), state.alias("manifest"))
@@ -199,8 +202,3 @@ def content_dedup(incoming: DataFrame, archive: DataFrame) -> DataFrame:
     there = archive.groupBy(F.col("name").alias("__n")).agg(F.collect_set("sha256").alias("hashes"))
     joined = incoming.join(there, incoming["name"] == F.col("__n"), "left")
     return joined.select("name", F.when(F.col("hashes").isNull(), "accept").when(F.array_contains("hashes", F.col("sha256")), "skip").otherwise("conflict").alias("action"))
-
-
-def numbered_once(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row by `order` of each key."""
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__k = 1").drop("__k")

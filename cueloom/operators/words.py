@@ -4,7 +4,7 @@ Everything is windowed or grouped by tid first, so one shuffle by tid serves a c
 operators. Transcripts without words have no rows and appear in no result.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -99,23 +99,41 @@ def split_oversize(numbered: DataFrame, limit: float = DEFAULT.sentence_limit) -
     return done.withColumn("__new", changed).withColumn("sent_no", F.sum("__new").over(first).cast("int")).select(*columns)
 
 
-def paragraph_text(rows: DataFrame, pause: float = DEFAULT.paragraph_pause) -> DataFrame:
-    """Sentence rows to (tid, text): sentences joined by a space; a blank line where more than `pause` lies between two."""
+def paragraph_piece(pause: float = DEFAULT.paragraph_pause) -> Column:
+    """A sentence row's text with what stands before it: nothing, a space, or a blank line after more than `pause`."""
     order = Window.partitionBy("tid").orderBy("sent_no")
     mark = F.when(F.lag("t1").over(order).isNull(), "").when(F.col("t0") - F.lag("t1").over(order) > pause, "\n\n").otherwise(" ")
-    pieces = rows.withColumn("piece", F.concat(mark, F.col("text")))
-    return pieces.groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    return F.concat(mark, F.col("text"))
 
 
-def cue_track(rows: DataFrame, fmt: str = "srt") -> DataFrame:
-    """Sentence rows to (tid, text): one numbered cue per sentence, as 'srt' or 'vtt'."""
+def cue_mark(fmt: str) -> tuple[str, str]:
+    """The mark before milliseconds and what a track starts with."""
     if fmt not in ("srt", "vtt"):
         raise ValueError(f"unknown cue format {fmt!r}")
-    mark = "," if fmt == "srt" else "."
+    return (",", "") if fmt == "srt" else (".", "WEBVTT\n\n")
+
+
+def cue(fmt: str) -> Column:
+    """A sentence row as a numbered cue."""
+    mark, _ = cue_mark(fmt)
     number = F.row_number().over(Window.partitionBy("tid").orderBy("sent_no"))
-    cues = rows.withColumn("n", number).withColumn("cue", F.concat_ws("\n", F.col("n").cast("string"), F.concat(X.clock(F.col("t0"), mark), F.lit(" --> "), X.clock(F.col("t1"), mark)), "text"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cue"))), lambda x: x["cue"]), "\n\n")
-    return cues.groupBy("tid").agg(F.concat(F.lit("" if fmt == "srt" else "WEBVTT\n\n"), body, F.lit("\n")).alias("text"))
+    return F.concat_ws("\n", number.cast("string"), F.concat(X.clock(F.col("t0"), mark), F.lit(" --> "), X.clock(F.col("t1"), mark)), F.col("text"))
+
+
+def joined(column: str, between: str) -> Column:
+    """An aggregate: the column's values in the order of the sentences."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_no", column))), lambda x: x[column]), between)
+
+
+def paragraph_text(rows: DataFrame, pause: float = DEFAULT.paragraph_pause) -> DataFrame:
+    """Sentence rows to (tid, text): sentences joined by a space; a blank line where more than `pause` lies between two."""
+    return rows.withColumn("piece", paragraph_piece(pause)).groupBy("tid").agg(joined("piece", "").alias("text"))
+
+
+def cue_track(rows: DataFrame, fmt: str = "srt") -> DataFrame:
+    """Sentence rows to (tid, text): one numbered cue per sentence, as 'srt' or 'vtt'."""
+    _, head = cue_mark(fmt)
+    return rows.withColumn("cue", cue(fmt)).groupBy("tid").agg(F.concat(F.lit(head), joined("cue", "\n\n"), F.lit("\n")).alias("text"))
 
 
 def word_json(words: DataFrame) -> DataFrame:

@@ -155,16 +155,18 @@ def padding(source: str) -> str:
 
 
 def trimming(source: str) -> str:
-    """source: with a column long, whether it was flagged."""
+    """source: with a column long, whether it was flagged. Words meet the segments of their transcript by minute."""
     return f"""
     window_ AS (
-        SELECT c.tid, c.ord, any_value(c.t_start) AS t_start, any_value(c.t_end) AS e0, any_value(c.long) AS long, list({{'t0': t0, 't1': t1}} ORDER BY idx) FILTER (WHERE idx IS NOT NULL) AS a
-        FROM {source} c LEFT JOIN words w ON w.tid = c.tid AND t0 >= c.t_start AND t1 <= c.t_start + 59 + 1 AND c.long GROUP BY c.tid, c.ord),
+        SELECT c.tid, c.ord, list({{'t0': t0, 't1': t1}} ORDER BY idx) AS a
+        FROM (SELECT tid, ord, t_start, unnest(range(CAST(floor(t_start / 60) AS BIGINT), CAST(floor((t_start + 60) / 60) AS BIGINT) + 1)) AS minute FROM {source} WHERE long) c
+        JOIN (SELECT tid, idx, t0, t1, CAST(floor(t0 / 60) AS BIGINT) AS minute FROM words) w ON w.tid = c.tid AND w.minute = c.minute
+        WHERE t0 >= c.t_start AND t1 <= c.t_start + 59 + 1 GROUP BY c.tid, c.ord),
     trimmed AS (
-        SELECT tid, ord, t_start, long, CASE WHEN NOT long THEN e0 ELSE coalesce(
+        SELECT c.tid, c.ord, t_start, long, CASE WHEN NOT long THEN t_end ELSE coalesce(
             list_max(list_filter(list_transform(range(1, len(a) + 1), lambda k: CASE WHEN k = len(a) OR a[k + 1].t0 - a[k].t1 > 0.35::DOUBLE THEN a[k].t1 END), lambda t: t <= t_start + 59)),
             list_max(list_filter(list_transform(a, lambda x: x.t1), lambda t: t <= t_start + 59)), t_start + 59) END AS t_end
-        FROM window_)"""
+        FROM {source} c LEFT JOIN window_ w ON w.tid = c.tid AND w.ord = c.ord)"""
 
 
 _CLASSES = """
@@ -354,8 +356,12 @@ SQL |= {
         UNION ALL SELECT 'rendered', count(*) FROM good JOIN reels ON tid = d UNION ALL SELECT 'archive', count(*) FROM files WHERE d % 3 = 0""",
     "d9_batch_outcome": f"""WITH {_SOURCES}, l AS (SELECT name, CASE WHEN d % 10 = 3 THEN 'skipped' WHEN d % 17 = 4 THEN 'failed' ELSE 'ok' END AS status FROM files)
         SELECT status, count(*) AS n, md5(string_agg(name, ',' ORDER BY name)) AS names_md5 FROM l GROUP BY status""",
-    "f2_content_dedup": f"""WITH {_SOURCES}, a AS (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 0 AND d % 10 <> 0)
+    "f2_content_dedup": f"""WITH {_SOURCES}, a AS (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 0)
         SELECT i.name, CASE WHEN a.name IS NULL THEN 'accept' WHEN a.sha256 = i.sha256 THEN 'skip' ELSE 'conflict' END AS action FROM (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 1) i LEFT JOIN a ON a.name = i.name""",
+    "g2_partial_fingerprint": """WITH b AS (SELECT doc_id, encode(text) AS c, octet_length(encode(text)) AS n FROM documents),
+        p AS (SELECT *, greatest(0, n // 2 - 32) AS m, greatest(0, n - 512) AS l FROM b)
+        SELECT doc_id, sha256(c[1:512] || CASE WHEN m > 512 THEN c[m + 1:m + 64] ELSE ''::BLOB END || CASE WHEN l > 512 OR l > m + 64 THEN c[l + 1:l + 512] ELSE ''::BLOB END ||
+            unhex(list_reduce([substr(lpad(hex(n), 16, '0'), k, 2) for k in [15, 13, 11, 9, 7, 5, 3, 1]], lambda x, y: x || y))) AS fingerprint FROM p""",
     "g1_content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "s1_incremental_drain": "SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) >= 64",
 }

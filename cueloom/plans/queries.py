@@ -200,8 +200,7 @@ def h5_segment_pipeline(spark, sf_dir):
     """Answers to settled segments with their words."""
     tokens = whole_text_tokens(O.compressed_lines(rows(spark, sf_dir)))
     chosen = C.select_pipeline(V.answers(spark, sf_dir), tokens).withColumns({"r0_start": F.col("t_start"), "r0_end": F.col("t_end")})
-    settled = B.settle(chosen, flags(spark, sf_dir), CONFIG)
-    found = B.words_in_segment(settled, V.words(spark, sf_dir))
+    found = B.settle(chosen, flags(spark, sf_dir), CONFIG, attach=True)
     return found.select("tid", "seg_id", "r0_start", "r0_end", "t_start", "t_end", F.size("words").cast("long").alias("n_words"), F.array_join("flags", ",").alias("flags"))
 
 
@@ -283,12 +282,19 @@ def d5_caption_track(spark, sf_dir):
     return P.caption_track(segments(spark, sf_dir), V.words(spark, sf_dir), head="")
 
 
+def stored(documents: DataFrame, key: str) -> str:
+    """The path of the documents (key, text), written a line each."""
+    path = scratch(documents.sparkSession, "documents")
+    documents.select(F.concat(key, F.lit("\t"), "text").alias("value")).write.text(path)
+    return path
+
+
 def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.parse_calibrations(V.calibration_documents(spark, sf_dir))
+    return S.read_calibrations(spark, stored(V.calibration_documents(spark, sf_dir), "source_sha256"), lines=True)
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return S.parse_manifests(V.manifest_documents(spark, sf_dir))
+    return S.read_manifests(spark, stored(V.manifest_documents(spark, sf_dir), "key"), lines=True)
 
 
 def speech_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +306,7 @@ def speech_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a1_read_word_json(spark, sf_dir):
     path = scratch(spark, "word-json")
     speech_answers(spark, sf_dir).select("id", F.lit("en").alias("language"), F.transform("w", lambda x: x.dropFields("idx")).alias("words")).write.json(path)
-    return S.read_word_json(spark, path)
+    return S.read_word_json(spark, path, lines=True)
 
 
 @query
@@ -308,9 +314,9 @@ def a2_read_segmented_word_json(spark, sf_dir):
     path = scratch(spark, "segmented-json")
     inner = F.transform("w", lambda x: x.dropFields("idx"))
     part = lambda words: F.struct(words.alias("words"))
-    segments_ = F.array(part(F.slice(inner, 1, 5)), part(F.when(F.col("id") < 0, inner)), part(F.slice(inner, 6, 1_000_000)))
+    segments_ = F.array(part(F.slice(inner, 1, 5)), part(F.when(F.col("id") < 0, inner)), part(F.slice(inner, F.lit(6), F.size("w"))))
     speech_answers(spark, sf_dir).select("id", segments_.alias("segments")).write.json(path)
-    return S.read_segmented_word_json(spark, path)
+    return S.read_segmented_word_json(spark, path, lines=True)
 
 
 @query
@@ -318,7 +324,7 @@ def a3_read_transcripts(spark, sf_dir):
     path = scratch(spark, "transcripts")
     inner = F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("t0"), x["end"].alias("t1")))
     speech_answers(spark, sf_dir).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"), F.lit("en").alias("language"), inner.alias("words")).write.json(path)
-    return S.read_transcripts(spark, path)
+    return S.read_transcripts(spark, path, lines=True)
 
 
 @query
@@ -340,9 +346,9 @@ def a5_read_calibrations(spark, sf_dir):
 def a7_write_manifests(spark, sf_dir):
     """Written and read back."""
     path = scratch(spark, "manifests")
-    K.write_manifests(R.assemble_manifest(V.manifest_segments(spark, sf_dir), V.manifest_sources(spark, sf_dir)), path)
-    good = S.read_manifests(spark, path)[0]
-    return good.select("source", "run_key", F.size("reels").cast("long").alias("n_reels"), F.coalesce(F.aggregate("reels", F.lit(0), lambda a, r: a + r["score"]), F.lit(0)).cast("long").alias("scores"))
+    K.write_manifests(R.assemble_manifest(V.manifest_segments(spark, sf_dir), V.manifest_sources(spark, sf_dir)), path, lines=True)
+    good = S.read_manifests(spark, path, lines=True)[0]
+    return good.where(F.col("key") == X.stem(F.col("source"))).select("source", "run_key", F.size("reels").cast("long").alias("n_reels"), F.coalesce(F.aggregate("reels", F.lit(0), lambda a, r: a + r["score"]), F.lit(0)).cast("long").alias("scores"))
 
 
 @query
@@ -452,7 +458,7 @@ def d9_batch_outcome(spark, sf_dir):
 @query
 def f2_content_dedup(spark, sf_dir):
     half = V.files(spark, sf_dir).select("d", F.concat(F.lit("n"), F.floor(F.col("d") / 2).cast("string")).alias("name"), "sha256")
-    return R.content_dedup(half.where("d % 2 = 1").drop("d"), half.where("d % 2 = 0 and d % 10 <> 0").drop("d"))
+    return R.content_dedup(half.where("d % 2 = 1").drop("d"), half.where("d % 2 = 0").drop("d"))
 
 
 @query

@@ -1,8 +1,15 @@
-"""JSON documents as tables."""
+"""JSON documents as tables.
+
+A path holds files of one document each, indented or not, as the writers of such files leave them; with `lines`, each line
+of a file is a document (for manifests and calibrations: after its key and a tab). Documents are keyed by the partition
+column `key`, if there is one, else by their file's stem (its name without the last suffix).
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 CROP = "struct<x:int,y:int,w:int,h:int>"
 SETUP = f"struct<setup_id:string,crop:{CROP},scale:array<int>,frame:array<int>,rotation_deg:double,palette:string>"
 REEL = "struct<id:string,start:double,end:double,score:int,hook:string,title:string,description:string,reason:string,topic:string,r0_start:double,r0_end:double,flags:array<string>,subtitles:array<struct<word:string,t0:double,t1:double>>>"
@@ -15,7 +22,20 @@ STATUSES = ("pending", "awaiting_review", "approved", "done", "failed")
 
 
 def file_stem() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\..*$", "")
+    return X.stem(F.col("_metadata.file_name"))
+
+
+def json_documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def keyed_texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(key, text) of all documents."""
+    raw = spark.read.option("wholetext", not lines).text(path)
+    if lines:
+        return raw.select(F.substring_index("value", "\t", 1).alias("key"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("text"))
+    key = F.col("key").cast("string") if "key" in raw.columns else file_stem()
+    return raw.select(key.alias("key"), F.col("value").alias("text"))
 
 
 def words_of(documents: DataFrame, words: Column) -> DataFrame:
@@ -24,24 +44,24 @@ def words_of(documents: DataFrame, words: Column) -> DataFrame:
     return rows.select("tid", "language", "idx", "w.word", "w.t0", "w.t1")
 
 
-def read_word_json(spark: SparkSession, path: str) -> DataFrame:
-    """Speech-to-text answers {id, language, words: [{word, start, end}]}, one JSON object a line, to words with their language ('' if missing). Objects without an id are named by their file."""
-    raw = spark.read.schema("id long, language string, words array<struct<word:string,start:double,end:double>>").json(path)
+def read_word_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Speech-to-text answers {id, language, words: [{word, start, end}]} to words with their language ('' if missing). Objects without an id are named by their file. Other fields are left aside."""
+    raw = json_documents(spark, path, "id long, language string, words array<struct<word:string,start:double,end:double>>", lines)
     shaped = F.transform("words", lambda w: F.struct(w["word"].alias("word"), w["start"].alias("t0"), w["end"].alias("t1")))
     return words_of(raw.select(F.coalesce(F.col("id").cast("string"), file_stem()).alias("tid"), F.coalesce("language", F.lit("")).alias("language"), "words"), shaped)
 
 
-def read_segmented_word_json(spark: SparkSession, path: str) -> DataFrame:
+def read_segmented_word_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """As read_word_json, for answers whose words are nested in segments, some of them null; all are taken in order."""
-    raw = spark.read.schema("id long, language string, segments array<struct<words:array<struct<word:string,start:double,end:double>>>>").json(path)
+    raw = json_documents(spark, path, "id long, language string, segments array<struct<words:array<struct<word:string,start:double,end:double>>>>", lines)
     flat = F.flatten(F.filter(F.transform("segments", lambda s: s["words"]), lambda w: w.isNotNull()))
     shaped = F.transform(flat, lambda w: F.struct(w["word"].alias("word"), w["start"].alias("t0"), w["end"].alias("t1")))
     return words_of(raw.select(F.coalesce(F.col("id").cast("string"), file_stem()).alias("tid"), F.coalesce("language", F.lit("")).alias("language"), "segments"), shaped)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Stored transcripts {language, words: [{word, t0, t1}]}, one whole document a line or file; the partition column `key`, else the file name up to its first dot, is the key."""
-    raw = spark.read.schema("language string, words array<struct<word:string,t0:double,t1:double>>, key string").json(path)
+def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stored transcripts {language, words: [{word, t0, t1}]}; a field `key` in the document (lines have no file of their own) goes before the file's key."""
+    raw = json_documents(spark, path, "language string, words array<struct<word:string,t0:double,t1:double>>, key string", lines)
     return words_of(raw.select(F.coalesce("key", file_stem()).alias("tid"), "language", "words"), F.col("words"))
 
 
@@ -57,11 +77,11 @@ def parse_manifests(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     without area or before the frame's corner, a rotation beyond 45 degrees either way, an unknown status). Missing optional fields get their
     defaults: scheme 'full', status 'pending', no segments, empty reason and topic, rotation 0.
     """
-    value = F.try_parse_json("text")
-    m = F.from_json("text", MANIFEST)
-    raw_reels = F.from_json(F.get_json_object("text", "$.reels"), "array<string>")
-    parsed = documents.select("key", "text", value.alias("v"), m.alias("m"), F.coalesce(raw_reels, F.array().cast("array<string>")).alias("raw"))
-    known = only(F.json_object_keys("text"), MANIFEST_KEYS) & only(F.json_object_keys(F.get_json_object("text", "$.setup")), SETUP_KEYS) & F.forall("raw", lambda r: only(F.json_object_keys(r), REEL_KEYS))
+    # Two parses of a text: into a variant, of which the keys are asked, and into the columns.
+    parsed = documents.select("key", F.try_parse_json("text").alias("v"), F.from_json("text", MANIFEST).alias("m"))
+    inner = lambda at, kind: F.try_variant_get("v", at, kind)
+    raw = F.coalesce(inner("$.reels", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))
+    known = only(F.map_keys(inner("$", "map<string,variant>")), MANIFEST_KEYS) & only(F.map_keys(inner("$.setup", "map<string,variant>")), SETUP_KEYS) & F.forall(raw, lambda r: only(F.map_keys(r), REEL_KEYS))
     setup, reels = F.col("m.setup"), F.coalesce(F.col("m.reels"), F.array().cast(f"array<{REEL}>"))
     whole = [F.col(f"m.{k}").isNotNull() for k in ("source", "source_sha256", "duration_preset", "run_key")] + [setup[k].isNotNull() for k in ("setup_id", "crop", "scale", "frame")]
     whole += [setup["crop"][k].isNotNull() for k in "xywh"]
@@ -85,11 +105,9 @@ def parse_manifests(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, judged.where("reason is not null").select("key", "reason")
 
 
-def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Manifest files, one JSON document each, or one a line; keys are the partition column `key`, else the file name up to its first dot."""
-    raw = spark.read.text(path)
-    key = F.col("key").cast("string") if "key" in raw.columns else file_stem()
-    return parse_manifests(raw.select(key.alias("key"), F.col("value").alias("text")))
+def read_manifests(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Manifest documents: (manifests, quarantined (key, reason)), as parse_manifests gives them."""
+    return parse_manifests(keyed_texts(spark, path, lines))
 
 
 def parse_calibrations(documents: DataFrame) -> DataFrame:
@@ -101,11 +119,9 @@ def parse_calibrations(documents: DataFrame) -> DataFrame:
     return parsed.select("source_sha256", *[F.when(kind != "corrupt", F.col(f"c.{k}")).alias(k) for k in ("source_name", "setup_label", "crop", "scale", "frame", "rotation_deg", "palette", "auto", "rotation_applied")], kind.alias("kind"))
 
 
-def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
-    """Calibration files named by content hash (or lines below a partition column `key`)."""
-    raw = spark.read.text(path)
-    key = F.col("key").cast("string") if "key" in raw.columns else file_stem()
-    return parse_calibrations(raw.select(key.alias("source_sha256"), F.col("value").alias("text")))
+def read_calibrations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Calibration documents, keyed by content hash."""
+    return parse_calibrations(keyed_texts(spark, path, lines).withColumnRenamed("key", "source_sha256"))
 
 
 def calibration_kinds(hashes: DataFrame, calibrations: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Tables as text documents. One line of a text file is one document; line ends inside a document are written as JSON strings are, so that it can be read back."""
+"""Tables as text documents. Where one line of a text file is one document, it starts with the document's key and a tab; line ends inside a document are written as JSON strings are, so that it can be read back."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import words as O
 
 FORMATS = ("text", "srt", "vtt", "json")
@@ -17,20 +18,32 @@ def from_line(line: Column) -> Column:
     return F.get(F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>"), F.lit(0))
 
 
-def write_manifests(manifests: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON document a line; null fields are left out, as readers take them for missing."""
-    manifests.select(F.to_json(F.struct(*manifests.columns)).alias("value")).write.mode(mode).text(path)
+def write_manifests(manifests: DataFrame, path: str, mode: str = "overwrite", lines: bool = False) -> None:
+    """One JSON document per source, keyed by the source's stem; null fields are left out, as readers take them for missing.
+
+    Either a folder key=... with a file of the indented document for each source, or, with `lines` (for very many sources), documents of one
+    line each after their key and a tab. read_manifests reads both. Sources of the same stem are written under one key.
+    """
+    named = manifests.select(X.stem(F.col("source")).alias("key"), F.struct(*manifests.columns).alias("m"))
+    if lines:
+        named.select(F.concat("key", F.lit("\t"), F.to_json("m")).alias("value")).write.mode(mode).text(path)
+    else:
+        named.select("key", F.to_json("m", {"pretty": "true"}).alias("value")).write.mode(mode).partitionBy("key").text(path)
 
 
 def transcript_export(words: DataFrame, pause: float = 0.35) -> DataFrame:
-    """(fmt, tid, text): each transcript as text, srt, vtt and json."""
-    rows = O.sentences(O.split_sentences(words, pause))
-    parts = [O.paragraph_text(rows), O.cue_track(rows, "srt"), O.cue_track(rows, "vtt"), O.word_json(words)]
-    whole = None
-    for fmt, part in zip(FORMATS, parts, strict=True):
-        named = part.select(F.lit(fmt).alias("fmt"), "tid", "text")
-        whole = named if whole is None else whole.unionByName(named)
-    return whole
+    """(fmt, tid, text): each transcript as text, srt, vtt and json, all from one pass over its words."""
+    word = F.struct("idx", "word", "t0", "t1")
+    rows = O.split_sentences(words, pause).groupBy("tid", "sent_no").agg(
+        F.min_by("t0", "idx").alias("t0"), F.max_by("t1", "idx").alias("t1"), F.array_sort(F.collect_list(word)).alias("ws")).withColumn("text", F.array_join(F.transform("ws", lambda x: x["word"]), " "))
+    made = rows.select("tid", F.struct("sent_no", O.paragraph_piece().alias("piece"), O.cue("srt").alias("srt"), O.cue("vtt").alias("vtt"), "ws").alias("s"))
+    whole = made.groupBy("tid").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    part = lambda name, between: F.array_join(F.transform("s", lambda x: x[name]), between)
+    track = lambda fmt: F.concat(F.lit(O.cue_mark(fmt)[1]), part(fmt, "\n\n"), F.lit("\n"))
+    plain = F.transform(F.flatten(F.transform("s", lambda x: x["ws"])), lambda w: F.struct(w["word"].alias("word"), w["t0"].alias("t0"), w["t1"].alias("t1")))
+    texts = (part("piece", ""), track("srt"), track("vtt"), F.to_json(plain))
+    named = F.array(*[F.struct(F.lit(fmt).alias("fmt"), text.alias("text")) for fmt, text in zip(FORMATS, texts, strict=True)])
+    return whole.select("tid", F.inline(named)).select("fmt", "tid", "text")
 
 
 def write_transcript_export(words: DataFrame, path: str, mode: str = "overwrite") -> None:

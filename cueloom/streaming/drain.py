@@ -1,40 +1,48 @@
 """Incremental draining of an input folder: every new content once, whatever its name and however often the job runs."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_sha256
 
 SCHEMA = "name string, content string"
-LEDGER = "name string, sha256 string, size long, status string"
+ARCHIVE = "sha256 string, name string, content string, size long, batch long"
+LEDGER = "name string, sha256 string, size long, status string, reason string"
 
 
-def judged(batch: DataFrame, least: int) -> DataFrame:
-    """(name, content, sha256, size, valid): content that is null, empty or below `least` bytes is invalid."""
+def judged(batch: DataFrame, least: int, problem: Column | None = None) -> DataFrame:
+    """(name, content, sha256, size, status, reason): skipped where content is null, empty or below `least` bytes; failed where `problem` gives a reason; else drained."""
     size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
-    return batch.select("name", "content", content_sha256(F.coalesce("content", F.lit(""))).alias("sha256"), size.alias("size"), (size >= max(1, least)).alias("valid"))
+    fault = F.lit(None).cast("string") if problem is None else problem.cast("string")
+    valid = size >= max(1, least)
+    status = F.when(~valid, "skipped").when(fault.isNotNull(), "failed").otherwise("drained")
+    return batch.select("name", "content", content_sha256(F.coalesce("content", F.lit(""))).alias("sha256"), size.alias("size"), status.alias("status"), F.when(valid, fault).alias("reason"))
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def drain_batch(batch: DataFrame, archive: str, log: str, least: int) -> None:
-    """Archive the batch's valid content that the archive lacks, one row per hash (the least name), and log all of its rows.
+def drain_batch(batch: DataFrame, number: int, archive: str, log: str, least: int, problem: Column | None = None) -> None:
+    """Archive the batch's content to be drained that earlier batches didn't archive, one row per hash (the least name), and log all of its rows.
 
-    A batch that is run again finds its content archived and adds nothing to the archive.
+    Both go to a folder of the batch's number, so a batch that is run again replaces what it wrote.
     """
     spark = batch.sparkSession
-    rows = judged(batch, least)
-    known = spark.read.schema("sha256 string").parquet(archive).distinct()
-    new = rows.where("valid").join(known, ["sha256"], "left_anti").groupBy("sha256").agg(F.min(F.struct("name", "content", "size")).alias("r"))
-    new.select("sha256", "r.name", "r.content", "r.size").write.mode("append").parquet(archive)
-    rows.select("name", "sha256", "size", F.when(F.col("valid"), "drained").otherwise("skipped").alias("status")).write.mode("append").parquet(log)
+    rows = judged(batch, least, problem)
+    known = spark.read.schema(ARCHIVE).parquet(archive).where(F.col("batch") != number).select("sha256")
+    new = rows.where("status = 'drained'").join(known, ["sha256"], "left_anti").groupBy("sha256").agg(F.min(F.struct("name", "content", "size")).alias("r"))
+    new.select("sha256", "r.name", "r.content", "r.size").write.mode("overwrite").parquet(f"{archive}/batch={number}")
+    rows.select("name", "sha256", "size", "status", "reason").write.mode("overwrite").parquet(f"{log}/batch={number}")
 
 
-def incremental_drain(spark: SparkSession, inputs: str, archive: str, log: str, checkpoint: str, least: int = 1 << 20) -> None:
-    """Process all new files (Parquet, name and content) of the folder, then stop. The checkpoint remembers which files were taken; the archive, by hash, which contents."""
-    spark.createDataFrame([], "sha256 string, name string, content string, size long").write.mode("append").parquet(archive)
+def incremental_drain(spark: SparkSession, inputs: str, archive: str, log: str, checkpoint: str, least: int = 1 << 20, problem: Column | None = None) -> None:
+    """Process all new files (Parquet, name and content) of the folder, then stop. The checkpoint remembers which files were taken; the archive, by hash, which contents.
+
+    problem: a column on name and content that says why a row can't be processed, and is null where it can (made of functions that give null in place of an
+    error, such as try_parse_json). Such a row is logged as failed and not archived, and the others of its batch go on.
+    """
+    spark.createDataFrame([], "sha256 string, name string, content string, size long").write.mode("append").parquet(f"{archive}/batch=-1")
     stream = spark.readStream.schema(SCHEMA).parquet(inputs)
-    query = stream.writeStream.foreachBatch(lambda batch, _: drain_batch(batch, archive, log, least)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda batch, number: drain_batch(batch, number, archive, log, least, problem)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
