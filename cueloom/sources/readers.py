@@ -31,7 +31,7 @@ def json_documents(spark: SparkSession, path: str, schema: str, lines: bool) ->
 
 def keyed_texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """(key, text) of all documents."""
-    raw = spark.read.option("wholetext", not lines).text(path)
+    raw = spark.read.text(path, wholetext=not lines)
     if lines:
         return raw.select(F.substring_index("value", "\t", 1).alias("key"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("text"))
     key = F.col("key").cast("string") if "key" in raw.columns else file_stem()

@@ -20,6 +20,13 @@ def test_entry(spark):
     assert frame.limit(1).count() == 1
 
 
+@pytest.mark.parametrize(("name", "shuffles", "scans"), [("h5_segment_pipeline", 6, 3), ("h3_resnap", 4, 2), ("h4_select_pipeline", 3, 2), ("h1_classify_end", 3, 2), ("c7_apply_padding", 3, 2)])
+def test_lineages_are_evaluated_once(spark, sf_dir, name, shuffles, scans):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    full = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= scans and full.count("Exchange hashpartitioning") <= shuffles and "Cartesian" not in full
+
+
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -36,7 +36,8 @@ def spans(frame):
 
 
 def phrases(spark):
-    return words(spark, ("раз", 0, 0.5), ("два", 30, 30.4), ("три", 30.5, 31.0), ("четыре", 31.1, 31.6), ("пять", 33.0, 33.5), ("шесть", 33.6, 34.0), ("семь", 36.0, 36.6))
+    """Three words, a pause of two seconds, three words, a short pause of half a second, two words, a pause of four seconds, one word."""
+    return words(spark, ("утро", 2, 2.4), ("было", 2.5, 2.9), ("тихим", 3.0, 3.5), ("потом", 5.5, 5.9), ("пришёл", 6.0, 6.6), ("ветер", 6.7, 7.2), ("сильный", 7.7, 8.3), ("холодный", 8.4, 9.0), ("дождь", 13.0, 13.6))
 
 
 def test_sentences(spark):
@@ -76,10 +77,63 @@ def test_phrase_ends(spark):
 
 def test_snap_and_pad(spark):
     w = B.flagged(phrases(spark))
-    near = B.snap_start(segments(spark, (29.5, 34.5, 80)), w)
-    assert spans(near) == [(30.0, 34.5)]
-    assert spans(B.snap_end(near, w)) == [(30.0, 34.3)]
-    assert spans(B.apply_padding(segments(spark, (30, 34.3, 80)), w)) == [(29.7, 34.7)]
+    near = B.snap_start(segments(spark, (6.3, 8.6, 80)), w)
+    assert spans(near) == [(5.5, 8.6)]  # the phrase start, not the nearer word starts
+    assert spans(B.snap_end(near, w)) == [(5.5, 9.3)]  # the end before the long pause, and the tail
+    assert spans(B.apply_padding(segments(spark, (5.5, 9.3, 80)), w)) == [(5.2, 9.7)]
+    assert spans(B.snap_start(segments(spark, (11.0, 20, 80)), w)) == [(11.0, 20.0)]  # no word within the window
+
+
+def test_media_length_caps_the_end(spark):
+    w = B.flagged(phrases(spark))
+    held = segments(spark, (5.5, 9.3, 80), (12, 14, 80)).withColumn("length", F.when(F.col("ord") == 0, 9.2))
+    assert spans(B.apply_padding(held, w, cap_at_speech_end=False, duration="length")) == [(5.2, 9.2), (12.7, 14.3)]
+
+
+def odd_segments(spark):
+    """A sound segment; null bounds; reversed, far and huge ones; an unknown transcript."""
+    rows = [(1, 0, 6.3, 8.6), (1, 1, None, 8.6), (1, 2, 6.3, None), (1, 3, None, None), (1, 4, 8.0, 2.0), (1, 5, 1e12, 2e12), (1, 6, -1e12, 1e12), (7, 7, 6.3, 8.6), (None, 8, 6.3, 8.6)]
+    return spark.createDataFrame([(*r, 80, ["too_long"], r[2], r[3]) for r in rows], SEGMENTS + ", r0_start double, r0_end double")
+
+
+def test_every_segment_stays_whatever_its_bounds(spark):
+    raw, w = odd_segments(spark), B.flagged(phrases(spark))
+    same = {r["ord"]: (r["t_start"], r["t_end"]) for r in raw.collect()}
+    steps = [B.snap_start(raw, w), B.snap_end(raw, w), B.apply_padding(raw, w), B.trim_too_long(raw, w), B.settle(raw, w), B.words_in_segment(raw, phrases(spark))]
+    for made in steps:
+        found = {r["ord"]: (r["t_start"], r["t_end"]) for r in made.collect()}
+        assert sorted(found) == list(range(9)) and (found[1][0], found[3]) == (None, (None, None))
+    attached = {r["ord"]: len(r["words"]) for r in steps[-1].collect()}
+    assert attached == {0: 3, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 9, 7: 0, 8: 0}
+    padded = {r["ord"]: (r["t_start"], r["t_end"]) for r in steps[2].collect()}
+    assert all(padded[k] == same[k] for k in (1, 2, 3, 4, 5, 7, 8))
+    ends = {r["ord"]: r["end_type"] for r in A.classify_end(raw, w).collect()}
+    assert sorted(ends) == list(range(9)) and {ends[k] for k in (2, 3, 7, 8)} == {A.NO_WORDS} and ends[5] == A.SPEECH_END
+    assert P.caption_track(raw, phrases(spark)).count() == 9
+    kept, report = B.resnap(raw, w)
+    assert kept.count() == 9 and {r["tid"]: r["status"] for r in report.collect()} == {1: "skipped", 7: "skipped", None: "skipped"}
+
+
+def test_resnap(spark):
+    w = B.flagged(phrases(spark))
+    stored = segments(spark, (6, 8, 80), (5.2, 9.7, 70)).withColumns({"r0_start": F.lit(6.3), "r0_end": F.lit(8.6)})
+    kept, report = B.resnap(stored, w)
+    assert spans(kept) == [(5.2, 9.7)] * 2 and tuple(report.first()) == (1, "resnapped", 1)
+    long = stored.withColumn("flags", F.when(F.col("ord") == 0, F.array(F.lit("too_long"))).otherwise(F.col("flags")))
+    kept, report = B.resnap(long, w, policy="drop")
+    assert spans(kept) == [(5.2, 9.7)] and tuple(report.first()) == (1, "resnapped", 0)
+
+
+def test_pages_of_a_long_transcript(spark, monkeypatch):
+    """Words in small pages give what words in one page give."""
+    many = words(spark, *[(f"w{k}" + ("." if k % 7 == 6 else ""), k * 0.5 + (k % 5) * 0.02, k * 0.5 + 0.4 + (k % 3) * 0.2) for k in range(400)])
+    asked = C.flag_durations(segments(spark, *[(k * 3.3, k * 3.3 + 20 + 11 * (k % 5), 50) for k in range(50)]))
+    made = []
+    for size in (5, 1000):
+        monkeypatch.setattr(B, "PAGE", size)
+        settled = B.settle(asked, B.flagged(many), attach=True)
+        made.append((sorted(map(repr, settled.collect())), sorted(map(repr, A.classify_end(settled, B.flagged(many)).collect()))))
+    assert made[0] == made[1]
 
 
 def test_snap_never_ends_on_a_hanging_word(spark):
@@ -88,10 +142,11 @@ def test_snap_never_ends_on_a_hanging_word(spark):
 
 
 def test_trim_policies(spark):
-    w, long = B.flagged(phrases(spark)), C.flag_durations(segments(spark, (0, 80, 80), (30, 50, 70)))
-    assert spans(B.trim_too_long(long, w)) == [(0.0, 36.6), (30.0, 50.0)]
-    assert spans(B.trim_too_long(long, w, policy="drop")) == [(30.0, 50.0)]
-    assert spans(B.trim_too_long(long, w, policy="keep")) == [(0.0, 80.0), (30.0, 50.0)]
+    w, long = B.flagged(phrases(spark)), C.flag_durations(segments(spark, (1, 70, 80), (5, 25, 70)))
+    assert spans(B.trim_too_long(long, w)) == [(1.0, 13.6), (5.0, 25.0)]  # the last word ends the window, so it counts as a pause
+    assert spans(B.trim_too_long(long, w, Config(max_duration=6.5))) == [(1.0, 7.2), (5.0, 25.0)]  # up to 7.5: the pause before the eighth second
+    assert spans(B.trim_too_long(long, w, policy="drop")) == [(5.0, 25.0)]
+    assert spans(B.trim_too_long(long, w, policy="keep")) == [(1.0, 70.0), (5.0, 25.0)]
     with pytest.raises(ValueError, match="policy"):
         B.trim_too_long(long, w, policy="other")
 
@@ -207,6 +262,76 @@ def test_manifests(spark, tmp_path):
     assert {r["key"]: r["reason"] for r in bad.collect()} == {"extra": "unknown_key", "cut": "invalid_json", "score": "out_of_range", "inner": "unknown_key", "missing": "missing_field", "state": "out_of_range"}
 
 
+def test_indented_files_are_read_whole(spark, tmp_path):
+    """One indented document to a file, as the writers of such files leave them; keys are names without the last suffix."""
+    at = {k: tmp_path / k for k in ("speech", "nested", "stored", "manifests", "calibrations")}
+    for path in at.values():
+        path.mkdir()
+    said = [{"word": " Да", "start": 0.5, "end": 0.9}, {"word": " нет.", "start": 1.0, "end": 1.25}]
+    put = lambda kind, name, body: (at[kind] / name).write_text(json.dumps(body, indent=2, ensure_ascii=False))
+    put("speech", "a.b.json", {"task": "transcribe", "language": "Russian", "duration": 1.5, "text": "Да нет.", "words": said, "segments": None, "x": {"id": "q"}})
+    put("speech", "empty.json", {"text": ""})
+    put("nested", "c.json", {"segments": [{"words": said[:1]}, {"words": None}, {"words": said[1:]}]})
+    put("stored", "h.1.json", {"language": "ru", "words": [{"word": "Да", "t0": 0.5, "t1": 0.9}]})
+    put("manifests", "a.b.json", json.loads(manifest()))
+    put("manifests", "bad.json", json.loads(manifest(note="1")))
+    put("calibrations", "h.json", {"source_name": "a.mp4", "setup_label": "auto", "crop": {"x": 5, "y": 0, "w": 1215, "h": 2160}, "frame": [3840, 2160], "rotation_applied": True})
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    assert rows(S.read_word_json(spark, str(at["speech"]))) == [("a.b", "Russian", 0, " Да", 0.5, 0.9), ("a.b", "Russian", 1, " нет.", 1.0, 1.25)]
+    assert rows(S.read_segmented_word_json(spark, str(at["nested"]))) == [("c", "", 0, " Да", 0.5, 0.9), ("c", "", 1, " нет.", 1.0, 1.25)]
+    assert rows(S.read_transcripts(spark, str(at["stored"]))) == [("h.1", "ru", 0, "Да", 0.5, 0.9)]
+    good, bad = S.read_manifests(spark, str(at["manifests"]))
+    assert [r["key"] for r in good.collect()] == ["a.b"] and rows(bad) == [("bad", "unknown_key")]
+    assert [(r["source_sha256"], r["kind"], r["crop"]["x"]) for r in S.read_calibrations(spark, str(at["calibrations"])).collect()] == [("h", "auto", 5)]
+
+
+def test_manifests_are_written_by_source(spark, tmp_path):
+    texts = [("k", manifest(source=f"{name}.mp4", source_sha256=name)) for name in ("a.b", "c")]
+    good = S.parse_manifests(spark.createDataFrame(texts, "key string, text string"))[0].drop("key")
+    for lines in (False, True):
+        path = str(tmp_path / f"lines-{lines}")
+        K.write_manifests(good.coalesce(1), path, lines=lines)
+        again, bad = S.read_manifests(spark, path, lines=lines)
+        assert {r["key"]: r["source"] for r in again.collect()} == {"a.b": "a.b.mp4", "c": "c.mp4"} and bad.count() == 0
+        assert sorted(map(repr, again.drop("key").collect())) == sorted(map(repr, good.collect()))
+
+
+def test_a_corrupt_manifest_of_a_name_with_two_dots_shows(spark):
+    files = spark.createDataFrame([("a.b.mp4", "h")], "name string, sha256 string")
+    good, bad = S.parse_manifests(spark.createDataFrame([("a.b", "{")], "key string, text string"))
+    calibrations = S.parse_calibrations(spark.createDataFrame([], "source_sha256 string, text string"))
+    assert R.sync_status(files, good, bad.withColumnRenamed("key", "stem"), calibrations).first()["manifest"] == "corrupt"
+
+
+def test_too_many_profiles_are_an_error(spark):
+    profiles = spark.range(1500).select(F.col("id").cast("string").alias("profile"), F.lit("1M").alias("video"), F.lit("1k").alias("audio"))
+    held = segments(spark, (0, 8, 1), (0, 8, 1))
+    with pytest.raises(ValueError, match="profiles"):
+        R.estimate_output_size(held, profiles)
+    found = R.estimate_output_size(held, profiles.where("id < 900")).collect()
+    assert len(found) == 900 and found[0]["mb"] == 1_001_000 * 16 / 8 / 1024 / 1024
+    assert R.estimate_output_size(held, profiles.limit(0)).count() == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from cueloom.functions import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        shared.shared_dir(Session())
+
+
 def test_reconcile(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps({"source_name": "a.mp4", "setup_label": "mine", "crop": {"x": 5, "y": 0, "w": 1215, "h": 2160}, "frame": [3840, 2160]}))
     (tmp_path / "broken.json").write_text("{")
@@ -247,6 +372,17 @@ def test_drain_is_idempotent(spark, tmp_path):
     assert {(r["name"], r["status"]) for r in D.ledger(spark, at["log"]).collect()} == {("a", "drained"), ("b", "drained"), ("c", "skipped"), ("d", "skipped"), ("e", "drained"), ("f", "drained")}
 
 
+def test_drain_isolates_failures_and_repeated_batches(spark, tmp_path):
+    at = {k: str(tmp_path / k) for k in ("in", "archive", "log", "ckpt")}
+    rows = spark.createDataFrame([("a", '{"x": 1}'), ("b", "{broken"), ("c", "")], D.SCHEMA)
+    rows.coalesce(1).write.parquet(at["in"])
+    problem = F.when(F.try_parse_json("content").isNull(), "not JSON")
+    D.incremental_drain(spark, at["in"], at["archive"], at["log"], at["ckpt"], least=2, problem=problem)
+    D.drain_batch(rows, 0, at["archive"], at["log"], 2, problem)  # the same batch once more
+    assert [r["name"] for r in spark.read.parquet(at["archive"]).collect()] == ["a"]
+    assert sorted((r["name"], r["status"], r["reason"]) for r in D.ledger(spark, at["log"]).collect()) == [("a", "drained", None), ("b", "failed", "not JSON"), ("c", "skipped", None)]
+
+
 def test_batch_outcome_gathers_no_names(spark):
     names = [f"n{k:04}" for k in range(3000)]
     log = spark.createDataFrame([(n, "ok" if k % 3 else "failed") for k, n in enumerate(names)] + [("x", None), (None, "ok")], "name string, status string").repartition(7)
