@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_weighed, lean_batches, scratch
+from .common import bounded, cut, join_weighed, lean_batches, scratch
 
 LIMIT = 2048
 MEMO = 400_000
@@ -123,9 +123,12 @@ def digest(content: Column) -> Column:
 
 
 def misses(documents: DataFrame, text: str, known: DataFrame, whole: bool = False) -> DataFrame:
-    """(digest, content) of each distinct normalised text that the cache lacks. Copies meet before the shuffle."""
+    """(digest, content) of each distinct normalised text that the cache lacks. Digests alone are compared with the cache; then texts are chosen by a broadcast of the few that are lacking, or else made distinct, so that copies meet before the shuffle, and joined."""
     content = documents.select(normalised(F.col(text), whole).alias("content")).withColumn("digest", digest(F.col("content")))
-    return content.join(known, ["digest"], "left_anti").groupBy("digest").agg(F.first("content").alias("content"))
+    lacking = cut(content.select("digest").distinct().join(known, ["digest"], "left_anti"))
+    few = bounded(lacking, lacking.count())
+    once = lambda rows: rows.groupBy("digest").agg(F.first("content").alias("content"))
+    return once(content.join(few, ["digest"], "left_semi")) if few is not lacking else once(content).join(lacking, ["digest"], "left_semi")
 
 
 def fill_cache(documents: DataFrame, cache: str, text: str = "text", tokenizer: str | None = None) -> DataFrame:
