@@ -193,9 +193,10 @@ def mixed_documents(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     copies = mix(documents, key)
     same = Window.partitionBy("__id", "__source", "__size").orderBy("__id")
-    numbered = documents.withColumns({"__id": F.col(key), "__source": F.col("source"), "__size": word_count(F.col("text"))}).withColumn("__again", F.row_number().over(same))
+    rows = documents.select(F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("__row"), F.col(key).alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"))
+    numbered = rows.withColumn("__again", F.row_number().over(same))
     again = copies.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))).where("copies > 0")
     wanted = again.select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("again").alias("__n"), F.col("copies").alias("__copies"))
     same_row = F.col("__id").eqNullSafe(F.col("__k")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__again") == F.col("__n"))
     matched = numbered.join(wanted, same_row)
-    return matched.select(*[F.col(f"`{name}`") for name in documents.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return matched.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"__row.`{name}`") for name in documents.columns])

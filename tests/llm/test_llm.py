@@ -55,6 +55,63 @@ def test_shards_of_odd_rows(spark, odd):
     assert placed.count() == odd.count() and placed.columns[-3:] == ["shard", "slot", "moved"] and "shards" in placed.columns
 
 
+def walked_by_hand(cells, shards, epsilon, virtual_nodes):
+    """The same ring, a row at a time: first all rows to their own points while there is room, then the rest clockwise, cell by cell."""
+    points = sharding.ring_points(shards, virtual_nodes)
+    free, taken = sharding.capacities(sum(cells.values()), shards, epsilon), Counter()
+    own = {c: next((k for k, p in enumerate(points) if p[0] >= c), 0) for c in cells}
+    left = {}
+    for c in sorted(cells):
+        shard = points[own[c]][2]
+        here = min(cells[c], free[shard])
+        free[shard] -= here
+        taken[c, shard] += here
+        left[c] = cells[c] - here
+    for c in sorted(cells):
+        for _ in range(left[c]):
+            k = own[c]
+            while not free[points[k][2]]:
+                k = (k + 1) % len(points)
+            free[points[k][2]] -= 1
+            taken[c, points[k][2]] += 1
+    return {k: n for k, n in taken.items() if n}
+
+
+@pytest.mark.parametrize(("shards", "epsilon"), [(1, 0.0), (3, 0.0), (8, 0.25), (50, 0.0), (50, 0.01)])
+def test_plan_equals_a_walk_by_hand(shards, epsilon):
+    rng = np.random.default_rng(shards)
+    cells = {int(c): int(n) for c, n in zip(rng.choice(sharding.RING_CELLS, 150, replace=False), rng.integers(1, 30, 150), strict=True)} | {7: 900}
+    got = Counter()
+    for cell, first, last, shard, _, _ in sharding.plan_moves(cells, shards, epsilon, 16):
+        got[cell, shard] += last - first + 1
+    assert got == walked_by_hand(cells, shards, epsilon, 16)
+
+
+def test_plan_for_many_shards_is_quick():
+    import time
+
+    began = time.time()
+    moves = sharding.plan_moves(dict.fromkeys(range(0, sharding.RING_CELLS, 4), 5), 2000, 0.0, 32)
+    assert sum(m[2] - m[1] + 1 for m in moves) == 5 * sharding.RING_CELLS // 4 and time.time() - began < 20
+
+
+def test_shard_values(spark, odd):
+    rows = {(r["doc_id"], r["text_crc32"]): r for r in sharding.shard_documents(odd).collect()}
+    for r in odd.collect():
+        data = (r["text"] or "").encode()
+        assert rows[r["doc_id"], zlib.crc32(data)]["size"] == len(data) + 1
+    first, again = (sorted(map(repr, sharding.shard_documents(odd).collect())) for _ in range(2))
+    assert first == again
+
+
+def test_repeated_keys_are_numbered_in_parts(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("n"))
+    placed = sharding.shard_rows(rows, "doc_id").collect()
+    assert len({r["n"] for r in placed}) == len(placed) == 3000
+    for shard in range(8):
+        assert sorted(r["slot"] for r in placed if r["shard"] == shard) == list(range(375))
+
+
 def test_plan_moves_few_rows_and_keeps_to_capacity():
     cells = {c: 3 for c in range(0, sharding.RING_CELLS, 16)}
     loose = sharding.plan_moves(cells, 8, 0.25, sharding.VIRTUAL_NODES)
@@ -97,6 +154,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [found[k]["n_links"] for k in range(len(texts))] == brute_links(texts)
 
 
+def test_isolated_pairs_are_found(spark):
+    """Pairs a little above the threshold, each alone: no third text helps to find them."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(400):
+        base = [f"w{x}" for x in rng.integers(0, 10**7, 104)]  # 100 shingles; one changed word among the first or last few leaves 90 or more of 110
+        other = list(base)
+        other[10] = "x"
+        texts += [" ".join(base), " ".join([*other[:50], "y", *other[51:]])]
+    sets = [set(jaccard_join.shingles(t).tolist()) for t in texts]
+    near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert min(near) == max(near) == pytest.approx(90 / 110)
+    found = jaccard_join.near_duplicates(docs(spark, *enumerate(texts))).where("n_links = 1").count()
+    assert found == len(texts)
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     for name, size in (("SMALL", 4), ("BLOCK", 8), ("VERIFY_BLOCK", 8)):
         monkeypatch.setattr(jaccard_join, name, size)
@@ -134,6 +207,17 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (3, 3), (5, None), *[(k, k + 1) for k in range(20, 60)]], "a long, b long")
     found = {r["node"]: r["root"] for r in components(edges).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | dict.fromkeys(range(20, 61), 20)
+    with pytest.raises(RuntimeError, match="not settled after 2 rounds"):
+        components(edges, rounds=2)
+
+
+def test_weighed_join_equals_a_join(spark):
+    from cueloom.llm.common import join_weighed
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(1)).when(F.col("id") < 3010, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    side = rows.where("k is not null and k % 7 <> 3").groupBy("k").agg(F.count("*").alias("w"), F.max("id").alias("m"))
+    for how in ("inner", "left"):
+        assert sorted(map(repr, join_weighed(rows, side, ["k"], "w", how).collect())) == sorted(map(repr, rows.join(side, ["k"], how).collect()))
 
 
 # --- mixing
@@ -159,6 +243,33 @@ def test_targets_stop_at_twice_the_size(spark):
     assert found["a"] == 20 and found[None] == 1000 and found["c"] == 20 and found["b"] == pytest.approx(1.5 * 1520 - 1040)
 
 
+def test_targets_and_rates_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    names = [f"h{k:03}" for k in range(60)] + [None]
+    docs_ = [(name, int(size)) for name in names for size in rng.integers(1, 3000 if name == "h007" else 60, rng.integers(1, 12))]
+    sizes = spark.createDataFrame([(a, b, n) for (a, b), n in Counter(docs_).items()], "source string, size long, n long")
+    total = {name: sum(b for a, b in docs_ if a == name) for name in names}
+    weight = {name: mixing.WEIGHTS[k % 3] for k, name in enumerate(names)}
+    want, open_ = {}, list(names)
+    while open_:
+        level = (1.5 * sum(total.values()) - sum(want.values())) / sum(weight[n] for n in open_)
+        full = [n for n in open_ if level * weight[n] >= 2 * total[n]]
+        if not full:
+            want |= {n: level * weight[n] for n in open_}
+            break
+        want |= {n: 2.0 * total[n] for n in full}
+        open_ = [n for n in open_ if n not in full]
+    targets = mixing.source_targets(sizes)
+    for r in mixing.balance(sizes, targets).collect():
+        assert r["target"] == pytest.approx(want[r["source"]])
+        if r["multiplier"] is not None:
+            own = [b for a, b in docs_ if a == r["source"]]
+            mean = sum(own) / len(own)
+            assert sum(2 * b / (1 + np.exp(-r["multiplier"] * b / mean)) for b in own) == pytest.approx(want[r["source"]])
+    with pytest.raises(RuntimeError, match="not settled"):
+        mixing.balance(sizes, targets, steps=1)
+
+
 def test_mix_of_odd_rows(spark, odd, none):
     first, again = (sorted(map(tuple, mixing.mix(odd).select("doc_id", "source", "size", "copies").collect()), key=repr) for _ in range(2))
     assert len(first) == odd.count() and first == again
@@ -259,7 +370,14 @@ def test_lm_learns_from_the_ends_of_lanes():
 
 
 def test_lm_of_odd_rows(spark, odd, none):
-    assert recurrent_lm.lm_report(odd).count() == odd.count()
+    rows = recurrent_lm.lm_report(odd.withColumns({"score": F.lit("x"), "n_tokens": F.lit("y")})).collect()
+    assert len(rows) == odd.count()
+    by = {}
+    for r in rows:
+        by.setdefault((r["n_tokens"], r["n_known"], round(r["base_score"], 9)), []).append(r["score"])
+    assert {len(v) for k, v in by.items() if k[0] == 7} == {3}  # the text that three rows hold
+    assert all(max(v) - min(v) < 1e-3 for v in by.values())  # equal texts, equal values
+    assert Counter(r["n_tokens"] for r in rows) == Counter([7, 7, 7, 1, 1, 1, 24001, 3, 3, 3])
     assert recurrent_lm.lm_report(none).count() == 0
 
 
@@ -288,7 +406,13 @@ def test_language_of_odd_rows(spark, odd, none):
     found = {r["doc_id"]: r for r in language_id.identify(odd.withColumn("score", F.lit("x"))).where("doc_id in (2, 3, 4, 6)").collect()}
     assert [found[k]["lang_pred"] for k in (2, 3, 6)] == ["und"] * 3 and found[4]["lang_pred"] == "en" and 0 <= found[4]["score"] <= 1
     assert language_id.language_report(none).count() == 0
-    assert language_id.keep_identified(odd).where("doc_id in (2, 3, 6)").count() == 0
+    clashing = odd.withColumns({"score": F.lit("x"), "lang_pred": F.lit("y")})
+    kept = language_id.keep_identified(clashing)
+    assert kept.columns == clashing.columns and {(r["score"], r["lang_pred"]) for r in kept.collect()} == {("x", "y")}
+    assert kept.where("doc_id in (2, 3, 6)").count() == 0 and kept.where("doc_id in (1, 4, 5)").count() == 5
+    foreign = odd.unionByName(docs(spark, (81, "ხვალ დილით")))  # held out, shares no n-gram with any profile
+    assert language_id.keep_identified(foreign).where("doc_id = 81").count() == 0
+    assert language_id.keep_identified(none).count() == 0
 
 
 # --- URL filters
@@ -310,6 +434,7 @@ def test_url_filters(spark):
     no = (False, 0, "", "")
     assert got == {1: (True, 3, "ads,bad", "x.a.com/p/q"), 2: no, 3: (True, 1, "bad", "a.com"), 4: no, 5: no, 6: no, 7: no}
     assert not url_filters.filter_captures(captures, entries.limit(0), "page_id").where("blocked").count()
+    assert [r[0] for r in spark.createDataFrame([("http://[2001:DB8::1]:80/a",), ("http://u@h.org.:8/",)], "u string").select(url_filters.host_of(F.col("u"))).collect()] == ["[2001:db8::1]", "h.org"]
 
 
 # --- quality
@@ -359,6 +484,16 @@ def test_token_counts(spark, odd, none, tmp_path):
     known = token_counts.open_cache(spark, cache, token_counts.tokenizer_version(token_counts.tokenizer_path()))
     assert token_counts.misses(rows, "text", known).count() == 0
     assert token_counts.count_tokens(none.withColumn("n_tokens", F.lit("x"))).count() == 0
+    half = str(tmp_path / "half")
+    token_counts.fill_cache(rows.where("doc_id % 2 = 0"), half)
+    first = spark.read.parquet(half).count()
+    assert sorted(map(repr, token_counts.token_report(rows, half).collect())) == sorted(map(repr, token_counts.token_report(rows, cache).collect()))
+    assert 0 < first < spark.read.parquet(half).count() == spark.read.parquet(cache).count()
+    other = token_counts.tokenizer_path("byte_bpe_50k.json")
+    assert token_counts.spans_space(other) and not token_counts.spans_space(token_counts.tokenizer_path())
+    spaced = docs(spark, (1, "a  b\n\n  c"), (2, "a b c"), (3, None))
+    want = {k: len(Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids) for k, t in ((1, "a  b\n\n  c"), (2, "a b c"), (3, ""))}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(spaced, tokenizer=other).collect()} == want
 
 
 # --- media

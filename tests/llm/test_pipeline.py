@@ -26,7 +26,7 @@ def test_columns(spark, sf_dir, stages):
 
 def test_language_keeps_all_with_letters(spark, sf_dir, stages):
     documents = table(spark, sf_dir, "documents")
-    assert stages["language_id"].count() == documents.where(documents["text"].rlike(r"\p{L}")).count()
+    assert stages["language_id"].count() == documents.where(documents["text"].rlike(r"\p{L}")).count()  # each of them shares n-grams with a profile
 
 
 def test_one_document_of_each_group(stages):
@@ -51,3 +51,25 @@ def test_mix_and_shards(stages):
 def test_run(spark, sf_dir, stages):
     ran = pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, ran.select("doc_id", "shard").collect())) == sorted(map(tuple, stages["sharding"].select("doc_id", "shard").collect()))
+
+
+def test_stages_of_odd_rows(spark, sf_dir):
+    """Nulls in all columns, empty texts, repeated rows and columns that clash with what the operators add."""
+    one = "seven words stand here and no more"
+    rows = [(1, one, "en", "s"), (1, one, "en", "s"), (2, one, None, None), (None, "another text of a few words", "en", None), (3, None, None, None), (4, "", "en", "s"), (5, "!!! 1", "en", "s"), (6, "und noch ein Text", "de", "t")]
+    schema = "doc_id long, text string, lang string, source string"
+    clashing = ["score", "digest", "root", "size", "copies", "fingerprint", "n_hit", "__copy"]
+    docs = spark.createDataFrame(rows, schema)
+    docs = docs.selectExpr("*", *[f"'x' as {name}" for name in clashing])
+    for name, stage in pipeline.STAGES[:-1]:
+        made = stage(spark, docs, sf_dir)
+        assert made.columns == docs.columns, name
+        docs = spark.createDataFrame(made.collect(), docs.schema)
+        if name == "language_id":
+            assert sorted(r["doc_id"] or 0 for r in docs.collect()) == [0, 1, 1, 2, 6]
+        if name in ("near_duplicates", "decontamination"):
+            assert sorted(r["doc_id"] or 0 for r in docs.collect()) == [0, 1, 6]
+    assert {r["score"] for r in docs.collect()} == {"x"}
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
