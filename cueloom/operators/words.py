@@ -16,6 +16,11 @@ def in_order() -> Window:
     return Window.partitionBy("tid").orderBy("idx")
 
 
+def from_behind() -> Window:
+    """The words from one on, the last first: a frame that grows word by word, where one that shrinks would be read anew for each."""
+    return Window.partitionBy("tid").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def before() -> Window:
     return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
@@ -58,8 +63,7 @@ def phrase_starts(words: DataFrame, pause: float = DEFAULT.phrase_pause, hanging
     """Adds phrase_start (first word, after a sentence end, or after a long pause that no inner mark precedes) and next_clean (idx of this or the next word that isn't hanging)."""
     last, gap = F.lag("word").over(in_order()), F.col("t0") - F.lag("t1").over(in_order())
     start = last.isNull() | X.ends_sentence(last) | ((gap > pause) & ~X.ends_midphrase(last))
-    ahead = in_order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return words.withColumns({"phrase_start": start, "next_clean": F.min(F.when(~X.is_hanging(F.col("word"), hanging), F.col("idx"))).over(ahead)})
+    return words.withColumns({"phrase_start": start, "next_clean": F.min(F.when(~X.is_hanging(F.col("word"), hanging), F.col("idx"))).over(from_behind())})
 
 
 def pause_ends(words: DataFrame, pause: float = DEFAULT.sentence_pause) -> DataFrame:

@@ -136,6 +136,21 @@ def test_pages_of_a_long_transcript(spark, monkeypatch):
     assert made[0] == made[1]
 
 
+def test_words_out_of_order_are_in_reach(spark, monkeypatch):
+    """Hanging words, and words whose times go back by a minute: small pages and blocks give what one page and one block give."""
+    texts = [("и" if k % 6 in (0, 1) else f"w{k}") + ("." if k % 9 == 8 else "") for k in range(300)]
+    many = B.flagged(words(spark, *[(w, t0, t0 + 0.4) for k, w in enumerate(texts) for t0 in [100 + k * 0.6 - 60 * (k % 11 == 10)]]))
+    asked = C.flag_durations(segments(spark, *[(100 + k * 2.9, 100 + k * 2.9 + 15 + 23 * (k % 4), 50) for k in range(60)]))
+    made = []
+    for size, seconds in ((3, 7.0), (1000, 1e9)):
+        monkeypatch.setattr(B, "PAGE", size)
+        monkeypatch.setattr(B, "BLOCK", seconds)
+        stored = asked.withColumns({"r0_start": F.col("t_start") + 1, "r0_end": F.col("t_end")})
+        kept, report = B.resnap(stored, many)
+        made.append([sorted(map(repr, f.collect())) for f in (B.settle(asked, many, Config(max_duration=30.0), attach=True), kept, report)])
+    assert made[0] == made[1] and made[0][0] != sorted(map(repr, asked.collect()))
+
+
 def test_snap_never_ends_on_a_hanging_word(spark):
     w = B.flagged(words(spark, ("мысль", 0, 1), ("и", 1.2, 1.4), ("ещё", 5.0, 5.5)))
     assert spans(B.snap_end(segments(spark, (0, 1.4, 80)), w, Config(max_duration=3.0))) == [(0.0, 1.3)]
