@@ -123,64 +123,84 @@ def initial(lexicon: Lexicon, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     }
 
 
+def by_gate(weights: np.ndarray) -> np.ndarray:
+    """Weights (rows, 3 * hidden) as (3, rows, hidden): update gate, reset gate, candidate. The gates' are negated, as the sigmoid needs them."""
+    rows, width = weights.shape
+    split = np.ascontiguousarray(weights.reshape(rows, 3, width // 3).transpose(1, 0, 2))
+    split[:2] *= -1
+    return split
+
+
 def forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """States of the gated unit (update and reset gates, candidate, new state) at all places, time by lane; and what the way back needs."""
-    k, shape = p["u"].shape[0], inputs.shape
-    x = p["x"].take(inputs, axis=0)
-    old, u, n, states = (np.empty((*shape, k), h.dtype) for _ in range(4))
-    gates = np.empty((*shape, 2 * k), h.dtype)
+    k, shape, by_state = p["u"].shape[0], inputs.shape, by_gate(p["u"])
+    x = by_gate(p["x"]).take(inputs, axis=1)
+    old, u, states = (np.empty((*shape, k), h.dtype) for _ in range(3))
+    gates, n, fresh = x[:2], x[2], fresh[:, :, None]
     for t in range(len(inputs)):
-        np.multiply(h, fresh[t][:, None], out=old[t])
-        a, gate, candidate, h = old[t] @ p["u"], gates[t], n[t], states[t]
-        np.add(x[t, :, : 2 * k], a[:, : 2 * k], out=gate)
-        np.negative(gate, out=gate)
+        np.multiply(h, fresh[t], out=old[t])
+        gate, candidate, h = gates[:, t], n[t], states[t]
+        gate += old[t] @ by_state[:2]
         np.exp(gate, out=gate)
         gate += 1
         np.reciprocal(gate, out=gate)
-        u[t] = a[:, 2 * k :]
-        np.multiply(gate[:, k:], u[t], out=candidate)
-        candidate += x[t, :, 2 * k :]
+        np.matmul(old[t], by_state[2], out=u[t])
+        candidate += gate[1] * u[t]
         np.tanh(candidate, out=candidate)
         np.subtract(old[t], candidate, out=h)
-        h *= gate[:, :k]
+        h *= gate[0]
         h += candidate
     return states, (old, gates, u, n)
 
 
 def softmax(scores: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of columns of scores: ln of the wanted entry's probability, and the probabilities (in the place of the scores)."""
+    """Of columns of scores: ln of the wanted entry's probability, and the sums of the exponentials that take the place of the scores (over the sum, an exponential is a probability)."""
     scores -= scores.max(axis=0)
     out = scores[wanted, np.arange(len(wanted))]
     np.exp(scores, out=scores)
     total = scores.sum(axis=0)
+    return out - np.log(total), total
+
+
+def missed(scores: np.ndarray, total: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Gradient of minus ln P of the wanted entries by the scores, in the place of what softmax left there."""
     scores /= total
-    return out - np.log(total), scores
+    scores[wanted, np.arange(len(wanted))] -= 1
+    return scores
 
 
 def outputs(p: dict, lexicon: Lexicon, states: np.ndarray, targets: np.ndarray, back: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """ln P(target | state) for each row; with `back`, also fills the output gradients and gives that of the states (of minus the sum)."""
+    """ln P(target | state) for each row; with `back`, also fills the output gradients and gives that of the states (of minus the sum).
+
+    Rows are put in order of their class first, so that those of a class lie together.
+    """
+    order = np.argsort(lexicon.class_of[targets].astype(np.uint16), kind="stable")  # two bytes are sorted by radix
+    states, targets = states.take(order, axis=0), targets[order]
     cls, ds = lexicon.class_of[targets], None
-    out, e = softmax(p["wc"].T @ states.T + p["bc"][:, None], cls)
+    scores = p["wc"].T @ states.T + p["bc"][:, None]
+    out, total = softmax(scores, cls)
     if back is not None:
-        e[cls, np.arange(len(cls))] -= 1
+        e = missed(scores, total, cls)
         back["wc"], back["bc"] = (e @ states).T, e.sum(axis=1)
         back["ww"], back["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
         ds = e.T @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(lexicon.n_word_classes + 1))
+    bounds = np.searchsorted(cls, np.arange(lexicon.n_word_classes + 1))
     for c in range(lexicon.n_word_classes):
-        at = order[bounds[c] : bounds[c + 1]]
+        at = slice(bounds[c], bounds[c + 1])
         a, b = lexicon.first[c], lexicon.first[c + 1]
-        if not len(at) or b - a == 1:
+        if at.start == at.stop or b - a == 1:
             continue
         s, w, word = states[at], p["ww"][:, a:b], targets[at] - a
-        likely, e = softmax(w.T @ s.T + p["bw"][a:b, None], word)
+        scores = w.T @ s.T + p["bw"][a:b, None]
+        likely, total = softmax(scores, word)
         out[at] += likely
         if back is not None:
-            e[word, np.arange(len(word))] -= 1
+            e = missed(scores, total, word)
             back["ww"][:, a:b], back["bw"][a:b] = (e @ s).T, e.sum(axis=1)
             ds[at] += e.T @ w.T
-    return out, ds
+    back_in_place = np.empty_like(order)
+    back_in_place[order] = np.arange(len(order))
+    return out[back_in_place], None if ds is None else ds.take(back_in_place, axis=0)
 
 
 Piece = tuple[np.ndarray, np.ndarray]
@@ -254,25 +274,30 @@ def gradients(p: dict, lexicon: Lexicon, inputs: np.ndarray, targets: np.ndarray
         out, ds[some] = outputs(p, lexicon, rows[some], wanted[some], back)
     ds = ds.reshape(states.shape)
     # What a gradient of the state is multiplied by to give those before the candidate's tanh and the gates' sigmoids.
-    z, r = gates[..., :k], gates[..., k:]
+    z, r = gates
     by_n, by_z, by_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), u * r * (1 - r)
-    dx, da = (np.empty((*inputs.shape, 3 * k), h.dtype) for _ in range(2))
-    d, turned = np.zeros_like(states[0]), p["u"].T
+    dx = np.empty((3, *inputs.shape, k), h.dtype)  # by the inputs of update gate, reset gate and candidate
+    dc = np.empty((*inputs.shape, k), h.dtype)  # by what the candidate takes from the state
+    d, fresh = np.zeros_like(states[0]), fresh[:, :, None]
+    to_z, to_r, to_c = (np.ascontiguousarray(part.T) for part in np.split(p["u"], 3, axis=1))
     for t in range(len(inputs) - 1, -1, -1):
         d += ds[t]
-        dn = np.multiply(d, by_n[t], out=dx[t, :, 2 * k :])
-        np.multiply(d, by_z[t], out=dx[t, :, :k])
-        np.multiply(dn, by_r[t], out=dx[t, :, k : 2 * k])
-        da[t, :, : 2 * k] = dx[t, :, : 2 * k]
-        np.multiply(dn, r[t], out=da[t, :, 2 * k :])
+        dn = np.multiply(d, by_n[t], out=dx[2, t])
+        dz = np.multiply(d, by_z[t], out=dx[0, t])
+        dr = np.multiply(dn, by_r[t], out=dx[1, t])
+        np.multiply(dn, r[t], out=dc[t])
         d *= z[t]
-        d += da[t] @ turned
-        d *= fresh[t][:, None]
-    back["u"] = old.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-    order = np.argsort(inputs.ravel(), kind="stable")
-    used, starts = np.unique(inputs.ravel()[order], return_index=True)
+        d += dz @ to_z
+        d += dr @ to_r
+        d += dc[t] @ to_c
+        d *= fresh[t]
+    before = old.reshape(-1, k).T
+    back["u"] = np.concatenate([before @ part.reshape(-1, k) for part in (dx[0], dx[1], dc)], axis=1)
+    inputs = inputs.ravel().astype(np.uint16)  # ids have two bytes, which are sorted by radix
+    order = np.argsort(inputs, kind="stable")
+    used, starts = np.unique(inputs[order], return_index=True)
     back["x"] = np.zeros_like(p["x"])
-    back["x"][used] = np.add.reduceat(dx.reshape(-1, 3 * k).take(order, axis=0), starts, axis=0)
+    back["x"][used] = np.add.reduceat(np.concatenate([part.reshape(-1, k).take(order, axis=0) for part in dx], axis=1), starts, axis=0)
     return back, states[-1], -float(out.sum())
 
 
