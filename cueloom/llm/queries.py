@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .decontamination import contamination_report
+from .fill_in_middle import middle_report
+from .filter_audit import filter_audit
 from .jaccard_join import near_duplicates
 from .language_id import language_report
 from .media import media_report
@@ -68,11 +70,20 @@ def op10_decontaminate_prefix_join(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shard_ring, op2_jaccard_chosen_path, op3_mix_entropy_balancing, op4_recurrent_lm, op5_language_rank_order,
         op6_url_temporal_list, op7_quality_additive_model, op8_token_digest_cache, op9_media_png, op10_decontaminate_prefix_join,
+        op12_filter_audit, op13_fill_in_middle,
     )
 }
 
@@ -97,4 +108,44 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs d LEFT JOIN places p ON d.doc_id = p.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id""",
+    "op12_filter_audit": r"""
+        WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        split AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+        fails AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS cell
+            FROM split),
+        judged AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        cells AS (SELECT part, cell, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM fails LEFT JOIN judged USING (doc_id) GROUP BY part, cell),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l)
+            JOIN letters d ON d.l NOT IN (a.l, b.l, c.l) JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+        steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS gone FROM orders, range(1, 6) AS r(step)),
+        judged_cells AS (
+            SELECT part, filter_order, step, f, n, good, toxic, cell, contains(cell, f) AS failing, gone <> '' AND regexp_matches(cell, '[' || CASE WHEN gone = '' THEN '_' ELSE gone END || ']') AS before
+            FROM cells, steps),
+        counted AS (
+            SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT before AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (failing AND NOT before), 0) AS removed,
+                   coalesce(sum(n) FILTER (failing AND before), 0) AS redundant, coalesce(sum(n) FILTER (cell = f), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (failing AND NOT before), 0) AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT before), 0) AS toxic_lost
+            FROM judged_cells GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM counted""",
+    "op13_fill_in_middle": r"""
+        WITH units AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        drawn AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM units),
+        cut AS (
+            SELECT *, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+                   array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+                   array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix
+            FROM drawn)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM cut""",
 }
