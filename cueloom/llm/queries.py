@@ -11,6 +11,8 @@ from .fill_in_middle import middle_report
 from .filter_audit import filter_audit
 from .jaccard_join import near_duplicates
 from .language_id import language_report
+from .license_rules import CONFIDENCE, every_rule, needed, spelled
+from .license_scan import license_report
 from .media import media_report
 from .mixing import mix
 from .quality import quality_report
@@ -70,6 +72,10 @@ def op10_decontaminate_prefix_join(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,13 +89,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_shard_ring, op2_jaccard_chosen_path, op3_mix_entropy_balancing, op4_recurrent_lm, op5_language_rank_order,
         op6_url_temporal_list, op7_quality_additive_model, op8_token_digest_cache, op9_media_png, op10_decontaminate_prefix_join,
-        op12_filter_audit, op13_fill_in_middle,
+        op11_license_rules, op12_filter_audit, op13_fill_in_middle,
     )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+#: The rules as rows of SQL, each with a word that all texts have which it matches.
+_RULES = ", ".join(
+    f"({k}, {r.tier}, '{r.label}', {CONFIDENCE[r.tier]}, {str(r.base).lower()}, '{spelled(r.pattern)}', '{next((f' {n[0]} ' for n in needed(r.pattern) if len(n) == 1), '')}')" for k, r in enumerate(every_rule()))
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_license_rules": f"""
+        WITH rules(rule, tier, label, confidence, base, regex, word) AS (VALUES {_RULES}),
+        docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        texts AS MATERIALIZED (SELECT r, ' ' || array_to_string(w, '  ') || ' ' AS t FROM docs WHERE len(w) > 0),
+        hits AS MATERIALIZED (SELECT r, t, rules.* FROM texts JOIN rules ON contains(t, word) WHERE regexp_matches(t, regex)),
+        cut AS (SELECT r, rule, tier, label, confidence, base, list_transform(regexp_extract_all(t, regex), lambda x: CAST((len(x) - len(replace(x, ' ', ''))) / 2 AS INTEGER)) AS inside,
+                       list_transform(regexp_split_to_array(t, regex), lambda x: CAST((len(x) - len(replace(x, ' ', ''))) / 2 AS INTEGER)) AS outside FROM hits),
+        places AS MATERIALIZED (
+            SELECT r, rule, tier, label, confidence, base, list_sum(outside[1:k]) + coalesce(list_sum(inside[1:k - 1]), 0) AS a, list_sum(outside[1:k]) + list_sum(inside[1:k]) AS b
+            FROM (SELECT *, unnest(range(1, len(inside) + 1)) AS k FROM cut)),
+        kept AS (
+            SELECT p.* FROM places p WHERE NOT EXISTS (
+                SELECT 1 FROM places q WHERE q.r = p.r AND q.a <= p.a AND q.b >= p.b AND q.tier <= p.tier AND (q.a, q.b, q.tier, q.rule) <> (p.a, p.b, p.tier, p.rule)
+                AND NOT (q.a = p.a AND q.b = p.b AND q.tier = p.tier AND q.rule > p.rule))),
+        bases AS (SELECT r, count(*) AS n, min(a) AS first, max(a) AS last, list_sort(list(DISTINCT label)) AS labels FROM places WHERE base GROUP BY r),
+        found AS (SELECT r, count(*) AS n, max(confidence) AS score, list(DISTINCT label) AS labels FROM kept GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(bases.n, 0) AS BIGINT) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+               coalesce(array_to_string(bases.labels, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+               CAST(coalesce(score, 0) AS DOUBLE) AS score, CAST(coalesce(found.n, 0) AS BIGINT) AS n_detections
+        FROM docs LEFT JOIN bases USING (r) LEFT JOIN found USING (r)""",
     "op6_url_temporal_list": ORACLE,
     "op10_decontaminate_prefix_join": f"""
         WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
