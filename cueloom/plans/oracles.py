@@ -325,12 +325,18 @@ SQL |= {
     "a1_read_word_json": f"WITH {VIEWS} SELECT CAST(tid AS VARCHAR) AS tid, 'en' AS language, idx, word, t0, t1 FROM words",
     "a2_read_segmented_word_json": f"WITH {VIEWS} SELECT CAST(tid AS VARCHAR) AS tid, '' AS language, idx, word, t0, t1 FROM words",
     "a3_read_transcripts": f"WITH {VIEWS} SELECT md5(CAST(tid AS VARCHAR)) AS tid, 'en' AS language, idx, word, t0, t1 FROM words",
+    "a3_transcript_files": f"""WITH {VIEWS} SELECT printf('запись %06d+a%%20b', tid) AS tid, count(*) AS n_words, CAST(max(idx) AS INTEGER) AS last_idx FROM words WHERE tid % 7 <> 2 AND tid % 11 <> 3 AND tid % 13 <> 4 GROUP BY tid""",
+    "a3_quarantined": f"""WITH {VIEWS} SELECT DISTINCT printf('запись %06d+a%%20b', tid) AS key, CASE WHEN tid % 7 = 2 THEN 'invalid_json' WHEN tid % 11 = 3 THEN 'bad_words' ELSE 'invalid_json' END AS reason
+        FROM words WHERE tid % 7 = 2 OR tid % 11 = 3 OR tid % 13 = 4""",
+    "a1_quarantined": f"""WITH {VIEWS} SELECT CASE WHEN tid % 7 = 2 THEN 'invalid_json' WHEN tid % 11 = 3 THEN 'bad_words' ELSE 'invalid_json' END AS reason, count(DISTINCT tid) AS n
+        FROM words WHERE tid % 7 = 2 OR tid % 11 = 3 OR tid % 13 = 4 GROUP BY 1""",
     "a4_read_manifests": f"""WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT 'v' || d AS key, source, sha AS source_sha256, run_key, 'pending' AS status, x, CASE WHEN d % 5 = 0 THEN 1.5::DOUBLE ELSE 0::DOUBLE END AS rotation, coalesce(n_reels, 0) AS n_reels
         FROM good LEFT JOIN reels ON tid = d""",
     "a4_quarantined": f"WITH {_SOURCES} SELECT 'v' || d AS key, reason FROM man WHERE reason IS NOT NULL",
     "a5_read_calibrations": f"""WITH {_SOURCES} SELECT sha AS source_sha256, kind, CASE WHEN kind <> 'corrupt' THEN source_name END AS source_name, CASE WHEN kind <> 'corrupt' THEN x END AS x,
         CASE WHEN kind <> 'corrupt' THEN rotation_deg END AS rotation_deg, CASE WHEN kind <> 'corrupt' THEN palette END AS palette FROM cal""",
     "a7_write_manifests": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT source, run_key, coalesce(n_reels, 0) AS n_reels, CAST(coalesce(scores, 0) AS BIGINT) AS scores FROM man LEFT JOIN reels ON tid = d",
+    "a7_manifest_files": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT lpad(CAST(d AS VARCHAR), 9, '0') || ' 100%25+é.vv' || d AS key, run_key, coalesce(n_reels, 0) AS n_reels FROM man LEFT JOIN reels ON tid = d",
     "a8_write_transcript_export": " UNION ALL ".join(f"SELECT '{fmt}' AS fmt, tid, md5(text) AS text_md5 FROM ({sql})" for fmt, sql in _EXPORTS),
     "a9_write_publication_text": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT tid || '/r' || lpad(CAST(n AS VARCHAR), 5, '0') AS name, title || chr(10) || chr(10) || description || chr(10) AS body FROM picked",
     "b9_run_key": f"WITH {_SOURCES} SELECT name, substr(sha256(sha256 || ':shorts'), 1, 16) AS run_key FROM files",
@@ -358,6 +364,11 @@ SQL |= {
         SELECT status, count(*) AS n, md5(string_agg(name, ',' ORDER BY name)) AS names_md5 FROM l GROUP BY status""",
     "f2_content_dedup": f"""WITH {_SOURCES}, a AS (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 0)
         SELECT i.name, CASE WHEN a.name IS NULL THEN 'accept' WHEN a.sha256 = i.sha256 THEN 'skip' ELSE 'conflict' END AS action FROM (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 1) i LEFT JOIN a ON a.name = i.name""",
+    "g1_cached_file_hashes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "g2_file_fingerprints": """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS c, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        p AS (SELECT *, greatest(0, n // 2 - 32) AS m, greatest(0, n - 512) AS l FROM b)
+        SELECT doc_id, CAST(n AS BIGINT) AS size, sha256(c[1:512] || CASE WHEN m > 512 THEN c[m + 1:m + 64] ELSE ''::BLOB END || CASE WHEN l > 512 OR l > m + 64 THEN c[l + 1:l + 512] ELSE ''::BLOB END ||
+            unhex(list_reduce([substr(lpad(hex(n), 16, '0'), k, 2) for k in [15, 13, 11, 9, 7, 5, 3, 1]], lambda x, y: x || y))) AS fingerprint FROM p""",
     "g2_partial_fingerprint": """WITH b AS (SELECT doc_id, encode(text) AS c, octet_length(encode(text)) AS n FROM documents),
         p AS (SELECT *, greatest(0, n // 2 - 32) AS m, greatest(0, n - 512) AS l FROM b)
         SELECT doc_id, sha256(c[1:512] || CASE WHEN m > 512 THEN c[m + 1:m + 64] ELSE ''::BLOB END || CASE WHEN l > 512 OR l > m + 64 THEN c[l + 1:l + 512] ELSE ''::BLOB END ||

@@ -15,6 +15,8 @@ from ..operators import media as M
 from ..operators import packing as P
 from ..operators import reconcile as R
 from ..operators import words as O
+from ..sources import documents as N
+from ..sources import fingerprints as H
 from ..sources import readers as S
 from ..sources import sinks as K
 from ..streaming import drain as D
@@ -306,7 +308,7 @@ def speech_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a1_read_word_json(spark, sf_dir):
     path = scratch(spark, "word-json")
     speech_answers(spark, sf_dir).select("id", F.lit("en").alias("language"), F.transform("w", lambda x: x.dropFields("idx")).alias("words")).write.json(path)
-    return S.read_word_json(spark, path, lines=True)
+    return S.read_word_json(spark, path, lines=True)[0]
 
 
 @query
@@ -316,7 +318,7 @@ def a2_read_segmented_word_json(spark, sf_dir):
     part = lambda words: F.struct(words.alias("words"))
     segments_ = F.array(part(F.slice(inner, 1, 5)), part(F.when(F.col("id") < 0, inner)), part(F.slice(inner, F.lit(6), F.size("w"))))
     speech_answers(spark, sf_dir).select("id", segments_.alias("segments")).write.json(path)
-    return S.read_segmented_word_json(spark, path, lines=True)
+    return S.read_segmented_word_json(spark, path, lines=True)[0]
 
 
 @query
@@ -324,7 +326,46 @@ def a3_read_transcripts(spark, sf_dir):
     path = scratch(spark, "transcripts")
     inner = F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("t0"), x["end"].alias("t1")))
     speech_answers(spark, sf_dir).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"), F.lit("en").alias("language"), inner.alias("words")).write.json(path)
-    return S.read_transcripts(spark, path, lines=True)
+    return S.read_transcripts(spark, path, lines=True)[0]
+
+
+def broken(documents: DataFrame) -> DataFrame:
+    """documents (id, text) to (id, name, text): named by their id with a blank and leading zeros; some cut short, some with words of another shape, some not an object."""
+    d = F.col("id")
+    text = (
+        F.when(d % 7 == 2, F.expr("substring(text, 1, length(text) - 2)")).when(d % 11 == 3, F.regexp_replace("text", '"words":', '"words":"none","more":'))
+        .when(d % 13 == 4, F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text")))
+    return documents.select("id", F.format_string("запись %06d+a%%20b.json", d).alias("name"), text.alias("text"))
+
+
+def transcript_files(spark: SparkSession, sf_dir: str) -> str:
+    """The path of stored transcripts, a file each, some broken."""
+    path = scratch(spark, "transcript-files")
+    inner = F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("t0"), x["end"].alias("t1")))
+    whole = speech_answers(spark, sf_dir).select("id", F.to_json(F.struct(F.lit("en").alias("language"), inner.alias("words"))).alias("text"))
+    N.write_documents(broken(whole).select("name", F.col("text").alias("content")), path)
+    return path
+
+
+@query
+def a3_transcript_files(spark, sf_dir):
+    """Written as files of their own names and read back: words of the sound ones."""
+    return S.read_transcripts(spark, transcript_files(spark, sf_dir))[0].groupBy("tid").agg(F.count("*").alias("n_words"), F.max("idx").alias("last_idx"))
+
+
+@query
+def a3_quarantined(spark, sf_dir):
+    return S.read_transcripts(spark, transcript_files(spark, sf_dir))[1]
+
+
+@query
+def a1_quarantined(spark, sf_dir):
+    """Speech answers of a line each, some broken."""
+    path = scratch(spark, "broken-word-json")
+    inner = F.transform("w", lambda x: x.dropFields("idx"))
+    whole = speech_answers(spark, sf_dir).select("id", F.to_json(F.struct("id", F.lit("en").alias("language"), inner.alias("words"))).alias("text"))
+    broken(whole).select(F.col("text").alias("value")).write.text(path)
+    return S.read_word_json(spark, path, lines=True)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query
@@ -351,6 +392,16 @@ def a7_write_manifests(spark, sf_dir):
     return good.where(F.col("key") == X.stem(F.col("source"))).select("source", "run_key", F.size("reels").cast("long").alias("n_reels"), F.coalesce(F.aggregate("reels", F.lit(0), lambda a, r: a + r["score"]), F.lit(0)).cast("long").alias("scores"))
 
 
+@query
+def a7_manifest_files(spark, sf_dir):
+    """Written as one file per source, in names with blanks, leading zeros, per cent and other scripts, and read back under the same names."""
+    path = scratch(spark, "manifest-files")
+    named = R.assemble_manifest(V.manifest_segments(spark, sf_dir), V.manifest_sources(spark, sf_dir)).withColumn("source", F.concat(F.lit("папка/"), F.lpad(F.regexp_extract("source", r"\d+", 0), 9, "0"), F.lit(" 100%25+é.v"), "source"))
+    K.write_manifests(named, path)
+    good = S.read_manifests(spark, path)[0]
+    return good.where(F.col("key") == X.stem(F.col("source"))).select("key", "run_key", F.size("reels").cast("long").alias("n_reels"))
+
+
 @query
 def a8_write_transcript_export(spark, sf_dir):
     """Written and read back; MD5 of each document."""
@@ -475,6 +526,28 @@ def g2_partial_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.partial_fingerprint(F.col("text"), *PARTS).alias("fingerprint"))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the documents' texts, a file each, named by their ids."""
+    path = scratch(spark, "files")
+    N.write_documents(table(spark, sf_dir, "documents").select(F.format_string("%09d.txt", "doc_id").alias("name"), F.col("text").alias("content")), path)
+    return path
+
+
+@query
+def g2_file_fingerprints(spark, sf_dir):
+    """Of files, by ranges."""
+    found = H.file_fingerprints(spark, document_files(spark, sf_dir), PARTS)
+    return found.select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("doc_id"), "size", F.col("sha256").alias("fingerprint"))
+
+
+@query
+def g1_cached_file_hashes(spark, sf_dir):
+    """Of files, through a cache: the second call finds all of them there."""
+    path, cache = document_files(spark, sf_dir), scratch(spark, "hashes")
+    H.cached_hashes(spark, path, cache)
+    return H.cached_hashes(spark, path, cache).select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("doc_id"), "size", "sha256")
+
+
 @query
 def s1_incremental_drain(spark, sf_dir):
     """All documents arrive in two loads, the second with the first one again; the drain runs after each and once more."""

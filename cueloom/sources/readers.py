@@ -1,14 +1,17 @@
 """JSON documents as tables.
 
-A path holds files of one document each, indented or not, as the writers of such files leave them; with `lines`, each line
-of a file is a document (for manifests and calibrations: after its key and a tab). Documents are keyed by the partition
-column `key`, if there is one, else by their file's stem (its name without the last suffix).
+A path holds files (*.json) of one document each, indented or not, as the writers of such files leave them; with `lines`, each line
+of its files is a document (for manifests and calibrations: after its key and a tab). Documents of files are keyed by the
+file's stem (its name without the last suffix), exactly as the file is named. What can't be read is reported with its key and a reason, not left out.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .documents import SCHEMES, read_documents, scheme
 
 CROP = "struct<x:int,y:int,w:int,h:int>"
 SETUP = f"struct<setup_id:string,crop:{CROP},scale:array<int>,frame:array<int>,rotation_deg:double,palette:string>"
@@ -22,47 +25,68 @@ STATUSES = ("pending", "awaiting_review", "approved", "done", "failed")
 
 
 def file_stem() -> Column:
-    return X.stem(F.col("_metadata.file_name"))
+    """The stem of the file that Spark reads a row from; its own file names are percent-coded."""
+    return X.stem(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
+def named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(key, text) of the files *.json below a folder; of patterns and of stores that only Spark opens through its own reader, which passes over names that start with '_' or '.'."""
+    if scheme(path) in SCHEMES and not re.search(r"[*?{]", path):
+        return read_documents(spark, path, suffix=".json").select(X.stem(F.col("name")).alias("key"), F.col("content").cast("string").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(file_stem().alias("key"), F.col("value").alias("text"))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+def texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(key, text) of all documents; lines have their file's stem for a key."""
+    return spark.read.text(path).select(file_stem().alias("key"), F.col("value").alias("text")) if lines else named_texts(spark, path)
 
 
 def keyed_texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
-    """(key, text) of all documents."""
-    raw = spark.read.text(path, wholetext=not lines)
-    if lines:
-        return raw.select(F.substring_index("value", "\t", 1).alias("key"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("text"))
-    key = F.col("key").cast("string") if "key" in raw.columns else file_stem()
-    return raw.select(key.alias("key"), F.col("value").alias("text"))
+    """(key, text) of all documents; lines have their key before a tab."""
+    if not lines:
+        return named_texts(spark, path)
+    return spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("key"), F.regexp_replace("value", r"^[^\t]*\t", "").alias("text"))
+
+
+WORD, STORED = "struct<word:string,start:double,end:double>", "struct<word:string,t0:double,t1:double>"
+
+
+def parse_words(documents: DataFrame, schema: str, words: Column, name: Column, language: Column) -> tuple[DataFrame, DataFrame]:
+    """documents (key, text) to (words (tid, language, idx, word, t0, t1), quarantined (key, reason)).
+
+    schema: of the document; words: its words (structs of word, t0, t1), name and language: of the transcript, as expressions over its fields.
+    Reasons: invalid_json (also for anything but an object); bad_words (the words, or one of them, are of another shape: a text or a time
+    is missing or of another type). The whole document goes then. A document without words is sound and gives none.
+    """
+    parsed = documents.select("key", "text", F.from_json("text", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("d"))
+    rows = parsed.select("key", "text", "d._broken", name.alias("tid"), language.alias("language"), words.alias("words"))
+    whole = F.forall("words", lambda w: w["word"].isNotNull() & w["t0"].isNotNull() & w["t1"].isNotNull())
+    # Only what the first parse found broken is parsed again, to tell a broken text from a field of another type.
+    invalid = F.try_parse_json("text").isNull()
+    reason = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"^\s*\{"), "invalid_json").when(F.col("_broken").isNotNull(), F.when(invalid, "invalid_json").otherwise("bad_words")).when(~F.coalesce(whole, F.lit(True)), "bad_words")
+    judged = rows.withColumn("reason", reason)
+    good = judged.where("reason is null").select("tid", "language", F.posexplode("words").alias("idx", "w"))
+    return good.select("tid", "language", "idx", "w.word", "w.t0", "w.t1"), judged.where("reason is not null").select("key", "reason")
 
 
-def words_of(documents: DataFrame, words: Column) -> DataFrame:
-    """(tid, language, words array<struct<word,t0,t1>>) to rows; a document without words gives none."""
-    rows = documents.select("tid", "language", F.posexplode(words).alias("idx", "w"))
-    return rows.select("tid", "language", "idx", "w.word", "w.t0", "w.t1")
+def timed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.struct(w["word"].alias("word"), w["start"].alias("t0"), w["end"].alias("t1")))
 
 
-def read_word_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Speech-to-text answers {id, language, words: [{word, start, end}]} to words with their language ('' if missing). Objects without an id are named by their file. Other fields are left aside."""
-    raw = json_documents(spark, path, "id long, language string, words array<struct<word:string,start:double,end:double>>", lines)
-    shaped = F.transform("words", lambda w: F.struct(w["word"].alias("word"), w["start"].alias("t0"), w["end"].alias("t1")))
-    return words_of(raw.select(F.coalesce(F.col("id").cast("string"), file_stem()).alias("tid"), F.coalesce("language", F.lit("")).alias("language"), "words"), shaped)
+def read_word_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Speech-to-text answers {id, language, words: [{word, start, end}]}: (words with their language, '' if missing, quarantined), as parse_words gives them. Answers without an id are named by their file. Other fields are left aside."""
+    return parse_words(texts(spark, path, lines), f"id string, language string, words array<{WORD}>", timed(F.col("d.words")), F.coalesce(F.col("d.id"), F.col("key")), F.coalesce("d.language", F.lit("")))
 
 
-def read_segmented_word_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_segmented_word_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """As read_word_json, for answers whose words are nested in segments, some of them null; all are taken in order."""
-    raw = json_documents(spark, path, "id long, language string, segments array<struct<words:array<struct<word:string,start:double,end:double>>>>", lines)
-    flat = F.flatten(F.filter(F.transform("segments", lambda s: s["words"]), lambda w: w.isNotNull()))
-    shaped = F.transform(flat, lambda w: F.struct(w["word"].alias("word"), w["start"].alias("t0"), w["end"].alias("t1")))
-    return words_of(raw.select(F.coalesce(F.col("id").cast("string"), file_stem()).alias("tid"), F.coalesce("language", F.lit("")).alias("language"), "segments"), shaped)
+    flat = F.flatten(F.filter(F.transform("d.segments", lambda s: s["words"]), lambda w: w.isNotNull()))
+    return parse_words(texts(spark, path, lines), f"id string, language string, segments array<struct<words:array<{WORD}>>>", timed(flat), F.coalesce(F.col("d.id"), F.col("key")), F.coalesce("d.language", F.lit("")))
 
 
-def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Stored transcripts {language, words: [{word, t0, t1}]}; a field `key` in the document (lines have no file of their own) goes before the file's key."""
-    raw = json_documents(spark, path, "language string, words array<struct<word:string,t0:double,t1:double>>, key string", lines)
-    return words_of(raw.select(F.coalesce("key", file_stem()).alias("tid"), "language", "words"), F.col("words"))
+def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stored transcripts {language, words: [{word, t0, t1}]}: (words, quarantined), as parse_words gives them; a field `key` in the document (lines have no file of their own) goes before the file's key."""
+    return parse_words(texts(spark, path, lines), f"key string, language string, words array<{STORED}>", F.col("d.words"), F.coalesce(F.col("d.key"), F.col("key")), F.col("d.language"))
 
 
 def only(keys: Column, allowed: tuple[str, ...]) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import words as O
+from .documents import write_documents
 
 FORMATS = ("text", "srt", "vtt", "json")
 
@@ -19,16 +20,16 @@ def from_line(line: Column) -> Column:
 
 
 def write_manifests(manifests: DataFrame, path: str, mode: str = "overwrite", lines: bool = False) -> None:
-    """One JSON document per source, keyed by the source's stem; null fields are left out, as readers take them for missing.
+    """One JSON document per source, named by the source's stem; null fields are left out, as readers take them for missing. read_manifests reads both forms.
 
-    Either a folder key=... with a file of the indented document for each source, or, with `lines` (for very many sources), documents of one
-    line each after their key and a tab. read_manifests reads both. Sources of the same stem are written under one key.
+    A folder of indented files <stem>.json: sources of one stem, or without one, are an error, and the folder stays as it was. Or, with `lines`
+    (for very many sources), documents of one line each after their stem and a tab: sources of one stem are all kept, under one key.
     """
-    named = manifests.select(X.stem(F.col("source")).alias("key"), F.struct(*manifests.columns).alias("m"))
+    stem = X.stem(F.col("source"))
     if lines:
-        named.select(F.concat("key", F.lit("\t"), F.to_json("m")).alias("value")).write.mode(mode).text(path)
+        manifests.select(F.concat(stem, F.lit("\t"), F.to_json(F.struct(*manifests.columns))).alias("value")).write.mode(mode).text(path)
     else:
-        named.select("key", F.to_json("m", {"pretty": "true"}).alias("value")).write.mode(mode).partitionBy("key").text(path)
+        write_documents(manifests.select(F.concat(stem, F.lit(".json")).alias("name"), F.to_json(F.struct(*manifests.columns), {"pretty": "true"}).alias("content")), path, mode)
 
 
 def transcript_export(words: DataFrame, pause: float = 0.35) -> DataFrame:

@@ -292,9 +292,9 @@ def test_indented_files_are_read_whole(spark, tmp_path):
     put("manifests", "bad.json", json.loads(manifest(note="1")))
     put("calibrations", "h.json", {"source_name": "a.mp4", "setup_label": "auto", "crop": {"x": 5, "y": 0, "w": 1215, "h": 2160}, "frame": [3840, 2160], "rotation_applied": True})
     rows = lambda frame: sorted(map(tuple, frame.collect()))
-    assert rows(S.read_word_json(spark, str(at["speech"]))) == [("a.b", "Russian", 0, " Да", 0.5, 0.9), ("a.b", "Russian", 1, " нет.", 1.0, 1.25)]
-    assert rows(S.read_segmented_word_json(spark, str(at["nested"]))) == [("c", "", 0, " Да", 0.5, 0.9), ("c", "", 1, " нет.", 1.0, 1.25)]
-    assert rows(S.read_transcripts(spark, str(at["stored"]))) == [("h.1", "ru", 0, "Да", 0.5, 0.9)]
+    assert rows(S.read_word_json(spark, str(at["speech"]))[0]) == [("a.b", "Russian", 0, " Да", 0.5, 0.9), ("a.b", "Russian", 1, " нет.", 1.0, 1.25)]
+    assert rows(S.read_segmented_word_json(spark, str(at["nested"]))[0]) == [("c", "", 0, " Да", 0.5, 0.9), ("c", "", 1, " нет.", 1.0, 1.25)]
+    assert rows(S.read_transcripts(spark, str(at["stored"]))[0]) == [("h.1", "ru", 0, "Да", 0.5, 0.9)]
     good, bad = S.read_manifests(spark, str(at["manifests"]))
     assert [r["key"] for r in good.collect()] == ["a.b"] and rows(bad) == [("bad", "unknown_key")]
     assert [(r["source_sha256"], r["kind"], r["crop"]["x"]) for r in S.read_calibrations(spark, str(at["calibrations"])).collect()] == [("h", "auto", 5)]
