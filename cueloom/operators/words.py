@@ -16,9 +16,9 @@ def in_order() -> Window:
     return Window.partitionBy("tid").orderBy("idx")
 
 
-def from_behind() -> Window:
-    """The words from one on, the last first: a frame that grows word by word, where one that shrinks would be read anew for each."""
-    return Window.partitionBy("tid").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def from_behind(place: str = "idx") -> Window:
+    """The words (or other rows, by their place) from one on, the last first: a frame that grows word by word, where one that shrinks would be read anew for each."""
+    return Window.partitionBy("tid").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def before() -> Window:

@@ -12,9 +12,10 @@ HANGING = ("the", "and", "de", "la", "und", "que", "en", "le")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timed words of all documents: word lengths from the letters, pauses from the marks and a fixed scatter."""
+    """Timed words of all documents: word lengths from the letters, pauses from the marks and a fixed scatter. Texts are dealt by tid before they are split, so that their words, many times larger, need not be."""
     split = F.split(F.col("text"), r"[ \n\t\r]+")
-    spread = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), F.posexplode(F.array_remove(split, "")).alias("idx", "word"))
+    dealt = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), "text").repartition("tid")
+    spread = dealt.select("tid", F.posexplode(F.array_remove(split, "")).alias("idx", "word"))
     i, d, w = F.col("idx").cast("long"), F.col("tid"), F.col("word")
     gap = (
         F.when(w.rlike("[.!?]$"), 300 + (7919 * i + 31 * d) % 2400).when(w.endswith(","), 50 + (7919 * i + 31 * d) % 600)

@@ -34,7 +34,7 @@ def test_manifests_keep_their_names(spark, tmp_path):
 def test_sources_of_one_stem_are_an_error_or_both_kept(spark, tmp_path):
     two, path = manifests(spark, "x/a.mp4", "y/a.mov"), str(tmp_path / "out")
     K.write_manifests(manifests(spark, "old.mp4"), path)
-    with pytest.raises(Exception, match="two documents are named"):
+    with pytest.raises(Exception, match="2 documents have 1 different names"):
         K.write_manifests(two, path)
     assert os.listdir(path) == ["old.json"] and os.listdir(tmp_path) == ["out"]
     K.write_manifests(two, str(tmp_path / "lines"), lines=True)
@@ -49,13 +49,12 @@ def test_impossible_names_are_an_error(spark, tmp_path, name):
     assert not os.listdir(tmp_path)
 
 
-def test_documents_of_one_name_in_two_tasks_are_an_error(spark, tmp_path):
-    """Without the arrangement of write_documents, the commit finds them."""
-    spark.dataSource.register(N.Documents)
-    frame = spark.createDataFrame([("a", b"1")], "name string, content binary")
-    with pytest.raises(Exception, match="2 documents have 1 names"):
-        frame.union(frame).write.format("documents").mode("overwrite").save(str(tmp_path / "out"))
-    assert not os.listdir(tmp_path)
+def test_documents_of_one_name_in_one_task_or_in_two_are_an_error(spark, tmp_path):
+    one = spark.createDataFrame([("a", b"1")], "name string, content binary")
+    for frame in (one.union(one), one.union(one).coalesce(1)):
+        with pytest.raises(Exception, match="2 documents have 1 different names"):
+            N.write_documents(frame, str(tmp_path / "out"))
+        assert not os.listdir(tmp_path)
 
 
 def test_append_and_overwrite(spark, tmp_path):
