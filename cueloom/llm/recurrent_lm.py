@@ -1,7 +1,7 @@
 """A gated recurrent language model over words, trained and applied in tasks, with exact corpus counts beside it.
 
 Words (lower-cased, between white space, one end token per text) are counted over all training
-texts. The `vocabulary` most frequent words are the model's own; all others share BANDS classes
+texts. The most frequent words are the model's own, as many as vocabulary_of() gives for the corpus; all others share BANDS classes
 by frequency, in which a word's probability is its smoothed share. The output softmax is
 factored: first a class, then, for the model's words, the word within its class, both from the
 recurrent state. All of it sums to one over every word and an unknown one, so the score
@@ -20,6 +20,7 @@ Scoring carries the state over a text's windows to its end. Words outside the HE
 frequent (a bound on what is broadcast) get their counts by a join.
 """
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -29,9 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_crc, lean_batches
+from .common import cut, join_weighed, key_crc, lean_batches
 
-HEAD, VOCABULARY, CLASSES, BANDS, HIDDEN = 131_072, 1_500, 32, 7, 24
+HEAD, BANDS, HIDDEN = 131_072, 7, 24
+#: The model's words: so many at least, and the more the larger the corpus; ids take two bytes, so at most MOST_WORDS (some 10^11 tokens).
+LEAST_WORDS, MOST_WORDS, TOKENS_A_WORD = 1_500, 65_000, 64
 SMOOTH = 0.1
 WINDOW, LANES = 24, 384
 #: Texts are scored side by side, so many tokens of them at a time.
@@ -45,6 +48,16 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def vocabulary_of(total: int) -> int:
+    """How many of the most frequent words are the model's own in a corpus of so many tokens: an eighth of their square root, as distinct words grow with it."""
+    return min(MOST_WORDS, max(LEAST_WORDS, math.isqrt(total // TOKENS_A_WORD)))
+
+
+def classes_of(words: int) -> int:
+    """Classes of the output softmax, fewer than the words of a class, of which only one is looked into."""
+    return max(1, round(0.826 * math.sqrt(words)))
+
+
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
 
@@ -66,8 +79,10 @@ class Lexicon:
     Token ids: 0..m-1 the model's words, then one id a band, then the end; as inputs, the end's id stands for the start.
     """
 
-    def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, distinct: int, vocabulary: int = VOCABULARY, classes: int = CLASSES) -> None:
+    def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, distinct: int, vocabulary: int | None = None, classes: int | None = None) -> None:
         self.ends, self.total, self.distinct = ends, total, distinct
+        vocabulary = vocabulary_of(total) if vocabulary is None else vocabulary
+        classes = classes_of(vocabulary) if classes is None else classes
         self.m = m = min(vocabulary, len(head))
         self.counts = np.array([n for _, n in head], float)
         self.place = {word: k for k, (word, _) in enumerate(head)}
@@ -359,23 +374,25 @@ def merged(parts: DataFrame, trainers: int) -> DataFrame:
     """parts (trainer, block, weight, values) to one weighted mean a block; no group holds more than MERGE rows."""
 
     def average(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("part")  # sums of floats depend on their order
         w = group["weight"].to_numpy()
         mean = (np.stack([np.frombuffer(v, np.float32) for v in group["values"]]) * (w / w.sum())[:, None]).sum(axis=0)
         return pd.DataFrame({"trainer": group["trainer"].iloc[:1], "block": group["block"].iloc[:1], "weight": [w.sum()], "values": [mean.astype(np.float32).tobytes()]})
 
     while True:
         trainers = -(-trainers // MERGE)
-        parts = parts.withColumn("trainer", F.col("trainer") % trainers).groupBy("trainer", "block").applyInPandas(average, "trainer int, block int, weight double, values binary")
+        parts = parts.withColumns({"part": F.col("trainer"), "trainer": F.col("trainer") % trainers}).groupBy("trainer", "block").applyInPandas(average, "trainer int, block int, weight double, values binary")
         if trainers == 1:
             return parts
 
 
 def trained(p: dict, lexicon_of, texts: DataFrame, trainers: int) -> dict:
-    """One round: texts (trainer int, key long, ids binary) are worked through by trainers, whose weights are averaged by Spark, weighted by their tokens."""
+    """One round: texts (trainer int, key long, ids binary, copies int) are worked through by trainers, whose weights are averaged by Spark, weighted by their tokens."""
     start = flat(p)
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        coded = [np.frombuffer(ids, np.uint16) for ids in group.sort_values("key")["ids"]]
+        rows = group.sort_values("key")
+        coded = [np.frombuffer(ids, np.uint16) for ids, copies in zip(rows["ids"], rows["copies"], strict=True) for _ in range(copies)]
         values = flat(train(shaped(start, p), lexicon_of(), coded))
         blocks = [values[k : k + BLOCK] for k in range(0, len(values), BLOCK)]
         return pd.DataFrame({"trainer": group["trainer"].iloc[0], "block": range(len(blocks)), "weight": float(sum(map(len, coded))), "values": [b.tobytes() for b in blocks]})
@@ -423,13 +440,28 @@ def coded(documents: DataFrame, lexicon_of) -> DataFrame:
         return cut(digested.mapInPandas(code, f"doc_id {kind}, taught boolean, digest binary, ids binary, known long, base double, band double, rare array<binary>, times array<long>"))
 
 
+#: Copies of a row that one trainer takes at once.
+COPIES = 16
+
+
+def numbered(taught: DataFrame) -> DataFrame:
+    """taught (doc_id, digest, ids) to (key, ids, copies): keys are made of what the rows hold, not of where they lie, so that any cut of the table into files gives the same training. Rows alike in all are one, COPIES at a time, as one key may hold any share of the rows."""
+    pairs = taught.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    key = lambda *more: F.xxhash64(F.lit("lm"), "doc_id", "digest", *more).alias("key")
+    if not pairs.where("n > 1").limit(1).count():
+        return taught.select(key(F.lit(0)), "ids", F.lit(1).alias("copies"))
+    alike = taught.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.first("ids").alias("ids"))
+    spread = alike.select("doc_id", "digest", "ids", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("at"))
+    return spread.select(key((F.col("at") / COPIES).cast("int")), "ids", F.least(F.lit(COPIES), F.col("n") - F.col("at")).cast("int").alias("copies"))
+
+
 def score_texts(documents: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document row: doc_id, n_tokens, n_known, train_tokens, base_score, score; all logarithms to base 10.
 
     training: the rows to learn from; those whose key's CRC-32 isn't a multiple of 10 if not given. Null texts
     count as empty ones: one end token. Equal texts get equal counts and base scores, and scores equal but for
     rounding. Without training rows every word is unknown. rounds: into so many parts the training rows are dealt,
-    by key, text and place in the stored table, so that repeated rows are dealt like any others.
+    by key and text; how the table is cut into files makes no difference.
     """
     spark = documents.sparkSession
     chosen = training if training is not None else F.pmod(key_crc(F.col(key)), F.lit(10)) != 0
@@ -447,12 +479,11 @@ def score_texts(documents: DataFrame, training: Column | None = None, key: str =
     lexicon = lexicon_of()
     made.clear()  # what is shipped to the workers holds no lexicon
     whole = coded(keyed, lexicon_of)
-    taught = whole.where("taught").select(F.xxhash64(F.lit("lm"), "doc_id", "digest", F.monotonically_increasing_id()).alias("key"), "ids")
-    dealt = taught.withColumn("round", F.pmod("key", F.lit(rounds)).cast("int"))
-    sizes = dict(dealt.groupBy("round").agg(F.sum(F.length("ids") / 2)).collect())
+    dealt = numbered(whole.where("taught").select("doc_id", "digest", "ids")).withColumn("round", F.pmod("key", F.lit(rounds)).cast("int"))
+    sizes = dict(dealt.groupBy("round").agg(F.sum(F.length("ids") / 2 * F.col("copies"))).collect())
     for number in sorted(sizes):
         trainers = max(1, -(-int(sizes[number]) // TRAINER_TOKENS))
-        part = dealt.where(F.col("round") == number).select(F.pmod(F.xxhash64("key"), F.lit(trainers)).cast("int").alias("trainer"), "key", "ids")
+        part = dealt.where(F.col("round") == number).select(F.pmod(F.xxhash64("key"), F.lit(trainers)).cast("int").alias("trainer"), "key", "ids", "copies")
         weights = trained(weights, lexicon_of, part, trainers)
     model = spark.sparkContext.broadcast(weights)
 
@@ -477,12 +508,12 @@ def score_texts(documents: DataFrame, training: Column | None = None, key: str =
     shape = f"doc_id {kind}, digest binary, n_tokens long, known long, base double, model double, rare long"
     names = ["doc_id", "digest", "n_tokens", "known", "base", "model", "rare"]
     few = whole.select("doc_id", "digest", "ids", "known", "base", "band", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x).alias("rare"))
-    likely = few.mapInPandas(scored, shape)
-    tails = whole.where(F.size("rare") > 0).groupBy("digest").agg(F.first(F.arrays_zip("rare", "times")).alias("r")).select("digest", F.explode("r").alias("r")).select("digest", F.col("r.rare").alias("word"), "r.times")
+    likely = cut(few.mapInPandas(scored, shape))
+    tails = whole.where(F.size("rare") > 0).groupBy("digest").agg(F.first(F.arrays_zip("rare", "times")).alias("r"), F.count("*").alias("texts")).select("digest", "texts", F.explode("r").alias("r")).select("digest", "texts", F.col("r.rare").alias("word"), "r.times")
     n = F.coalesce("n", F.lit(0))
-    logs = tails.join(counts, ["word"], "left").groupBy("digest").agg(F.sum(F.col("times") * F.log10(n + SMOOTH)).alias("logs"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"))
+    logs = tails.join(counts, ["word"], "left").groupBy("digest").agg(F.sum(F.col("times") * F.log10(n + SMOOTH)).alias("logs"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"), F.first("texts").alias("texts"))
     tail_log = float(np.log10(lexicon.band_mass[-1]))
-    joined = likely.join(logs, ["digest"], "left")
+    joined = join_weighed(likely, cut(logs), ["digest"], "texts", "left")
     logs_ = F.coalesce("logs", F.lit(0.0))
     return joined.select(
         "doc_id", "n_tokens", (F.col("known") + int(lexicon.ends > 0) + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(sums["total"]).cast("long").alias("train_tokens"),

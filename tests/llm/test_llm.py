@@ -300,6 +300,51 @@ def test_lm_counts_and_base_scores(spark, monkeypatch):
         assert r["score"] < 0
 
 
+def likelihood_by_hand(p, lex, ids):
+    """ln P of one text, a token at a time: one state, one sigmoid, one softmax after the other."""
+    size, total, state, before = p["u"].shape[0], 0.0, np.zeros(p["u"].shape[0]), lex.end
+    for token in ids:
+        own, by_state = p["x"][before].astype(float), p["u"].astype(float)
+        z, r = (1 / (1 + np.exp(-(own[k * size : (k + 1) * size] + state @ by_state[:, k * size : (k + 1) * size]))) for k in (0, 1))
+        candidate = np.tanh(own[2 * size :] + r * (state @ by_state[:, 2 * size :]))
+        state = z * state + (1 - z) * candidate
+        scores = state @ p["wc"] + p["bc"]
+        c = lex.class_of[token]
+        total += scores[c] - np.log(np.exp(scores).sum())
+        if token < lex.m:
+            first, last = lex.first[c], lex.first[c + 1]
+            words = state @ p["ww"][:, first:last] + p["bw"][first:last]
+            total += words[token - first] - np.log(np.exp(words).sum())
+        before = token
+    return total
+
+
+def test_lm_scores_equal_a_plain_recurrence():
+    lex, rng = lexicon(), np.random.default_rng(4)
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in recurrent_lm.initial(lex).items()}
+    texts = [rng.integers(0, lex.end, n).astype(np.uint16) for n in (0, 1, 5, 130)]
+    texts = [np.append(t, np.uint16(lex.end)) for t in texts]
+    assert recurrent_lm.log_likelihoods(p, lex, texts) == pytest.approx([likelihood_by_hand(p, lex, t) for t in texts], rel=1e-4)
+
+
+def test_lm_is_alike_however_the_table_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "TRAINER_TOKENS", 400)
+    rows = [(k, f"{'a b c d e f g h'[: 2 * (k % 7) + 1]} word{k % 5} the end of it {k % 3}") for k in range(300)] + [(7, "a b c")] * 40 + [(None, None)] * 3
+    made = []
+    for parts in (1, 7):
+        frame = docs(spark, *rows).repartition(parts).orderBy(F.rand(parts)) if parts > 1 else docs(spark, *rows).coalesce(1)
+        made.append(sorted((tuple(r) for r in recurrent_lm.lm_report(frame).collect()), key=repr))
+    assert [r[:5] for r in made[0]] == [r[:5] for r in made[1]]
+    # Training is the same; texts are scored side by side with others, which rounds single precision otherwise.
+    assert np.array([r[5:] for r in made[0]]) == pytest.approx(np.array([r[5:] for r in made[1]]), rel=1e-6)
+
+
+def test_lm_vocabulary_grows_with_the_corpus():
+    sizes = [recurrent_lm.vocabulary_of(10**k) for k in range(0, 16)]
+    assert sizes[:8] == [recurrent_lm.LEAST_WORDS] * 8 and sizes == sorted(sizes) and recurrent_lm.vocabulary_of(10**10) == 12_500 and sizes[-1] == recurrent_lm.MOST_WORDS
+    assert recurrent_lm.classes_of(1_500) == 32
+
+
 def lexicon():
     head = [(b"a", 50), (b"b", 30), (b"c", 10), (b"d", 5), (b"e", 2)]
     return recurrent_lm.Lexicon(head, ends=10, total=120, distinct=12, vocabulary=3, classes=2)
