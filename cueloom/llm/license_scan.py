@@ -60,13 +60,15 @@ def unheld(detections: Column, tiers: int) -> Column:
         further = F.transform(seen["furthest"], lambda stop, k: F.when(k + 1 == d["tier"], F.greatest(stop, d["stop"])).otherwise(stop))
         return F.struct(further.alias("furthest"), F.when(held, seen["kept"]).otherwise(F.array_append(seen["kept"], d)).alias("kept"))
 
+    # Each block's are appended as the next one begins: what is held must not be handed through a transform, which copies all that it gives.
     def block(seen: Column, some: Column) -> Column:
-        folded = F.array(F.aggregate(some, F.struct(seen["furthest"].alias("furthest"), empty.alias("kept")), step))  # an array, so that it is computed once
-        return F.get(F.transform(folded, lambda f: F.struct(f["furthest"].alias("furthest"), F.array_append(seen["blocks"], f["kept"]).alias("blocks"))), F.lit(0))
+        begun = F.struct(seen["last"]["furthest"].alias("furthest"), empty.alias("kept"))
+        return F.struct(F.aggregate(some, begun, step).alias("last"), F.array_append(seen["blocks"], seen["last"]["kept"]).alias("blocks"))
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(detections) - 1) / BLOCK).cast("int")), lambda b: F.slice(detections, b * BLOCK + 1, BLOCK))
-    first = F.struct(start["furthest"].alias("furthest"), F.array().cast(f"array<array<{PLACE}>>").alias("blocks"))
-    return F.when(F.size(detections) > 0, F.flatten(F.aggregate(blocks, first, block)["blocks"])).otherwise(empty)
+    first = F.struct(start.alias("last"), F.array().cast(f"array<array<{PLACE}>>").alias("blocks"))
+    folded = F.aggregate(blocks, first, block, lambda seen: F.concat(F.flatten(seen["blocks"]), seen["last"]["kept"]))
+    return F.when(F.size(detections) > 0, folded).otherwise(empty)
 
 
 def scan_licenses(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
