@@ -40,9 +40,10 @@ def with_tails(pages: DataFrame) -> DataFrame:
         return F.transform(F.array(known), lambda c: F.transform(F.array(surely(c)), lambda sure: bounded(c, sure))[0])[0]
 
     none = F.slice(F.col("p")[0]["words"], 1, 0)
-    folded = F.aggregate("p", F.struct(none.alias("tail"), F.filter(F.array(none), lambda x: F.lit(False)).alias("tails")), lambda seen, page: F.transform(
-        F.array(cut_off(F.concat(seen["tail"], page["words"]), page["later"])), lambda tail: F.struct(tail.alias("tail"), F.array_append(seen["tails"], seen["tail"]).alias("tails")))[0])
-    each = whole.select("tid", F.explode(F.arrays_zip(F.col("p"), folded["tails"].alias("tail"))).alias("e"))
+    # The tails so far must not be handed through a transform, which copies all that it gives.
+    folded = F.aggregate("p", F.struct(none.alias("tail"), F.filter(F.array(none), lambda x: F.lit(False)).alias("tails")), lambda seen, page: F.struct(
+        cut_off(F.concat(seen["tail"], page["words"]), page["later"]).alias("tail"), F.array_append(seen["tails"], seen["tail"]).alias("tails")))
+    each = whole.select("tid", F.explode_outer(F.arrays_zip(F.col("p"), folded["tails"].alias("tail"))).alias("e"))
     return each.select("tid", "e.p.page", "e.p.since", "e.p.until", "e.p.words", "e.tail")
 
 

@@ -1,5 +1,7 @@
 """Scored candidate segments: segments(tid, ord, t_start, t_end, score, ..., flags). ord is the input order within a transcript."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +38,42 @@ def overlap_ratio(a: Column, b: Column) -> Column:
     return F.when(shorter > 0, inter / shorter).otherwise(0.0)
 
 
+#: Cells of time into which the kept segments of a recording are sorted, at most; else twice the square root of their number.
+CELLS = 1024
+
+
 def greedy_keep(segments: DataFrame, order: list[Column], threshold: float) -> DataFrame:
-    """Go through a transcript's segments in order; keep one unless it overlaps a kept one by more than the threshold."""
+    """Go through a transcript's segments in order; keep one unless it overlaps a kept one by more than the threshold.
+
+    Kept segments are held by cells of time, each in all cells that it reaches into, so a segment is compared with those of its own cells
+    only. These are few: of kept segments none lies within another, and of those over one point each reaches
+    less far than half as far as the next. Segments without a length, or with a null bound, overlap none and are all kept. The threshold is a share, 0 or more; at 1 all are kept.
+    """
+    if threshold < 0:
+        raise ValueError("the threshold is a share of the shorter segment, 0 or more")
+    if threshold >= 1:
+        return segments
     columns = segments.columns
     item = F.struct(*[c.alias(f"__k{i}") for i, c in enumerate(order)], *columns)
     ordered = segments.groupBy("tid").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda held, x: F.when(F.exists(held, lambda k: overlap_ratio(x, k) > threshold), held).otherwise(F.array_append(held, x)))
-    return ordered.select(F.explode(kept).alias("s")).select(*[F.col(f"s.`{c}`") for c in columns])
+    lasting = lambda x: F.coalesce(x["t_end"] > x["t_start"], F.lit(False))
+    ordered = ordered.withColumn("some", F.filter("all", lasting))
+    cells, first = F.least(F.lit(CELLS), F.greatest(F.lit(1), (2 * F.sqrt(F.size("some"))).cast("int"))), F.array_min(F.transform("some", lambda x: x["t_start"]))
+    ordered = ordered.withColumns({"cells": cells, "first": first, "wide": (F.array_max(F.transform("some", lambda x: x["t_end"])) - first) / cells})
+    cell = lambda t: F.least(F.col("cells") - 1, F.floor((t - F.col("first")) / F.col("wide")).cast("int"))
+
+    def step(held: Column, x: Column) -> Column:
+        # What is held must not be handed through a transform, which copies all that it gives.
+        a, b = cell(x["t_start"]), cell(x["t_end"])
+        own = F.slice(held, a + 1, b - a + 1)
+        lost = F.exists(own, lambda c: F.exists(c, lambda k: overlap_ratio(x, k) > threshold))
+        return F.when(lost, held).otherwise(F.concat(F.slice(held, F.lit(1), a), F.transform(own, lambda c: F.array_append(c, x)), F.slice(held, b + 2, F.col("cells"))))
+
+    held = F.aggregate("some", F.array_repeat(F.filter("some", lambda x: F.lit(False)), F.col("cells")), step)
+    kept = F.flatten(F.transform(held, lambda c, i: F.filter(c, lambda k: cell(k["t_start"]) == i)))
+    every = F.concat(F.filter("all", lambda x: ~lasting(x)), kept)
+    # Every transcript keeps one at least; explode itself would have Spark compute all of this once more, to filter by its size.
+    return ordered.select(F.explode_outer(every).alias("s")).select(*[F.col(f"s.`{c}`") for c in columns])
 
 
 def dedup_by_score(segments: DataFrame, threshold: float = DEFAULT.overlap) -> DataFrame:

@@ -5,10 +5,6 @@ as read_calibrations gives them; manifests(source, source_sha256, source_hash_sc
 as read_manifests gives them; files(name, sha256, ...), one row per file and hash.
 """
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,24 +173,11 @@ def batch_names(log: DataFrame) -> DataFrame:
 
 
 def names_digest(log: DataFrame) -> DataFrame:
-    """(status, names_md5): MD5 of each status's sorted names with commas between them. A digest is made in order, so a task reads a status's rows as a stream; sorts spill, and only the digest is held."""
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        status, digest = None, None
-        for batch in batches:
-            for key, names in batch.groupby("status", sort=False, dropna=False)["name"]:
-                key = None if pd.isna(key) else key
-                data = ",".join(names).encode()
-                if digest is not None and key == status:
-                    digest.update(b"," + data)
-                    continue
-                if digest is not None:
-                    yield pd.DataFrame({"status": [status], "names_md5": [digest.hexdigest()]}, dtype=object)
-                status, digest = key, hashlib.md5(data)
-        if digest is not None:
-            yield pd.DataFrame({"status": [status], "names_md5": [digest.hexdigest()]}, dtype=object)
-
-    named = log.where("name is not null").select("status", "name")
-    return named.repartition("status").sortWithinPartitions("status", "name").mapInPandas(digests, "status string, names_md5 string")
+    """(status, names_digest): the sums of the four 32-bit parts of the names' MD5 hashes. Whole logs can be compared by it, names that repeat count repeatedly, and as sums don't depend on order, they are made in part before the shuffle; no task sees all names of a status."""
+    hashed = F.md5(F.col("name").cast("binary"))
+    parts = [F.conv(F.substring(hashed, 8 * k + 1, 8), 16, 10).cast("decimal(10,0)").alias(f"__{k}") for k in range(4)]
+    sums = [F.coalesce(F.sum(f"__{k}"), F.lit(0)).cast("string") for k in range(4)]
+    return log.select("status", *parts).groupBy("status").agg(F.concat_ws("-", *sums).alias("names_digest"))
 
 
 def content_dedup(incoming: DataFrame, archive: DataFrame) -> DataFrame:

@@ -157,16 +157,17 @@ def padding(source: str) -> str:
 def trimming(source: str) -> str:
     """source: with a column long, whether it was flagged. Words meet the segments of their transcript by minute."""
     return f"""
-    window_ AS (
-        SELECT c.tid, c.ord, list({{'t0': t0, 't1': t1}} ORDER BY idx) AS a
-        FROM (SELECT tid, ord, t_start, unnest(range(CAST(floor(t_start / 60) AS BIGINT), CAST(floor((t_start + 60) / 60) AS BIGINT) + 1)) AS minute FROM {source} WHERE long) c
-        JOIN (SELECT tid, idx, t0, t1, CAST(floor(t0 / 60) AS BIGINT) AS minute FROM words) w ON w.tid = c.tid AND w.minute = c.minute
-        WHERE t0 >= c.t_start AND t1 <= c.t_start + 59 + 1 GROUP BY c.tid, c.ord),
+    asked_ AS MATERIALIZED (SELECT tid, ord, t_start, unnest(range(CAST(floor(t_start / 60) AS BIGINT), CAST(floor((t_start + 60) / 60) AS BIGINT) + 1)) AS minute FROM {source} WHERE long),
+    said_ AS MATERIALIZED (SELECT tid, idx, t0, t1, CAST(floor(t0 / 60) AS BIGINT) AS minute FROM words),
+    inside_ AS (
+        SELECT c.tid, c.ord, t_start, t1, lead(t0) OVER (PARTITION BY c.tid, c.ord ORDER BY idx) AS next_t0
+        FROM asked_ c JOIN said_ w ON w.tid = c.tid AND w.minute = c.minute WHERE t0 >= t_start AND t1 <= t_start + 59 + 1),
+    stops_ AS (
+        SELECT tid, ord, max(t1) FILTER (WHERE next_t0 IS NULL OR next_t0 - t1 > 0.35::DOUBLE) AS pause, max(t1) AS word
+        FROM inside_ WHERE t1 <= t_start + 59 GROUP BY tid, ord),
     trimmed AS (
-        SELECT c.tid, c.ord, t_start, long, CASE WHEN NOT long THEN t_end ELSE coalesce(
-            list_max(list_filter(list_transform(range(1, len(a) + 1), lambda k: CASE WHEN k = len(a) OR a[k + 1].t0 - a[k].t1 > 0.35::DOUBLE THEN a[k].t1 END), lambda t: t <= t_start + 59)),
-            list_max(list_filter(list_transform(a, lambda x: x.t1), lambda t: t <= t_start + 59)), t_start + 59) END AS t_end
-        FROM {source} c LEFT JOIN window_ w ON w.tid = c.tid AND w.ord = c.ord)"""
+        SELECT c.tid, c.ord, t_start, long, CASE WHEN NOT long THEN t_end ELSE coalesce(pause, word, t_start + 59) END AS t_end
+        FROM {source} c LEFT JOIN stops_ w ON w.tid = c.tid AND w.ord = c.ord)"""
 
 
 _CLASSES = """
@@ -207,6 +208,8 @@ SQL |= {
         SELECT p.tid, 'r' || CASE WHEN p.n < 10 THEN '0' ELSE '' END || p.n AS seg_id, p.t_start AS r0_start, p.t_end AS r0_end, t.t_start, t.t_end,
                (SELECT count(*) FROM words w WHERE w.tid = t.tid AND w.t0 >= t.t_start AND w.t0 < t.t_end) AS n_words, '' AS flags
         FROM trimmed t JOIN picked p ON p.tid = t.tid AND p.ord = t.ord""",
+    "h3_resnapped_segments": f"""WITH {VIEWS}, usable AS (SELECT * FROM candidates WHERE tid % 31 <> 2), {_FLAGGED}, {starts('usable')}, {ENDS}, {padding('snapped')}, longs AS ({_LONG.format('usable')}), {trimming('longs')}
+        SELECT tid, ord, t_start, t_end FROM trimmed UNION ALL SELECT tid, ord, t_start, t_end FROM candidates WHERE tid % 31 = 2""",
     "h3_resnap": f"""WITH {VIEWS}, usable AS (SELECT * FROM candidates WHERE tid % 31 <> 2), {_FLAGGED}, {starts('usable')}, {ENDS}, {padding('snapped')}, longs AS ({_LONG.format('usable')}), {trimming('longs')},
         moved AS (SELECT t.tid, count(*) FILTER (WHERE printf('%.3f', t.t_start) <> printf('%.3f', c.t_start) OR printf('%.3f', t.t_end) <> printf('%.3f', c.t_end)) AS changed
             FROM trimmed t JOIN candidates c ON c.tid = t.tid AND c.ord = t.ord GROUP BY t.tid)
@@ -361,7 +364,8 @@ SQL |= {
     "d8_project_status": f"""WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT 'inputs' AS what, count(*) AS n FROM files WHERE d % 3 <> 0 UNION ALL SELECT 'manifests', count(*) FROM good
         UNION ALL SELECT 'rendered', count(*) FROM good JOIN reels ON tid = d UNION ALL SELECT 'archive', count(*) FROM files WHERE d % 3 = 0""",
     "d9_batch_outcome": f"""WITH {_SOURCES}, l AS (SELECT name, CASE WHEN d % 10 = 3 THEN 'skipped' WHEN d % 17 = 4 THEN 'failed' ELSE 'ok' END AS status FROM files)
-        SELECT status, count(*) AS n, md5(string_agg(name, ',' ORDER BY name)) AS names_md5 FROM l GROUP BY status""",
+        SELECT status, count(*) AS n, array_to_string([CAST(sum(CAST('0x' || substr(md5(name), 1, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(md5(name), 9, 8) AS BIGINT)) AS VARCHAR),
+               CAST(sum(CAST('0x' || substr(md5(name), 17, 8) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(md5(name), 25, 8) AS BIGINT)) AS VARCHAR)], '-') AS names_digest FROM l GROUP BY status""",
     "f2_content_dedup": f"""WITH {_SOURCES}, a AS (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 0)
         SELECT i.name, CASE WHEN a.name IS NULL THEN 'accept' WHEN a.sha256 = i.sha256 THEN 'skip' ELSE 'conflict' END AS action FROM (SELECT 'n' || d // 2 AS name, sha256 FROM files WHERE d % 2 = 1) i LEFT JOIN a ON a.name = i.name""",
     "g1_cached_file_hashes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256 FROM documents",
@@ -374,5 +378,10 @@ SQL |= {
         SELECT doc_id, sha256(c[1:512] || CASE WHEN m > 512 THEN c[m + 1:m + 64] ELSE ''::BLOB END || CASE WHEN l > 512 OR l > m + 64 THEN c[l + 1:l + 512] ELSE ''::BLOB END ||
             unhex(list_reduce([substr(lpad(hex(n), 16, '0'), k, 2) for k in [15, 13, 11, 9, 7, 5, 3, 1]], lambda x, y: x || y))) AS fingerprint FROM p""",
     "g1_content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "s1_drain_folder": """WITH f AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        one AS (SELECT doc_id, CAST(strlen(t) AS BIGINT) AS size, CASE WHEN strlen(t) >= 64 THEN sha256(t) END AS sha256,
+                       CASE WHEN strlen(t) < 64 THEN 'skipped' WHEN doc_id = min(doc_id) OVER (PARTITION BY t) THEN 'drained' ELSE 'duplicate' END AS status, CAST(1 AS BIGINT) AS batch FROM f),
+        two AS (SELECT doc_id, t || repeat('.', 64) || doc_id AS t FROM f WHERE strlen(t) < 64 AND doc_id % 2 = 0)
+        SELECT * FROM one UNION ALL SELECT doc_id, CAST(strlen(t) AS BIGINT), sha256(t), 'drained', CAST(2 AS BIGINT) FROM two""",
     "s1_incremental_drain": "SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) >= 64",
 }

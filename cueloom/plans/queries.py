@@ -218,6 +218,12 @@ def h3_resnap(spark, sf_dir):
     return B.resnap(stored_segments(spark, sf_dir), flags(spark, sf_dir), CONFIG)[1]
 
 
+@query
+def h3_resnapped_segments(spark, sf_dir):
+    """The segments with the bounds that they were moved to."""
+    return B.resnap(stored_segments(spark, sf_dir), flags(spark, sf_dir), CONFIG)[0].select("tid", "ord", "t_start", "t_end")
+
+
 @query
 def a6_parse_silence_log(spark, sf_dir):
     return M.parse_silence_log(V.silence_logs(spark, sf_dir))
@@ -503,7 +509,7 @@ def d8_project_status(spark, sf_dir):
 def d9_batch_outcome(spark, sf_dir):
     log = V.files(spark, sf_dir).select("name", F.when(F.col("d") % 10 == 3, "skipped").when(F.col("d") % 17 == 4, "failed").otherwise("ok").alias("status"))
     digest = R.names_digest(log).withColumnRenamed("status", "s")
-    return R.batch_outcome(log).join(digest, F.col("status").eqNullSafe(F.col("s")), "left").select("status", "n", "names_md5")
+    return R.batch_outcome(log).join(digest, F.col("status").eqNullSafe(F.col("s")), "left").select("status", "n", "names_digest")
 
 
 @query
@@ -558,3 +564,16 @@ def s1_incremental_drain(spark, sf_dir):
         for _ in range(1 + load):
             D.incremental_drain(spark, f"{top}/in", f"{top}/archive", f"{top}/log", f"{top}/checkpoint", least=64)
     return spark.read.parquet(f"{top}/archive").select("sha256", "size")
+
+
+@query
+def s1_drain_folder(spark, sf_dir):
+    """The documents as files: drained, then again after every second one of the skipped files has grown; what the ledger has of both runs."""
+    path, top = document_files(spark, sf_dir), scratch(spark, "folder")
+    drained = lambda: D.drain_folder(spark, path, f"{top}/archive", f"{top}/log", least=64)
+    drained()
+    small = table(spark, sf_dir, "documents").where((F.coalesce(F.octet_length("text"), F.lit(0)) < 64) & (F.col("doc_id") % 2 == 0))
+    grown = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("."), 64), F.col("doc_id").cast("string"))
+    N.write_documents(small.select(F.format_string("%09d.txt", "doc_id").alias("name"), grown.alias("content")), path, "append")
+    drained()
+    return D.visits(spark, f"{top}/log").select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("doc_id"), "size", "sha256", "status", "batch")

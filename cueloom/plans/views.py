@@ -12,9 +12,9 @@ HANGING = ("the", "and", "de", "la", "und", "que", "en", "le")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timed words of all documents: word lengths from the letters, pauses from the marks and a fixed scatter. Texts are dealt by tid before they are split, so that their words, many times larger, need not be."""
+    """Timed words of all documents: word lengths from the letters, pauses from the marks and a fixed scatter. Texts are dealt by tid before they are split, so that their words, many times larger, need not be; into all shuffle partitions, as these are not small for what comes out of them."""
     split = F.split(F.col("text"), r"[ \n\t\r]+")
-    dealt = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), "text").repartition("tid")
+    dealt = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tid"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tid")
     spread = dealt.select("tid", F.posexplode(F.array_remove(split, "")).alias("idx", "word"))
     i, d, w = F.col("idx").cast("long"), F.col("tid"), F.col("word")
     gap = (

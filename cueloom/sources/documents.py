@@ -68,12 +68,13 @@ def read_range(file, start: int, length: int) -> bytes:
 
 @dataclass
 class Files(InputPartition):
-    """Files (path, name, size, modified) that one task reads."""
+    """Files (path below the folder, size, modified) that one task reads."""
 
-    files: list[tuple[str, str, int, int]]
+    folder: str
+    files: list[tuple[str, int, int]]
 
-    def __init__(self, files):
-        self.files = files
+    def __init__(self, folder, files):
+        self.folder, self.files = folder, files
 
 
 class DocumentReader(DataSourceReader):
@@ -95,19 +96,19 @@ class DocumentReader(DataSourceReader):
                 continue
             cost = {"none": 0, "whole": info.size, "parts": min(info.size, sum(self.parts))}[self.content]
             if held and (weight + cost > TASK_BYTES or len(held) >= TASK_FILES):
-                tasks.append(Files(held))
+                tasks.append(Files(folder, held))
                 held, weight = [], 0
-            held.append((info.path, info.base_name, info.size, info.mtime_ns))
+            held.append((info.path[len(folder) :], info.size, info.mtime_ns))
             weight += cost
-        return [*tasks, Files(held)]
+        return [*tasks, Files(folder, held)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         names = {"none": (), "whole": ("content",), "parts": ("head", "middle", "tail")}[self.content]
         schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("modified", pa.int64()), *[(n, pa.binary()) for n in names]])
         store, _ = opened(self.path)
         rows, weight = [], 0
-        for path, name, size, modified in partition.files:
-            pieces = ()
+        for below, size, modified in partition.files:
+            path, pieces = partition.folder + below, ()
             if names:
                 ranges = part_ranges(size, self.parts) if self.content == "parts" else ((0, size),)
                 if any(length > MOST_BYTES for _, length in ranges):
@@ -118,7 +119,7 @@ class DocumentReader(DataSourceReader):
             if rows and (weight + cost > BATCH_BYTES or len(rows) >= 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows, weight = [], 0
-            rows.append((path, name, size, modified, *pieces))
+            rows.append((path, posixpath.basename(path), size, modified, *pieces))
             weight += cost
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
