@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.config import DEFAULT
-from ..functions.shared import cut
 
 def in_order() -> Window:
     """The words of a transcript in order."""
@@ -72,35 +71,44 @@ def pause_ends(words: DataFrame, pause: float = DEFAULT.sentence_pause) -> DataF
     return words.withColumn("pause_end", gap.isNull() | (gap > pause))
 
 
+def part_starts(limit: float) -> Column:
+    """Where the parts of a sentence (w: its words in order, gaps: the gap before each) start, in places from 0.
+
+    A stack of stretches that are still to be looked at, the first on top: at each step the top one either fits, and its start is noted, or is
+    cut in two. A sentence of n words takes fewer than 2 n steps.
+    """
+    w, top = F.col("w"), lambda seen: F.element_at(seen["stack"], -1)
+    stretch = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    large = lambda s: (s["b"] - s["a"] > 1) & (F.get(w, s["b"] - 1)["t1"] - F.get(w, s["a"])["t0"] > limit)
+
+    def cut_of(s: Column) -> Column:
+        inner = F.slice("gaps", s["a"] + 2, s["b"] - s["a"] - 1)
+        near = lambda g, k: F.when(F.abs(g - F.array_max(inner)) <= 1e-9, F.struct(F.abs(k + 1 - (s["b"] - s["a"]) / 2).alias("d"), (k + 1 + s["a"]).alias("k")))
+        return F.array_min(F.transform(inner, near))["k"]
+
+    def step(seen: Column, _: Column) -> Column:
+        s, rest = top(seen), F.slice(seen["stack"], F.lit(1), F.size(seen["stack"]) - 1)
+        halves = F.transform(F.array(cut_of(s)), lambda k: F.concat(F.array(stretch(k, s["b"])), F.array(stretch(s["a"], k))))[0]
+        both = F.struct(F.when(large(s), F.concat(rest, halves)).otherwise(rest).alias("stack"), F.when(large(s), seen["starts"]).otherwise(F.array_append(seen["starts"], s["a"])).alias("starts"))
+        return F.when(F.size(seen["stack"]) > 0, both).otherwise(seen)
+
+    whole = stretch(F.lit(0), F.size(w))
+    folded = F.aggregate(F.sequence(F.lit(1), 2 * F.size(w)), F.struct(F.array(whole).alias("stack"), F.array().cast("array<int>").alias("starts")), step)
+    return F.when(large(whole), folded["starts"]).otherwise(F.array(F.lit(0)))
+
+
 def split_oversize(numbered: DataFrame, limit: float = DEFAULT.sentence_limit) -> DataFrame:
     """Renumber sent_no so that no sentence of several words spans more than `limit`.
 
     An oversize sentence is cut at its longest inner gap; of gaps equal within 1e-9 the one nearest the
-    middle, then the first. Parts are cut again until they fit. Only oversize sentences
-    take part in the rounds; each round is a checkpoint.
+    middle, then the first. Parts are cut again until they fit. Sentences are folded one by one, in the shuffle by tid that numbered them.
     """
     columns = numbered.columns
-    group = Window.partitionBy("tid", "sent_no", "part")
-    inner = group.orderBy("idx")
-    parts = numbered.withColumn("part", F.lit(0))
-    done = None
-    while True:
-        spans = parts.withColumns({
-            "n": F.count("*").over(group), "k": F.row_number().over(inner) - 1,
-            "span": F.max_by("t1", "idx").over(group) - F.min_by("t0", "idx").over(group),
-        })
-        spans = cut(spans.withColumn("large", (F.col("span") > limit) & (F.col("n") > 1)))
-        fits = spans.where(~F.col("large")).select(*columns, "part")
-        done = fits if done is None else done.unionByName(fits)
-        large = spans.where("large")
-        if not large.limit(1).count():
-            break
-        gaps = large.withColumn("gap", F.when(F.col("k") > 0, F.col("t0") - F.lag("t1").over(inner)))
-        near = gaps.withColumn("top", F.max("gap").over(group)).withColumn("far", F.when(F.abs(F.col("gap") - F.col("top")) <= 1e-9, F.struct(F.abs(F.col("k") - F.col("n") / 2).alias("d"), "k")))
-        parts = near.withColumn("at", F.min("far").over(group)["k"]).withColumn("part", F.when(F.col("k") < F.col("at"), F.col("idx") - F.col("k")).otherwise(F.col("idx") - F.col("k") + F.col("at"))).select(*columns, "part")
-    first = Window.partitionBy("tid").orderBy("idx")
-    changed = F.coalesce(((F.col("sent_no") != F.lag("sent_no").over(first)) | (F.col("part") != F.lag("part").over(first))).cast("int"), F.lit(0))
-    return done.withColumn("__new", changed).withColumn("sent_no", F.sum("__new").over(first).cast("int")).select(*columns)
+    word = F.struct("idx", *[c for c in columns if c != "idx"])
+    whole = numbered.groupBy("tid", "sent_no").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    gapped = whole.withColumn("gaps", F.transform("w", lambda x, k: x["t0"] - F.get(F.col("w"), k - 1)["t1"])).withColumn("starts", part_starts(limit))
+    each = gapped.select("starts", F.posexplode_outer("w").alias("k", "x")).select(*[F.col(f"x.`{c}`") for c in columns], F.array_contains("starts", F.col("k")).cast("int").alias("__new"))
+    return each.withColumn("sent_no", (F.sum("__new").over(Window.partitionBy("tid").orderBy("idx")) - 1).cast("int")).select(*columns)
 
 
 def paragraph_piece(pause: float = DEFAULT.paragraph_pause) -> Column:

@@ -344,6 +344,17 @@ SQL |= {
     "a9_write_publication_text": f"WITH {VIEWS}, {_SOURCES}, {_REELS} SELECT tid || '/r' || lpad(CAST(n AS VARCHAR), 5, '0') AS name, title || chr(10) || chr(10) || description || chr(10) AS body FROM picked",
     "b9_run_key": f"WITH {_SOURCES} SELECT name, substr(sha256(sha256 || ':shorts'), 1, 16) AS run_key FROM files",
     "b10_calibration_rules": f"WITH {_SOURCES} SELECT sha AS source_sha256, 'outside_frame' AS rule, true AS hard FROM cal WHERE kind <> 'corrupt' AND x + 1215 > 3840",
+    "b10_every_rule": """WITH c AS (
+            SELECT 's' || doc_id AS source_sha256, doc_id % 11 * 100 - 100 AS x, [1215, 2160, 3700, 500, 2250][doc_id % 5 + 1] AS w, CASE WHEN doc_id % 2 = 0 THEN 2160 ELSE 3800 END AS h,
+                   CASE WHEN doc_id % 3 = 0 THEN 2160 ELSE 3840 END AS fw, CASE WHEN doc_id % 3 = 0 THEN 3840 ELSE 2160 END AS fh FROM documents)
+        SELECT source_sha256, 'outside_frame' AS rule, true AS hard FROM c WHERE x < 0 OR x + w > fw OR h > fh
+        UNION ALL SELECT source_sha256, 'not_9_16', true FROM c WHERE abs(CAST(w AS DOUBLE) / h - 0.5625::DOUBLE) > 0.02::DOUBLE
+        UNION ALL SELECT source_sha256, 'wider_than_frame', false FROM c WHERE fh > fw AND w > fw
+        UNION ALL SELECT source_sha256, 'nearly_whole_height', false FROM c WHERE fh > fw AND h >= 0.97::DOUBLE * fh
+        UNION ALL SELECT source_sha256, 'nearly_whole_width', false FROM c WHERE fw > fh AND w >= 0.9::DOUBLE * fw
+        UNION ALL SELECT source_sha256, 'narrow', false FROM c WHERE w < 0.3::DOUBLE * fw""",
+    "c9_both_states": """SELECT 'v' || doc_id AS source, 's' || doc_id AS source_sha256, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 < 3 THEN 'manual_appeared' ELSE 'stale' END AS state
+        FROM documents WHERE doc_id % 17 <> 0 AND (doc_id % 3 = 0 OR doc_id % 7 = 0 OR doc_id % 13 = 0)""",
     "b11_estimate_output_size": f"""WITH {VIEWS}, p(profile, bps) AS (VALUES ('hevc', 5128000), ('h264', 7128000), ('tiny', 64900)), ms AS (SELECT tid, sum(CAST(round_even((t_end - t_start) * 1000, 0) AS BIGINT)) AS ms FROM candidates GROUP BY tid)
         SELECT tid, profile, round_even(bps * (ms / 1000::DOUBLE) / 8 / 1048576, 6) AS mb FROM ms, p""",
     "c9_calibration_desync": f"WITH {_SOURCES} SELECT source, source_sha256, state FROM ({_STALE})",

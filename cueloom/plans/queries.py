@@ -436,6 +436,28 @@ def b10_calibration_rules(spark, sf_dir):
     return R.calibration_rules(calibrations(spark, sf_dir))
 
 
+@query
+def b10_every_rule(spark, sf_dir):
+    """Crops of many shapes in upright and lying frames, which break all rules."""
+    d = F.col("doc_id")
+    size = lambda w, h: F.array(F.lit(w), F.lit(h))
+    wide = F.element_at(F.array(*map(F.lit, (1215, 2160, 3700, 500, 2250))), (d % 5 + 1).cast("int"))
+    crop = F.struct((d % 11 * 100 - 100).cast("int").alias("x"), F.lit(0).alias("y"), wide.alias("w"), F.when(d % 2 == 0, 2160).otherwise(3800).alias("h"))
+    made = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), d.cast("string")).alias("source_sha256"), crop.alias("crop"), F.when(d % 3 == 0, size(2160, 3840)).otherwise(size(3840, 2160)).alias("frame"))
+    return R.calibration_rules(made)
+
+
+@query
+def c9_both_states(spark, sf_dir):
+    """Manifests and calibrations that differ in crop, rotation or palette, or in none, automatic and manual ones."""
+    d = F.col("doc_id")
+    crop = lambda x: F.struct(x.cast("int").alias("x"), F.lit(0).alias("y"), F.lit(1215).alias("w"), F.lit(2160).alias("h"))
+    docs = table(spark, sf_dir, "documents").select(d, F.concat(F.lit("s"), d.cast("string")).alias("source_sha256"))
+    setup = F.struct(F.when(d % 2 == 0, "auto").otherwise("setup").alias("setup_id"), crop(d % 100).alias("crop"), F.array(F.lit(1080), F.lit(1920)).alias("scale"), F.array(F.lit(3840), F.lit(2160)).alias("frame"), F.lit(0.0).alias("rotation_deg"), F.lit(None).cast("string").alias("palette"))
+    calibrated = docs.select("source_sha256", F.when(d % 17 != 0, crop(d % 100 + F.when(d % 3 == 0, 5).otherwise(0))).alias("crop"), F.when(d % 7 == 0, 1.5).alias("rotation_deg"), F.when(d % 13 == 0, "warm").alias("palette"), F.when(d % 5 < 3, "manual").otherwise("auto").alias("kind"))
+    return R.calibration_desync(docs.select(F.concat(F.lit("v"), d.cast("string")).alias("source"), "source_sha256", setup.alias("setup")), calibrated)
+
+
 @query
 def b11_estimate_output_size(spark, sf_dir):
     profiles = spark.createDataFrame([("hevc", "5M", "128k"), ("h264", "7M", "128k"), ("tiny", "900", "64k")], "profile string, video string, audio string")
