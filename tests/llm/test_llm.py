@@ -610,3 +610,34 @@ def test_windows_in_blocks(spark, odd, monkeypatch):
     want = sorted(map(repr, decontamination.contamination_report(odd, items).drop("spans").collect()))
     monkeypatch.setattr(decontamination, "BLOCK", 2)
     assert sorted(map(repr, decontamination.contamination_report(odd, items).drop("spans").collect())) == want
+
+
+def test_cosine_hash_equals_sums_by_hand():
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        image = rng.integers(0, 256, (media.SIDE, media.SIDE, 1)).astype(np.uint8)
+        low = []
+        for u in range(media.LOW):
+            for v in range(media.LOW):
+                total = 0.0
+                for y in range(media.SIDE):
+                    for x in range(media.SIDE):
+                        total += int(image[y, x, 0]) * np.cos(np.pi * (2 * y + 1) * u / (2 * media.SIDE)) * np.cos(np.pi * (2 * x + 1) * v / (2 * media.SIDE))
+                low.append(total)
+        bits = "".join("1" if value > np.median(low[1:]) else "0" for value in low)
+        assert media.cosine_hash(image).hex() == f"{int(bits, 2):016x}"
+
+
+def test_url_filters_of_odd_captures(spark):
+    import datetime
+
+    day = datetime.date(2024, 6, 1)
+    rows = [(None, None, day), (1, None, day), (2, "", day), (3, "http://a.example/" + "x/" * 600, day), (3, "http://a.example/x", day), (4, "no url at all", day), (None, "http://a.example", day), (5, "http://a.example", None), (3, "http://a.example/x", day)]
+    schema = "page_id long, url string, day date"
+    entries = spark.createDataFrame([("ads", "a.example", datetime.date(2024, 1, 1), True), (None, "a.example", day, True)], "list string, rule string, day date, active boolean")
+    clashing = spark.createDataFrame(rows, schema).withColumns({"rule": F.lit("r"), "lists": F.lit(1), "key": F.lit("k"), "fetched": F.lit(2), "n": F.lit(3)})
+    found = url_filters.filter_captures(clashing, entries, "page_id").collect()
+    assert len(found) == len(rows)
+    assert sorted((r["page_id"], r["n_entries"]) for r in found if r["blocked"] and r["page_id"]) == [(3, 1)] * 3 and sum(r["blocked"] for r in found) == 4
+    assert url_filters.filter_captures(spark.createDataFrame([], schema), entries, "page_id").count() == 0
+    assert not any(r["blocked"] for r in url_filters.filter_captures(clashing, entries.limit(0), "page_id").collect())
