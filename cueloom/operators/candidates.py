@@ -72,8 +72,7 @@ def greedy_keep(segments: DataFrame, order: list[Column], threshold: float) -> D
     held = F.aggregate("some", F.array_repeat(F.filter("some", lambda x: F.lit(False)), F.col("cells")), step)
     kept = F.flatten(F.transform(held, lambda c, i: F.filter(c, lambda k: cell(k["t_start"]) == i)))
     every = F.concat(F.filter("all", lambda x: ~lasting(x)), kept)
-    # Every transcript keeps one at least; explode itself would have Spark compute all of this once more, to filter by its size.
-    return ordered.select(F.explode_outer(every).alias("s")).select(*[F.col(f"s.`{c}`") for c in columns])
+    return ordered.select(F.explode(every).alias("s")).select(*[F.col(f"s.`{c}`") for c in columns])
 
 
 def dedup_by_score(segments: DataFrame, threshold: float = DEFAULT.overlap) -> DataFrame:
